@@ -31,6 +31,12 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paceline.llm.token_output import packed_rows
 
@@ -43,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_mixing, op4_minhash, op9_token_output, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_mixing, op4_minhash, op7_toxicity, op9_token_output, op10_packing)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
