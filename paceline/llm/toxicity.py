@@ -180,6 +180,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, score double")
 
 
+def rejected(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """``docs``, all columns, without the rows whose text scores ``threshold`` or more; scored where they are read."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in batches:
+            yield b.filter(pa.array([m.score(x) < threshold for x in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted.
 
