@@ -210,7 +210,7 @@ def market_categories(spark, sf):
     return c.select("category", "n_total", "n_active", *[six(F.col(k)).alias(k) for k in ("longshot_pct", "tossup_pct", "med_liquidity")], six(ripe).alias("ripeness"))
 
 
-@query("""WITH s AS (SELECT p_partkey, p_size / 50 AS fc, CASE WHEN p_retailprice > 1400 THEN 1 WHEN p_retailprice > 1000 THEN 0 END AS outcome FROM part WHERE p_partkey % 3 = 0)
+@query("""WITH s AS (SELECT p_partkey, p_size / 50 AS fc, CASE WHEN p_retailprice > 960 THEN 1 WHEN p_retailprice > 920 THEN 0 END AS outcome FROM part WHERE p_partkey % 3 = 0)
     SELECT least(floor(fc * 5), 4)::INT AS bin, count(*) AS n, round(avg(fc), 6) AS forecast, round(avg(outcome), 6) AS settled, round(avg(pow(fc - outcome, 2)), 6) AS brier FROM s WHERE fc > 0.02 AND fc < 0.98 AND outcome IS NOT NULL GROUP BY 1""")
 def market_calibration(spark, sf):
     m = tables.markets(spark, sf).where("active = 0 and price > 0.02 and price < 0.98").withColumn("outcome", scalar.first_price(F.col("outcome_prices"))).where("outcome is not null")

