@@ -16,29 +16,36 @@ _COLUMNS = ("game_id", "season", "st_order", "week", "start_date", "home_team",
 
 def play(g: pd.DataFrame, k: float, hfa: float, regress: float, mov: bool, early: int = 0, k_early: float = 0.0, own: dict | None = None):
     """Ratings before each game of a chronologically sorted frame, home win probabilities, and the ratings at the end."""
-    rating: dict[str, float] = {}
-    played: dict[str, int] = {}
-    season = None
+    names, flat = np.unique(np.concatenate([g["home_team"].to_numpy(str), g["away_team"].to_numpy(str)]), return_inverse=True) if len(g) else (np.empty(0, str), np.empty(0, int))
     n = len(g)
-    before_h, before_a, prob = np.empty(n), np.empty(n), np.empty(n)
-    cols = [g[c].to_numpy() for c in ("season", "home_team", "away_team", "home_win", "margin", "neutral_site")]
-    for i, (s, h, a, y, m, neutral) in enumerate(zip(*cols, strict=True)):
+    home, away = flat[:n].tolist(), flat[n:].tolist()
+    margin = np.abs(g["margin"].to_numpy(float))
+    size = (np.log(margin + 1) * 2.2).tolist() if mov else [1.0] * n
+    edge = np.where(g["neutral_site"].to_numpy(bool), 0.0, hfa).tolist()
+    wins, seasons = g["home_win"].to_numpy(float).tolist(), g["season"].to_numpy().tolist()
+    rating: list[float | None] = [None] * len(names)
+    played = [0] * len(names)
+    before_h, before_a, prob = [0.0] * n, [0.0] * n, [0.0] * n
+    season = seasons[0] if n else None
+    for i, (s, h, a, y, e, m) in enumerate(zip(seasons, home, away, wins, edge, size, strict=True)):
         if s != season:
-            if season is not None:
-                for t, r in rating.items():
-                    back = regress if own is None else own.get((s, t), regress)
-                    rating[t] = START + (1 - back) * (r - START)
-            season, played = s, {}
-        rh, ra = rating.get(h, START), rating.get(a, START)
-        p = 1 / (1 + 10 ** (-(rh - ra + (0.0 if neutral else hfa)) / 400))
-        step = k_early if early and min(played.get(h, 0), played.get(a, 0)) < early else k
+            season, played = s, [0] * len(names)
+            if own is None:
+                rating = [None if r is None else START + (1 - regress) * (r - START) for r in rating]
+            else:
+                rating = [None if r is None else START + (1 - own.get((s, names[t]), regress)) * (r - START) for t, r in enumerate(rating)]
+        rh, ra = rating[h], rating[a]
+        rh, ra = START if rh is None else rh, START if ra is None else ra
+        d = rh - ra
+        p = 1 / (1 + 10 ** (-(d + e) / 400))
+        step = k_early if early and min(played[h], played[a]) < early else k
         if mov:
-            wd = rh - ra if y else ra - rh
-            step *= np.log(abs(m) + 1) * 2.2 / (0.001 * wd + 2.2)
+            step *= m / (0.001 * (d if y else -d) + 2.2)
         before_h[i], before_a[i], prob[i] = rh, ra, p
         rating[h], rating[a] = rh + step * (y - p), ra - step * (y - p)
-        played[h], played[a] = played.get(h, 0) + 1, played.get(a, 0) + 1
-    return before_h, before_a, prob, rating
+        played[h] += 1
+        played[a] += 1
+    return before_h, before_a, prob, {str(names[t]): r for t, r in enumerate(rating) if r is not None}
 
 
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -98,19 +98,23 @@ def timed_games(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Betting lines by game, book and side: the remaining line items of an order."""
+    """Betting lines by game, book and side: the remaining line items of an order that is a game.
+
+    Both sides of the game come from windows over the order that the ranking needs anyway, not from a join.
+    """
     items = ranked_items(spark, sf_dir, "l_discount", "l_tax", "l_linestatus")
+    order = Window.partitionBy("l_orderkey")
+    of = lambda k, c: F.max(F.when(F.col("rn") == k, F.col(c))).over(order)
+    items = items.withColumns({"h": of(1, "l_suppkey"), "a": of(2, "l_suppkey"), "hq": of(1, "l_quantity"), "aq": of(2, "l_quantity")}).where("rn >= 3 and h <> a and hq <> aq")
     even = F.col("l_linenumber") % 2 == 0
     lines = F.round((F.col("l_discount") - 0.05) * 200 * F.when(even, 1).otherwise(-1), 2)
-    books = items.where("rn >= 3").select(
+    return items.select(
         F.col("l_orderkey").alias("game_id"), F.when(even, "home").otherwise("away").alias("side"), lines.alias("lines"),
         F.when(F.col("l_returnflag") != "N", F.round((F.col("l_tax") - 0.04) * 200, 2)).alias("opening_lines"),
         F.when(F.col("l_linestatus") == "F", -110 - F.col("l_quantity")).otherwise(100 + F.col("l_quantity")).alias("odds"),
         F.when(F.col("l_partkey") % 2 == 0, "spread").otherwise("money_line").alias("market_type"),
+        F.concat(F.lit("S"), "h").alias("home_team"), F.concat(F.lit("S"), "a").alias("away_team"), F.concat(F.lit("B"), F.when(even, F.col("h")).otherwise(F.col("a"))).alias("abbr"),
     )
-    g = games(spark, sf_dir).select("game_id", "season", "week", "season_type", "home_team", "away_team")
-    b = books.join(g, "game_id")
-    return b.withColumn("abbr", F.concat(F.lit("B"), F.substring(F.when(F.col("side") == "home", F.col("home_team")).otherwise(F.col("away_team")), 2, 20)))
 
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +141,7 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     liquid = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.median("l_extendedprice").alias("liquidity"))
     price = F.col("p_size") / 50
     m = p.join(liquid, "p_partkey", "left")
-    return m.select(F.col("p_partkey").alias("market_id"), F.col("p_type").alias("category"), price.alias("price"), (F.col("p_partkey") % 3 != 0).cast("int").alias("active"), "liquidity", F.when(F.col("p_retailprice") > 1400, "['1','0']").when(F.col("p_retailprice") > 1000, "['0','1']").otherwise("n/a").alias("outcome_prices"))
+    return m.select(F.col("p_partkey").alias("market_id"), F.col("p_type").alias("category"), price.alias("price"), (F.col("p_partkey") % 3 != 0).cast("int").alias("active"), "liquidity", F.when(F.col("p_retailprice") > 960, "['1','0']").when(F.col("p_retailprice") > 920, "['0','1']").otherwise("n/a").alias("outcome_prices"))
 
 
 def six(c: Column) -> Column:
