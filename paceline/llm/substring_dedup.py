@@ -46,53 +46,99 @@ def anchored(words: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.n
     return runs, g[least[runs]], w
 
 
+def _pieces(mask: np.ndarray, breaks: np.ndarray) -> tuple[list[int], list[int]]:
+    """Maximal stretches of ``mask``, also cut where ``breaks`` is set: beginnings and ends."""
+    edge = np.diff(np.r_[False, mask, False].astype(np.int8))
+    begins, ends = edge[:-1] == 1, edge[1:] == -1
+    cut = mask & breaks & ~begins
+    begins = begins | cut
+    ends[np.flatnonzero(cut) - 1] = True
+    return np.flatnonzero(begins).tolist(), (np.flatnonzero(ends) + 1).tolist()
+
+
 def _runs(length: int) -> Callable:
+    """Rows of windows that share an anchor, for comparison with other tasks' rows; and rows with ``n``, windows that
+    the same few hundred documents have earlier. However often a window occurs in them, it travels once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                docs, starts, keys, hashes = [], [], [], []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                rows = zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True)
+                ids, begins, keys, hashes, at = [], [], [], [], []
+                for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
                     runs, anchors, w = anchored((text or "").encode().split(), length)
-                    if len(runs):
-                        raw = w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
-                        ends = np.r_[runs[1:], len(w)]
-                        docs += [doc] * len(runs)
-                        starts += runs.tolist()
-                        keys.append(anchors.view(np.int64))
-                        hashes += [raw[BYTES * a : BYTES * z] for a, z in zip(runs.tolist(), ends.tolist(), strict=True)]
-                flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(hashes, pa.binary())], ["anchor", "doc_id", "start", "hashes"])
+                    if len(w):
+                        ids.append(doc)
+                        at.append(len(w))
+                        begins.append(runs)
+                        keys.append(np.repeat(anchors, np.diff(np.r_[runs, len(w)])))
+                        hashes.append(w)
+                out: dict[str, list] = {k: [] for k in ("anchor", "doc_id", "start", "n", "hashes")}
+                if ids:
+                    w, key = np.concatenate(hashes), np.concatenate(keys).view(np.int64)
+                    base = np.r_[0, np.cumsum(at)[:-1]]
+                    owner = np.repeat(np.arange(len(ids)), at)
+                    _, first, back = np.unique(w, return_index=True, return_inverse=True)
+                    own = first[back] == np.arange(len(w))
+                    new_run, new_doc = np.zeros(len(w), bool), np.zeros(len(w), bool)
+                    new_run[np.concatenate([r + o for r, o in zip(begins, base, strict=True)])] = True
+                    new_doc[base] = True
+                    raw = w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+                    for a, z in zip(*_pieces(own, new_run), strict=True):
+                        o = owner[a]
+                        for c, v in zip(out, (int(key[a]), ids[o], a - int(base[o]), None, raw[BYTES * a : BYTES * z]), strict=True):
+                            out[c].append(v)
+                    # Rows of one doc_id at one place aren't repeats of each other.
+                    same = np.zeros(len(w), bool)
+                    if len(set(ids)) < len(ids):
+                        f = first[back]
+                        names = {d: k for k, d in enumerate(dict.fromkeys(ids))}
+                        name = np.array([names[d] for d in ids])
+                        same = ~own & (name[owner] == name[owner[f]]) & (np.arange(len(w)) - base[owner] == f - base[owner[f]])
+                    for a, z in zip(*_pieces(~own & ~same, new_doc), strict=True):
+                        o = owner[a]
+                        start = a - int(base[o])
+                        spread = xxhash.xxh3_64_intdigest(f"{ids[o]} {start}") - (1 << 63)
+                        for c, v in zip(out, (spread, ids[o], start, z - a, None), strict=True):
+                            out[c].append(v)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
     return run
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, doc_id and start to the windows that an earlier row has: bit i of ``bits`` for start + i."""
-    last, first, before = None, {}, None
+    """Rows sorted by anchor, doc_id and start to (doc_id, start, n): n windows from start on that an earlier row has."""
+    last, first = None, {}
     for b in batches:
         anchors = b.column("anchor").to_numpy()
         if not len(anchors):
             continue
-        n = len(anchors)
         same = np.r_[anchors[0] == last, anchors[1:] == anchors[:-1]]
         more = np.r_[same[1:], True]  # the last row's group may go on in the next batch
-        rows = np.flatnonzero(same | more)
+        rows = np.flatnonzero(same | more | b.column("n").is_valid().to_numpy(zero_copy_only=False))
         part = b.take(pa.array(rows))
-        out: dict[str, list] = {"doc_id": [], "start": [], "bits": []}
-        for i, doc, start, hashes in zip(rows.tolist(), part.column("doc_id").to_pylist(), part.column("start").to_pylist(), part.column("hashes").to_pylist(), strict=True):
+        out: list[tuple] = []
+        for i, doc, start, n, hashes in zip(rows.tolist(), *(part.column(c).to_pylist() for c in ("doc_id", "start", "n", "hashes")), strict=True):
             if not same[i]:
                 first = {}
-            bits = 0
+            if n is not None:
+                out.append((doc, start, n))
+                continue
+            begin = None
             for k in range(len(hashes) // BYTES):
-                if first.setdefault(hashes[BYTES * k : BYTES * (k + 1)], (doc, start + k)) != (doc, start + k):
-                    bits |= 1 << k
-            if bits:
-                out["doc_id"].append(doc)
-                out["start"].append(start)
-                out["bits"].append(bits)
-        last = anchors[n - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["bits"], pa.int32())], list(out))
+                here = (doc, start + k)
+                if first.setdefault(hashes[BYTES * k : BYTES * (k + 1)], here) != here:
+                    begin = k if begin is None else begin
+                elif begin is not None:
+                    out.append((doc, start + begin, k - begin))
+                    begin = None
+            if begin is not None:
+                out.append((doc, start + begin, len(hashes) // BYTES - begin))
+        last = anchors[-1]
+        kinds = (pa.int64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "start", "n"])
 
 
 def _cut(length: int) -> Callable:
@@ -104,13 +150,9 @@ def _cut(length: int) -> Callable:
                 if marks:
                     edge = np.zeros(len(words) + length + 1, np.int64)
                     for m in marks:
-                        bits, s = m["bits"], m["start"]
-                        while bits:
-                            if bits & 1:
-                                edge[s] += 1
-                                edge[s + length] -= 1
-                            bits >>= 1
-                            s += 1
+                        if m["start"] < len(words):
+                            edge[m["start"]] += 1
+                            edge[min(m["start"] + m["n"] - 1 + length, len(words))] -= 1
                     gone = np.cumsum(edge)[: len(words)] > 0
                     left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 else:
@@ -129,8 +171,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A window is ``length`` consecutive words of one document; every word that is covered by a window whose sequence
     of words also starts earlier (smaller doc_id, or same document and earlier start) goes; windows are judged on the
     input. Every window of every text is compared. A window travels with its anchor, a short run of words that any
-    equal window has too, so that neighbouring windows share a row; rows are sorted by anchor, not gathered: a task
-    streams over them and holds the first places of one anchor's windows. Windows are equal when 64 bits of the
+    equal window has too, so that neighbouring windows share a row. Of a window that some hundred documents read
+    together hold several times, only the first goes to the shuffle, so a frequent passage, or a word pair repeated
+    over a whole text, is a row a batch. Rows are sorted by anchor, not gathered: a task streams over them and holds the first places of one
+    anchor's windows. Windows are equal when 64 bits of the
     anchor's and 48 of the window's hash are.
 
     Null texts have no words. Null doc_ids count as smallest and together as one document, as do rows that repeat a doc_id: of
@@ -138,9 +182,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     words stay whole. An empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    runs = own.mapInArrow(_runs(length), "anchor long, doc_id long, start int, hashes binary")
+    runs = own.mapInArrow(_runs(length), "anchor long, doc_id long, start int, n int, hashes binary")
     ordered = runs.repartition("anchor").sortWithinPartitions("anchor", F.asc_nulls_first("doc_id"), "start")
-    repeats = ordered.mapInArrow(_repeats, "doc_id long, start int, bits int")
-    marks = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))  # of one document
+    repeats = ordered.mapInArrow(_repeats, "doc_id long, start int, n int")
+    marks = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))  # of one document
     marked = own.join(marks.withColumnRenamed("doc_id", "marked_id"), F.col("doc_id").eqNullSafe(F.col("marked_id")), "left")
     return marked.select("doc_id", "text", "marks").mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept_text string")
