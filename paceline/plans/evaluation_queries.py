@@ -218,3 +218,29 @@ def market_calibration(spark, sf):
     return m.groupBy(b).agg(F.count("*").alias("n"), six(F.avg("price")).alias("forecast"), six(F.avg("outcome")).alias("settled"), six(F.avg(F.pow(F.col("price") - F.col("outcome"), 2))).alias("brier"))
 
 
+
+
+@query(P + f" SELECT week, count(*) AS n, round(avg({_LL.format('a')}), 6) AS prior, round(avg({_LL.format('b')}), 6) AS market, round(avg({_LL.format('a')} - {_LL.format('b')}), 6) AS gap FROM (SELECT game_id, week, home_win, max(CASE WHEN model = 'prior' THEN p END) AS a, max(CASE WHEN model = 'market' THEN p END) AS b FROM predictions WHERE season_type = 'regular' GROUP BY ALL) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY week HAVING count(*) >= 40")
+def week_gap_table(spark, sf):
+    """Log loss of two forecasts by week on the games that have both, and the gap between them."""
+    rows = lines.lined_games(games(spark, sf), line_odds(spark, sf)).where("season_type = 'regular'")
+    edge = F.col("home_pregame_elo") - F.col("away_pregame_elo") + F.when(F.col("neutral_site"), 0).otherwise(55)
+    rows = rows.withColumns({"a": scalar.win_probability(edge), "b": scalar.sigmoid(-F.col("spread_home") / 7)}).where("a is not null and b is not null")
+    a, b = scalar.log_loss(F.col("a"), F.col("home_win")), scalar.log_loss(F.col("b"), F.col("home_win"))
+    return rows.groupBy("week").agg(F.count("*").alias("n"), six(F.avg(a)).alias("prior"), six(F.avg(b)).alias("market"), six(F.avg(a - b)).alias("gap")).where("n >= 40")
+
+
+@query(_BETS + """, base AS (SELECT spread_home, margin, home_win, home_odds, away_odds FROM lined LEFT JOIN ml USING (game_id) WHERE spread_home IS NOT NULL),
+    b AS (SELECT 'home_ats' AS rule, CASE WHEN margin + spread_home = 0 THEN 0.0 WHEN margin + spread_home > 0 THEN 100 / 1.1 ELSE -100.0 END AS profit FROM base
+      UNION ALL SELECT 'favourite_ml', CASE WHEN spread_home < 0 THEN CASE WHEN home_win = 1 THEN 100 * (home_odds - 1) WHEN home_odds IS NOT NULL THEN -100.0 END ELSE CASE WHEN home_win = 0 THEN 100 * (away_odds - 1) WHEN away_odds IS NOT NULL THEN -100.0 END END FROM base
+      UNION ALL SELECT 'underdog_ml', CASE WHEN spread_home >= 0 THEN CASE WHEN home_win = 1 THEN 100 * (home_odds - 1) WHEN home_odds IS NOT NULL THEN -100.0 END ELSE CASE WHEN home_win = 0 THEN 100 * (away_odds - 1) WHEN away_odds IS NOT NULL THEN -100.0 END END FROM base)
+    SELECT rule, count(profit) AS n, round(avg(profit) / 100, 6) AS roi FROM b GROUP BY rule""")
+def naive_baselines(spark, sf):
+    """What betting without a model makes: every home side against the spread, favourites, underdogs."""
+    odds = line_odds(spark, sf)
+    rows = lines.lined_games(games(spark, sf), odds).where("spread_home is not null").join(lines.moneylines(odds), "game_id", "left")
+    cover, won, fav = F.col("margin") + F.col("spread_home"), F.col("home_win") == 1, F.col("spread_home") < 0
+    side = lambda home: F.when(home, F.when(won, 100 * (F.col("home_odds") - 1)).when(F.col("home_odds").isNotNull(), -100.0)).otherwise(F.when(~won, 100 * (F.col("away_odds") - 1)).when(F.col("away_odds").isNotNull(), -100.0))
+    made = (("home_ats", F.when(cover == 0, 0.0).when(cover > 0, 100 / 1.1).otherwise(-100.0)), ("favourite_ml", side(fav)), ("underdog_ml", side(~fav)))
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), p.alias("profit")) for n, p in made])).alias("b")).select("b.*")
+    return long.groupBy("rule").agg(F.count("profit").alias("n"), six(F.avg("profit") / 100).alias("roi"))

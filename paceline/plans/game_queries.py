@@ -95,7 +95,7 @@ def head_to_head(spark, sf):
 
 
 @query(GAMES + " SELECT game_id, round(1 / (1 + pow(10, -(home_pregame_elo - away_pregame_elo + CASE WHEN neutral_site THEN 0 ELSE 55 END) / 400)), 6) AS p FROM games WHERE home_pregame_elo IS NOT NULL AND away_pregame_elo IS NOT NULL")
-def cfbd_style_elo_prob(spark, sf):
+def pregame_elo_prob(spark, sf):
     g = games(spark, sf).na.drop(subset=["home_pregame_elo", "away_pregame_elo"])
     edge = F.col("home_pregame_elo") - F.col("away_pregame_elo") + F.when(F.col("neutral_site"), 0).otherwise(55)
     return g.select("game_id", six(win_probability(edge)).alias("p"))

@@ -306,3 +306,42 @@ def bootstrap_ci(spark, sf):
     p = predictions(spark, sf).where("model in ('prior', 'market')").groupBy("game_id", "home_win").pivot("model", ["prior", "market"]).agg(F.first("p")).where("prior is not null and market is not null")
     diff = F.pow(F.col("prior") - F.col("home_win"), 2) - F.pow(F.col("market") - F.col("home_win"), 2)
     return models.bootstrap(p.select("game_id", diff.alias("diff")), resamples=400)
+
+
+@query(GAMES + SIDES + """, b AS (SELECT team, round(avg(margin), 6) AS margin, round(avg(win), 6) AS share FROM sides GROUP BY team),
+    m AS (SELECT row_number() OVER (ORDER BY margin DESC, team) AS rank, team, margin FROM b), w AS (SELECT row_number() OVER (ORDER BY share DESC, team) AS rank, team, share FROM b)
+    SELECT rank, m.team AS margin_team, margin, w.team AS share_team, share FROM m JOIN w USING (rank) WHERE rank <= 25""")
+def two_boards(spark, sf):
+    """Two top-25 rankings side by side, joined by rank."""
+    b = form.sides(games(spark, sf)).groupBy("team").agg(F.round(F.avg("margin"), 6).alias("margin"), F.round(F.avg("win"), 6).alias("share"))
+
+    def board(value):
+        top = b.orderBy(F.desc(value), "team").limit(25)
+        return top.select(F.row_number().over(Window.orderBy(F.desc(value), "team")).cast("long").alias("rank"), F.col("team").alias(f"{value}_team"), value)
+
+    return board("margin").join(board("share"), "rank")
+
+
+@query()
+def decay_tuning(spark, sf):
+    """Log loss of Bradley-Terry by decay, each decay and period its own group, over periods of the last two seasons."""
+    g = timed_games(spark, sf).where("home_division = 'fbs' and away_division = 'fbs'").drop("start_date")
+    cal = ratings.calendar(g).where("season >= 2000 and period % 8 = 0")
+    rates = (0.0, 0.35, 0.65, 1.0)
+    w = ratings.history_join(g, cal, 1.0, BACK).withColumn("back", F.col("hist_season") - F.col("season")).withColumn("decay", F.explode(F.array(*map(F.lit, rates)))).withColumn("weight", F.pow("decay", "back")).where("weight > 0")
+    now = g.join(F.broadcast(cal.select(F.col("period").alias("at"))), F.col("period") == F.col("at")).withColumn("decay", F.explode(F.array(*map(F.lit, rates)))).withColumn("weight", F.lit(None).cast("double"))
+    cols = ["decay", "at", "home_team", "away_team", "neutral_site", "home_win", "weight"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        past, new = pdf[pdf["weight"].notna()], pdf[pdf["weight"].isna()]
+        if len(past) < 50 or not len(new):
+            return pd.DataFrame({"decay": new["decay"], "home_win": new["home_win"], "p": 0.5})
+        names, s, edge = ratings.bradley_terry_solution(past)
+        value, mid = dict(zip(names, s, strict=True)), float(np.median(s))
+        d = np.array([value.get(h, mid) - value.get(a, mid) for h, a in zip(new["home_team"], new["away_team"], strict=True)]) + edge * (1.0 - new["neutral_site"].to_numpy(float))
+        return pd.DataFrame({"decay": new["decay"], "home_win": new["home_win"], "p": 1 / (1 + np.exp(-d))})
+
+    scored = w.select(*cols).unionByName(now.select(*cols)).groupBy("decay", "at").applyInPandas(run, "decay double, home_win int, p double")
+    m = evaluate.metrics(scored.withColumn("model", F.lit("bradley_terry")), "decay")
+    best = F.min(F.struct("logloss", "decay")).over(Window.partitionBy(F.lit(0)))["decay"]  # a row a decay
+    return m.select("decay", "n", six(F.col("acc")).alias("acc"), six(F.col("logloss")).alias("logloss"), (F.col("decay") == best).alias("best"))
