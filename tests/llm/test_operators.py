@@ -290,6 +290,27 @@ def test_lines(spark):
     assert got[1]["keep_id"] == 1
 
 
+def line_set(line, n=10):
+    return {line[i : i + n] for i in range(max(len(line) - n, 0) + 1)}
+
+
+def test_line_shingles_cover_every_character(spark):
+    rng = random.Random(1)
+    lines = ["short", "tencharact", "x" * 300, "https://example.org/a/1", "日本語の長い行は空白がない😀あ", *["".join(rng.choice("ab é語😀") for _ in range(n)) for n in (11, 64, 72, 73, 74, 137, 138, 700)]]
+    df = spark.createDataFrame(list(enumerate(lines)), "k int, line string")
+    sets = df.select("k", line_dedup.shingles(F.col("line")).alias("s"), line_dedup.sketch(F.col("line")).alias("low")).collect()
+    for r in sets:
+        own = line_set(lines[r["k"]])
+        assert len(set(r["s"])) == len(own) and len(r["s"]) == max(len(lines[r["k"]]) - 9, 1)
+        assert r["low"] == sorted(set(r["s"]))[:24]
+
+
+def test_lines_that_share_only_beginnings_stay(spark):
+    lines = ["https://ex.org/a/1111", "https://ex.org/b/2222", "2024-01-01T10:00:00", "2024-01-01T11:22:33", "日本語の長い行は空白がないので", "日本語の長い行は空白があるから"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, [(k, x, "s") for k, x in enumerate(lines)])).collect()}
+    assert got == dict(enumerate(lines))
+
+
 def test_urls(spark):
     urls = ["http://A.example.org/es/1", "https://example.org/en/12?x=1", "http://x.com/fr/", "http://x.com/de/9#a", "http://x.net/q?b=2", "nothing", None, "http://y.org", "x://h?://z/en/1"]
     good = [(k, f"http://good.net/page/{k}") for k in range(100, 160)] + [(k, f"http://bad.net/spam/{k}?ad=1") for k in range(160, 200)]
