@@ -311,6 +311,39 @@ def test_lines_that_share_only_beginnings_stay(spark):
     assert got == dict(enumerate(lines))
 
 
+def line_groups(lines):
+    """First line of the component of each, by brute force over all pairs."""
+    sets, first = [line_set(x) for x in lines], list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if first[i] != first[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                lo, hi = sorted((first[i], first[j]))
+                first = [lo if x == hi else x for x in first]
+    return first
+
+
+def test_hot_template_lines_against_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    head = " ".join(words(rng, 14))
+    tails = [" ".join(words(rng, 34)) for _ in range(6)]
+    lines = [f"{head} {' '.join(words(rng, 34))}"]
+    for _ in range(150):
+        w = f"{head} {rng.choice(tails)}".split()
+        w[rng.randrange(20, len(w))] = f"m{rng.randrange(1000)}"
+        lines.append(" ".join(w))
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    # all lines have the band values of their common opening, and the first, unlike every other, is the hub of all of them
+    monkeypatch.setattr(line_dedup, "bands", lambda low: F.array(F.lit(7).cast("long")))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, [(k, x, "s") for k, x in enumerate(lines)])).collect()}
+    want = line_groups(lines)
+    assert len(set(want)) == 7
+    assert {k for k, x in got.items() if x} == {k for k in got if want[k] == k}
+    monkeypatch.undo()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, [(k, x, "s") for k, x in enumerate(lines)])).collect()}
+    assert {k for k, x in got.items() if x} == {k for k in got if want[k] == k}
+
+
 def test_urls(spark):
     urls = ["http://A.example.org/es/1", "https://example.org/en/12?x=1", "http://x.com/fr/", "http://x.com/de/9#a", "http://x.net/q?b=2", "nothing", None, "http://y.org", "x://h?://z/en/1"]
     good = [(k, f"http://good.net/page/{k}") for k in range(100, 160)] + [(k, f"http://bad.net/spam/{k}?ad=1") for k in range(160, 200)]
