@@ -60,7 +60,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paceline.llm.token_output import packed_rows
 
-    return packed_rows(table(spark, sf_dir, "documents"), digest=True).drop("input_ids", "position_ids")
+    return packed_rows(table(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

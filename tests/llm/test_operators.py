@@ -239,6 +239,21 @@ def test_token_rows_round_trip(spark, odd):
             assert b"".join(x for _, x in sorted(found[i])) == encoder().ids(t or "") + (1).to_bytes(4, "little")
 
 
+def test_token_query_gives_the_whole_output(spark, odd, tmp_path):
+    from paceline.llm import queries
+
+    docs(spark, odd).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op9_token_output(spark, str(tmp_path)).collect()
+    assert rows
+    for r in rows:
+        resets = [k for a, z in zip(r["cu_seqlens"], r["cu_seqlens"][1:]) for k in range(z - a)]
+        assert len(r["input_ids"]) == 4 * 2048 and zlib.crc32(r["input_ids"]) == r["ids_crc32"]
+        assert np.frombuffer(r["position_ids"], np.uint32).tolist() == resets
+    token_output.write_packed(docs(spark, odd).coalesce(1), str(tmp_path / "packed"))
+    key = lambda r: (r["pool"], r["row"], bytes(r["input_ids"]), bytes(r["position_ids"]))
+    assert sorted(map(key, spark.read.parquet(str(tmp_path / "packed")).collect())) == sorted(map(key, rows))
+
+
 def test_best_fit():
     rng = random.Random(0)
     lengths = [rng.randint(1, 50) for _ in range(400)]
