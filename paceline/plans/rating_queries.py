@@ -221,6 +221,18 @@ def blade_chest(spark, sf):
     return ratings.blade_chest(_last_window(timed_games(spark, sf)))
 
 
+def _pagerank_chances(past: pd.DataFrame, new: pd.DataFrame) -> np.ndarray:
+    """Win probabilities by PageRank of points kept, calibrated on the window itself."""
+    h, a, hp, ap, w = (past[c].to_numpy() for c in ("home_team", "away_team", "home_points", "away_points", "weight"))
+    names, r = ratings.pagerank_values(np.r_[h, a, h, a], np.r_[a, h, h, a], np.r_[w * ap, w * hp, w * hp, w * ap])
+    value = dict(zip(names, np.log(np.maximum(r, 1e-12)), strict=True))
+    mid = float(np.median(list(value.values())))
+    diff = lambda f: np.array([value.get(x, mid) - value.get(y, mid) for x, y in zip(f["home_team"], f["away_team"], strict=True)])
+    b = ratings.calibration_fit(diff(past), 1.0 - past["neutral_site"].to_numpy(float), past["home_win"].to_numpy(float), w)
+    z = b[0] + b[1] * diff(new) + b[2] * (1.0 - new["neutral_site"].to_numpy(float))
+    return 1 / (1 + np.exp(-z))
+
+
 @query()
 def calibrated_prob(spark, sf):
     """Win probabilities of the last season from walk-forward PageRank, calibrated on each period's own window."""
@@ -234,14 +246,7 @@ def calibrated_prob(spark, sf):
         past, new = pdf[pdf["weight"].notna()], pdf[pdf["weight"].isna()]
         if len(past) < 50 or not len(new):
             return pd.DataFrame({"game_id": new["game_id"], "period": new["at"], "p": 0.5})
-        h, a, hp, ap, w = (past[c].to_numpy() for c in ("home_team", "away_team", "home_points", "away_points", "weight"))
-        names, r = ratings.pagerank_values(np.r_[h, a, h, a], np.r_[a, h, h, a], np.r_[w * ap, w * hp, w * hp, w * ap])
-        value = dict(zip(names, np.log(np.maximum(r, 1e-12)), strict=True))
-        mid = float(np.median(list(value.values())))
-        diff = lambda f: np.array([value.get(x, mid) - value.get(y, mid) for x, y in zip(f["home_team"], f["away_team"], strict=True)])
-        b = ratings.calibration_fit(diff(past), 1.0 - past["neutral_site"].to_numpy(float), past["home_win"].to_numpy(float), w)
-        z = b[0] + b[1] * diff(new) + b[2] * (1.0 - new["neutral_site"].to_numpy(float))
-        return pd.DataFrame({"game_id": new["game_id"], "period": new["at"], "p": 1 / (1 + np.exp(-z))})
+        return pd.DataFrame({"game_id": new["game_id"], "period": new["at"], "p": _pagerank_chances(past, new)})
 
     return w.select(*cols).unionByName(now.select(*cols)).groupBy("at").applyInPandas(run, "game_id long, period int, p double")
 
@@ -322,26 +327,44 @@ def two_boards(spark, sf):
     return board("margin").join(board("share"), "rank")
 
 
+#: The decays tried in tuning.
+RATES = (0.0, 0.35, 0.5, 0.65, 0.8, 1.0)
+#: Seasons of history where none is to be left out.
+ALL = 1000
+
+
+def _bradley_terry_chances(past: pd.DataFrame, new: pd.DataFrame) -> np.ndarray:
+    names, s, edge = ratings.bradley_terry_solution(past)
+    value, mid = dict(zip(names, s, strict=True)), float(np.median(s))
+    d = np.array([value.get(h, mid) - value.get(a, mid) for h, a in zip(new["home_team"], new["away_team"], strict=True)])
+    return 1 / (1 + np.exp(-(d + edge * (1.0 - new["neutral_site"].to_numpy(float)))))
+
+
 @query()
 def decay_tuning(spark, sf):
-    """Log loss of Bradley-Terry by decay, each decay and period its own group, over periods of the last two seasons."""
-    g = timed_games(spark, sf).where("home_division = 'fbs' and away_division = 'fbs'").drop("start_date")
-    cal = ratings.calendar(g).where("season >= 2000 and period % 8 = 0")
-    rates = (0.0, 0.35, 0.65, 1.0)
-    w = ratings.history_join(g, cal, 1.0, BACK).withColumn("back", F.col("hist_season") - F.col("season")).withColumn("decay", F.explode(F.array(*map(F.lit, rates)))).withColumn("weight", F.pow("decay", "back")).where("weight > 0")
-    now = g.join(F.broadcast(cal.select(F.col("period").alias("at"))), F.col("period") == F.col("at")).withColumn("decay", F.explode(F.array(*map(F.lit, rates)))).withColumn("weight", F.lit(None).cast("double"))
-    cols = ["decay", "at", "home_team", "away_team", "neutral_site", "home_win", "weight"]
+    """Log loss of PageRank and Bradley-Terry by decay over every period of the last two seasons, each period its own
+    group. All earlier games inform the ratings; those within the first division are scored."""
+    g = timed_games(spark, sf).drop("start_date")
+    seasons = g.agg((F.max("season") - 1).alias("from"))
+    cal = ratings.calendar(g).join(F.broadcast(seasons), F.col("season") >= F.col("from")).drop("from")  # one row
+    w = ratings.history_join(g, cal, 1.0, ALL).withColumn("back", (F.col("hist_season") - F.col("season")).cast("double"))
+    scored = g.where("home_division = 'fbs' and away_division = 'fbs'")
+    now = scored.join(F.broadcast(cal.select(F.col("period").alias("at"))), F.col("period") == F.col("at")).withColumn("back", F.lit(None).cast("double"))  # a row a period
+    cols = ["at", "home_team", "away_team", "home_points", "away_points", "neutral_site", "home_win", "back"]
+    families = {"pr_points_keep": _pagerank_chances, "bradley_terry": _bradley_terry_chances}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        past, new = pdf[pdf["weight"].notna()], pdf[pdf["weight"].isna()]
-        if len(past) < 50 or not len(new):
-            return pd.DataFrame({"decay": new["decay"], "home_win": new["home_win"], "p": 0.5})
-        names, s, edge = ratings.bradley_terry_solution(past)
-        value, mid = dict(zip(names, s, strict=True)), float(np.median(s))
-        d = np.array([value.get(h, mid) - value.get(a, mid) for h, a in zip(new["home_team"], new["away_team"], strict=True)]) + edge * (1.0 - new["neutral_site"].to_numpy(float))
-        return pd.DataFrame({"decay": new["decay"], "home_win": new["home_win"], "p": 1 / (1 + np.exp(-d))})
-
-    scored = w.select(*cols).unionByName(now.select(*cols)).groupBy("decay", "at").applyInPandas(run, "decay double, home_win int, p double")
-    m = evaluate.metrics(scored.withColumn("model", F.lit("bradley_terry")), "decay")
-    best = F.min(F.struct("logloss", "decay")).over(Window.partitionBy(F.lit(0)))["decay"]  # a row a decay
-    return m.select("decay", "n", six(F.col("acc")).alias("acc"), six(F.col("logloss")).alias("logloss"), (F.col("decay") == best).alias("best"))
+        past, new = pdf[pdf["back"].notna()], pdf[pdf["back"].isna()]
+        out = []
+        for rate in RATES if len(new) else ():
+            mine = past.assign(weight=np.power(rate, past["back"].to_numpy(float)))
+            mine = mine[mine["weight"] > 0]
+            for name, chances in families.items():
+                p = chances(mine, new) if len(past) >= 50 else np.full(len(new), 0.5)
+                out += [(name, rate, int(y), float(x)) for y, x in zip(new["home_win"], p, strict=True)]
+        return pd.DataFrame(out, columns=["model", "decay", "home_win", "p"])
+
+    scored = w.select(*cols).unionByName(now.select(*cols)).groupBy("at").applyInPandas(run, "model string, decay double, home_win int, p double")
+    m = evaluate.metrics(scored, "decay")
+    best = F.min(F.struct("logloss", "decay")).over(Window.partitionBy("model"))["decay"]  # a row a decay
+    return m.select(F.col("model").alias("family"), "decay", "n", six(F.col("acc")).alias("acc"), six(F.col("logloss")).alias("logloss"), (F.col("decay") == best).alias("best"))

@@ -133,3 +133,19 @@ def test_incremental_history_equals_range_join(spark):
     plain = ratings.history_join(g, cal, 0.35, 2).groupBy(F.col("at").alias("period"), "home_team").agg(F.sum(F.col("weight") * F.col("margin")).alias("m2"), F.sum("weight").alias("n2"))
     both = fast.join(plain, ["period", "home_team"], "full")
     assert both.where("m is null or m2 is null or abs(m - m2) > 1e-7 or abs(n - n2) > 1e-9").count() == 0
+
+
+def some_seasons(monkeypatch, last):
+    from paceline.plans import rating_queries
+
+    monkeypatch.setattr(rating_queries, "timed_games", lambda spark, sf: tables.timed_games(spark, sf).where(f"season <= {last}"))
+    return rating_queries
+
+
+def test_decay_tuning_scores_every_period(spark, monkeypatch):
+    q = some_seasons(monkeypatch, 1996)
+    g = tables.timed_games(spark, SF).where("season in (1995, 1996) and home_division = 'fbs' and away_division = 'fbs'")
+    n = g.join(ratings.calendar(tables.timed_games(spark, SF)), ["season", "period"]).count()
+    rows = q.decay_tuning(spark, SF).collect()
+    assert {(r["family"], r["decay"]) for r in rows} == {(f, d) for f in ("pr_points_keep", "bradley_terry") for d in (0.0, 0.35, 0.5, 0.65, 0.8, 1.0)}
+    assert {r["n"] for r in rows} == {n} and sum(r["best"] for r in rows) == 2
