@@ -235,9 +235,9 @@ def _pagerank_chances(past: pd.DataFrame, new: pd.DataFrame) -> np.ndarray:
 
 @query()
 def calibrated_prob(spark, sf):
-    """Win probabilities of the last season from walk-forward PageRank, calibrated on each period's own window."""
+    """Win probabilities of every period from walk-forward PageRank, calibrated on each period's own window."""
     g = timed_games(spark, sf).where("home_division = 'fbs' and away_division = 'fbs'")
-    cal = ratings.calendar(g).where("period >= 300")
+    cal = ratings.calendar(g)
     w = ratings.history_join(g.drop("start_date"), cal, DECAY, BACK)
     now = g.join(F.broadcast(cal.select(F.col("period").alias("at"))), F.col("period") == F.col("at")).withColumn("weight", F.lit(None).cast("double"))
     cols = ["at", "game_id", "home_team", "away_team", "home_points", "away_points", "neutral_site", "home_win", "weight"]
@@ -263,42 +263,42 @@ NAMES = ("elo_diff", "neutral", "conference", "win_pct_diff", "avg_margin_diff",
 
 @query()
 def season_lr(spark, sf):
-    return models.season_refits(_features(spark, sf), NAMES, models.logistic(), seasons=(2000, 2001))
+    return models.season_refits(_features(spark, sf), NAMES, models.logistic())
 
 
 @query()
 def season_gbm(spark, sf):
-    return models.season_refits(_features(spark, sf), NAMES, models.boosted(rounds=10), seasons=(2001,))
+    return models.season_refits(_features(spark, sf), NAMES, models.boosted())
 
 
 @query()
 def season_mlp(spark, sf):
-    return models.season_refits(_features(spark, sf), NAMES, models.perceptron(len(NAMES), rounds=20), seasons=(2001,))
+    return models.season_refits(_features(spark, sf), NAMES, models.perceptron(len(NAMES)))
 
 
 @query()
 def margin_gbm(spark, sf):
-    return models.margin_refits(_features(spark, sf), NAMES, seasons=(2001,), rounds=10)
+    return models.margin_refits(_features(spark, sf), NAMES)
 
 
 @query()
 def bagged_gbm(spark, sf):
     """Three seeds, averaged in log-odds."""
     f = _features(spark, sf)
-    parts = [models.season_refits(f, NAMES, models.boosted(rounds=5, seed=s), seasons=(2001,)) for s in range(3)]
+    parts = [models.season_refits(f, NAMES, models.boosted(seed=s)) for s in range(3)]
     return models.bagged(parts)
 
 
 @query()
 def stacker(spark, sf):
     """Logits of three closed forms, stacked by a logistic fit on all earlier seasons."""
-    return models.stacked(predictions(spark, sf), ("prior", "market", "opening"), seasons=(1999, 2000, 2001))
+    return models.stacked(predictions(spark, sf), ("prior", "market", "opening"))
 
 
 @query()
 def market_incremental(spark, sf):
     """What the prior adds to the market, on games that have both."""
-    s = models.stacked(predictions(spark, sf), ("prior", "market"), seasons=(1999, 2000, 2001)).withColumn("model", F.lit("both"))
+    s = models.stacked(predictions(spark, sf), ("prior", "market")).withColumn("model", F.lit("both"))
     m = predictions(spark, sf).where("model = 'market'").select("game_id", "model", "p", "home_win").join(s.select("game_id"), "game_id", "left_semi")
     y = games(spark, sf).select("game_id", "home_win")
     both = s.join(y, "game_id").select("game_id", "model", "p", "home_win").unionByName(m)

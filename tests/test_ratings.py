@@ -149,3 +149,24 @@ def test_decay_tuning_scores_every_period(spark, monkeypatch):
     rows = q.decay_tuning(spark, SF).collect()
     assert {(r["family"], r["decay"]) for r in rows} == {(f, d) for f in ("pr_points_keep", "bradley_terry") for d in (0.0, 0.35, 0.5, 0.65, 0.8, 1.0)}
     assert {r["n"] for r in rows} == {n} and sum(r["best"] for r in rows) == 2
+
+
+def test_season_queries_take_all_seasons(spark, monkeypatch):
+    from paceline.operators import models
+    from paceline.plans import rating_queries as q
+
+    n = {r["season"]: r["count"] for r in q._features(spark, SF).groupBy("season").count().collect()}
+    want = {s for s in n if sum(v for k, v in n.items() if k < s) >= models.MIN_TRAIN}
+    assert len(want) > 2
+    assert {r["season"]: r["count"] for r in q.season_lr(spark, SF).groupBy("season").count().collect()} == {s: n[s] for s in want}
+    asked = []
+    monkeypatch.setattr(models, "season_refits", lambda f, names, make, seasons=None, least=0: asked.append((seasons, make(900)[-1])) or spark.range(0).selectExpr("id as game_id", "1 as season", "0.5D as p"))
+    for f in (q.season_gbm, q.season_mlp, q.bagged_gbm, q.stacker):
+        f(spark, SF)
+    assert all(s is None for s, _ in asked) and [m.getMaxIter() for _, m in asked[:5]] == [50, 100, 50, 50, 50]
+
+
+def test_calibrated_prob_takes_all_periods(spark, monkeypatch):
+    q = some_seasons(monkeypatch, 1995)
+    g = q.timed_games(spark, SF).where("home_division = 'fbs' and away_division = 'fbs'")
+    assert q.calibrated_prob(spark, SF).count() == g.join(ratings.calendar(g), ["season", "period"]).count() > 0
