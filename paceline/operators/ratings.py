@@ -123,12 +123,11 @@ def ridge(window_stats: DataFrame, lam: float = 4.0, least: int = 50) -> DataFra
     """Ridge ratings per period, with the home advantage as team ``*``; none for windows under ``least`` games."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["n"].sum() < least:
-            return pd.DataFrame({"period": [], "team": [], "rating": []})
         names, r, hfa = ridge_solution(pdf, lam)
         return pd.DataFrame({"period": int(pdf["period"].iloc[0]), "team": [*names, "*"], "rating": [*r, hfa]})
 
-    return window_stats.groupBy("period").applyInPandas(run, "period int, team string, rating double")
+    enough = window_stats.groupBy("period").agg(F.sum("n").alias("games")).where(F.col("games") >= least)
+    return window_stats.join(enough.select("period"), "period", "left_semi").groupBy("period").applyInPandas(run, "period int, team string, rating double")
 
 
 def off_def_solution(pdf: pd.DataFrame, lam: float = 6.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:

@@ -153,6 +153,11 @@ def massey_recent_weights(spark, sf):
     return g.join(newest).groupBy(F.col("home_team").alias("team")).agg(F.count("*").alias("n"), six(F.sum(w)).alias("weight"), six(F.sum(w * F.col("margin"))).alias("margin"))
 
 
+def _windows(g):
+    """Every period of the calendar with its window."""
+    return ratings.history_join(g.drop("start_date"), ratings.calendar(g), DECAY, BACK)
+
+
 def _last_window(g):
     cal = ratings.calendar(g)
     last = cal.agg(F.max("period").alias("period"))
@@ -188,37 +193,36 @@ def scoring_volatility(spark, sf):
 
 @query()
 def massey_ratings(spark, sf):
-    """Ridge margin ratings of the last period, solved from its sufficient statistics."""
+    """Ridge margin ratings of every period, solved from its sufficient statistics."""
     g = timed_games(spark, sf)
     cal = ratings.calendar(g)
-    last = cal.join(F.broadcast(cal.agg(F.max("period").alias("period"))), "period", "left_semi")
-    s = ratings.history_sums(ratings.pair_stats(g, F.col("margin").cast("double")), last, ["home_team", "away_team"], ["w", "wi", "wy", "wiy", "n"], DECAY, BACK)
+    s = ratings.history_sums(ratings.pair_stats(g, F.col("margin").cast("double")), cal, ["home_team", "away_team"], ["w", "wi", "wy", "wiy", "n"], DECAY, BACK)
     return ratings.ridge(s).select("period", "team", six(F.col("rating")).alias("rating"))
 
 
 @query()
 def offense_defense_ratings(spark, sf):
-    """Offence and defence by ridge over both sides of the last period's window."""
+    """Offence and defence by ridge over both sides of every period's window."""
     side = lambda t, o, p, home: F.struct(F.col(t).alias("team"), F.col(o).alias("opp"), F.col(p).alias("points"), home.cast("double").alias("home"))
-    w = _last_window(timed_games(spark, sf))
+    w = _windows(timed_games(spark, sf))
     rows = w.select("at", F.col("weight").alias("w0"), F.explode(F.array(side("home_team", "away_team", "home_points", ~F.col("neutral_site")), side("away_team", "home_team", "away_points", F.lit(False)))).alias("x")).select("at", "w0", "x.*")
     rows = rows.groupBy("at", "team", "opp", "home").agg(F.sum("w0").alias("w"), (F.sum(F.col("w0") * F.col("points")) / F.sum("w0")).alias("points"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, off, dfn, level, bonus = ratings.off_def_solution(pdf)
-        return pd.DataFrame({"team": names, "offense": np.round(off, 6), "defense": np.round(dfn, 6), "level": round(level, 6), "home_bonus": round(bonus, 6)})
+        return pd.DataFrame({"period": int(pdf["at"].iloc[0]), "team": names, "offense": np.round(off, 6), "defense": np.round(dfn, 6), "level": round(level, 6), "home_bonus": round(bonus, 6)})
 
-    return rows.groupBy("at").applyInPandas(run, "team string, offense double, defense double, level double, home_bonus double")
+    return rows.groupBy("at").applyInPandas(run, "period int, team string, offense double, defense double, level double, home_bonus double")
 
 
 @query()
 def bradley_terry(spark, sf):
-    return ratings.bradley_terry(_last_window(timed_games(spark, sf))).select("period", "team", six(F.col("strength")).alias("strength"))
+    return ratings.bradley_terry(_windows(timed_games(spark, sf))).select("period", "team", six(F.col("strength")).alias("strength"))
 
 
 @query()
 def blade_chest(spark, sf):
-    return ratings.blade_chest(_last_window(timed_games(spark, sf)))
+    return ratings.blade_chest(_windows(timed_games(spark, sf)))
 
 
 def _pagerank_chances(past: pd.DataFrame, new: pd.DataFrame) -> np.ndarray:

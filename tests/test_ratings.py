@@ -170,3 +170,16 @@ def test_calibrated_prob_takes_all_periods(spark, monkeypatch):
     q = some_seasons(monkeypatch, 1995)
     g = q.timed_games(spark, SF).where("home_division = 'fbs' and away_division = 'fbs'")
     assert q.calibrated_prob(spark, SF).count() == g.join(ratings.calendar(g), ["season", "period"]).count() > 0
+
+
+def test_rankers_rate_every_period(spark, monkeypatch):
+    from paceline.plans import rating_queries as q
+
+    g = tables.timed_games(spark, SF).where("period < 14")
+    monkeypatch.setattr(q, "timed_games", lambda spark, sf: g)
+    want = {r["period"] for r in ratings.calendar(g).collect()}
+    assert len(want) > 5
+    for f in (q.bradley_terry, q.blade_chest, q.offense_defense_ratings):
+        assert {r["period"] for r in f(spark, SF).select("period").collect()} == want, f.__name__
+    enough = {p for p in want if g.where(f"period < {p}").count() >= 50}
+    assert {r["period"] for r in q.massey_ratings(spark, SF).select("period").collect()} == enough
