@@ -306,7 +306,8 @@ def test_lines(spark):
 
 
 def line_set(line, n=10):
-    return {line[i : i + n] for i in range(max(len(line) - n, 0) + 1)}
+    units = line.encode("utf-16-be")
+    return {units[i : i + 2 * n] for i in range(0, max(len(units) - 2 * n, 0) + 1, 2)}
 
 
 def test_line_shingles_cover_every_character(spark):
@@ -316,8 +317,8 @@ def test_line_shingles_cover_every_character(spark):
     sets = df.select("k", line_dedup.shingles(F.col("line")).alias("s"), line_dedup.sketch(F.col("line")).alias("low")).collect()
     for r in sets:
         own = line_set(lines[r["k"]])
-        assert len(set(r["s"])) == len(own) and len(r["s"]) == max(len(lines[r["k"]]) - 9, 1)
-        assert r["low"] == sorted(set(r["s"]))[:24]
+        assert len(set(r["s"])) == len(own) and len(r["s"]) == max(len(lines[r["k"]].encode("utf-16-be")) // 2 - 9, 1)
+        assert r["low"] == sorted(set(r["s"]))[: line_dedup.SKETCH]
 
 
 def test_lines_that_share_only_beginnings_stay(spark):
