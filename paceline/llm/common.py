@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -18,11 +19,15 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A temporary one is made only where it is
+    unset and all executors are threads of this machine; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir isn't set, and executors of {master} share no folder of this machine")
         path = tempfile.mkdtemp(prefix="paceline-")
         spark.sparkContext.setCheckpointDir(path)
     elif not spark.sparkContext.getCheckpointDir():
@@ -65,9 +70,7 @@ def lower_ascii(c: Column) -> Column:
 
 def n_words(c: Column) -> Column:
     """Number of words of a text; 0 for null."""
-    parts = F.split(F.coalesce(c, F.lit("")), SPACE)
-    blank = F.size(F.filter(F.array(F.element_at(parts, 1), F.element_at(parts, -1)), lambda x: x == ""))
-    return F.greatest(F.size(parts) - F.when(F.size(parts) == 1, F.least(blank, F.lit(1))).otherwise(blank), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def bits_for(rows: int, per_bucket: int, most: int = 28) -> int:
@@ -75,29 +78,46 @@ def bits_for(rows: int, per_bucket: int, most: int = 28) -> int:
     return min(most, max(0, (max(rows, 1) // per_bucket).bit_length()))
 
 
+#: Parts that a hub's edges are dealt to before they meet their node's minimum.
+SALTS = 16
+
+
+def _with_least(e: DataFrame) -> DataFrame:
+    """``e(u, v)`` with ``m``, the least v of each u. Minima are taken by (u, salt), then by u, and joined back by
+    (u, salt), so that a hub's edges never meet in one task."""
+    salted = e.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    part = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
+    low = part.groupBy(F.col("u").alias("n")).agg(F.min("m").alias("least"))
+    back = part.join(low, F.col("u") == F.col("n")).select("u", "s", F.col("least").alias("m"))
+    return salted.join(back, ["u", "s"]).drop("s")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)``, longs: ``(node, component)`` with the smallest node as component.
+    """Connected components of ``edges(a, b)``, of any ordered type: ``(node, component)``, the smallest node as component.
 
-    Alternating large-star and small-star steps; every step pre-aggregates a minimum by node and joins it back, so
-    that a hub's edges never meet in one task unsplit. Nodes without an edge are not in the result.
+    Alternating large-star and small-star steps, each with its minima by (node, salt) first. The number of steps grows
+    with the logarithm of the longest chain; an error is raised after ``rounds`` steps that haven't come to an end.
+    Nodes without an edge are not in the result.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = checkpointed(e)
-    before = _signature(e)
+    before, settled = _signature(e), False
     for _ in range(rounds):
         if not before[0]:
+            settled = True
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
+        large = _with_least(both).withColumn("m", F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        joined = _with_least(large)
+        small = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v")
         e = checkpointed(small.distinct())
         after = _signature(e)
         if after == before:
+            settled = True
             break
         before = after
+    if not settled:
+        raise RuntimeError(f"components didn't come to an end in {rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(roots)
 

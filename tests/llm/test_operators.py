@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -195,10 +196,46 @@ def test_mixing(spark, odd):
         assert 0 <= r["taken"] <= 2 * r["size"]
         source.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
     assert sorted(x[1] for x in source) == pytest.approx(sorted(target.values()))
+    total = sum(sizes.values())
+    assert sum(r["taken"] for r in got) == total * 3 // 2
     for (_, t), taken in source.items():
-        assert abs(sum(taken) - t) <= 1
-    mixed = mixing.mixed_documents(docs(spark, rows)).groupBy("doc_id").count().collect()
-    assert max(r["count"] for r in mixed if r["doc_id"] is not None and r["doc_id"] != 33) <= 2
+        assert abs(sum(taken) - t) <= mixing.QUANTUM
+
+
+def test_mixing_against_a_queue_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "QUANTUM", 16)
+    rng = random.Random(6)
+    rows = [(k, " ".join(words(rng, rng.choice((0, 1, 15, 16, 17, 40, 300)))), rng.choice("aaaaabbc")) for k in range(300)]
+    got = {r["doc_id"]: r for r in mixing.mix(docs(spark, rows), rows_per_bucket=16).collect()}
+    events = []
+    for s in "abc":
+        at = 0
+        own = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, len(t.split())) for i, t, x in rows if x == s)
+        for e in (0, 1):
+            for _, i, n in own:
+                for k in range(0, n, 16):
+                    w = min(16, n - k)
+                    events.append(((at + k + w) / got[i]["target"], s, at, i, w))
+                at += n
+    left, taken = int(1.5 * sum(len(t.split()) for _, t, _ in rows)), dict.fromkeys(got, 0)
+    for _, _, _, i, w in sorted(events):
+        taken[i] += min(w, left)
+        left -= min(w, left)
+    assert {i: r["taken"] for i, r in got.items()} == taken
+
+
+def test_mixed_documents_keep_their_rows(spark, odd):
+    rng = random.Random(4)
+    rows = odd + [(7000, "five rows of one name", "b")] * 5 + [(None, f"nameless {k} row", "a") for k in range(10)] + [(1000 + k, " ".join(words(rng, rng.randrange(60))), f"s{min(k % 9, 4)}") for k in range(400)]
+    table = docs(spark, rows).withColumn("__id", F.lit(1)).withColumn("row", F.lit("r")).withColumn("start", F.lit(2))
+    out = mixing.mixed_documents(table, rows_per_bucket=16)
+    assert out.columns == table.columns
+    have, made = Counter((i, t, s) for i, t, s in rows), Counter((r["doc_id"], r["text"], r["source"]) for r in out.collect())
+    assert all(made[k] <= 2 * have[k] for k in made) and all(made[k] == have[k] for k in have if not (k[1] or "").split())
+    want = {r["doc_id"]: r for r in mixing.mix(docs(spark, rows), rows_per_bucket=16).collect()}
+    whole = [i for i, r in want.items() if i is not None and i not in (33, 7000) and r["size"] and r["taken"] in (0, r["size"], 2 * r["size"])]
+    got = Counter(i for i, _, _ in made.elements())
+    assert len(whole) > 300 and all(got[i] == want[i]["taken"] // want[i]["size"] for i in whole)
 
 
 def test_packing(spark, odd):
@@ -312,9 +349,9 @@ def line_set(line, n=10):
 
 def test_line_shingles_cover_every_character(spark):
     rng = random.Random(1)
-    lines = ["short", "tencharact", "x" * 300, "https://example.org/a/1", "日本語の長い行は空白がない😀あ", *["".join(rng.choice("ab é語😀") for _ in range(n)) for n in (11, 64, 72, 73, 74, 137, 138, 700)]]
+    lines = ["", "short", "tencharact", "x" * 300, "xyxy " * 40 + "tail of another kind " + " ".join(words(rng, 20)), "https://example.org/a/1", "日本語の長い行は空白がない😀あ", *["".join(rng.choice("ab é語😀") for _ in range(n)) for n in (11, 64, 72, 73, 74, 137, 138, 700)]]
     df = spark.createDataFrame(list(enumerate(lines)), "k int, line string")
-    sets = df.select("k", line_dedup.shingles(F.col("line")).alias("s"), line_dedup.sketch(F.col("line")).alias("low")).collect()
+    sets = line_dedup.sketched(df.withColumn("s", line_dedup.shingles(F.col("line"))), "k", "s").collect()
     for r in sets:
         own = line_set(lines[r["k"]])
         assert len(set(r["s"])) == len(own) and len(r["s"]) == max(len(lines[r["k"]].encode("utf-16-be")) // 2 - 9, 1)
@@ -349,7 +386,7 @@ def test_hot_template_lines_against_brute_force(spark, monkeypatch):
         w[rng.randrange(20, len(w))] = f"m{rng.randrange(1000)}"
         lines.append(" ".join(w))
     monkeypatch.setattr(line_dedup, "BLOCK", 16)
-    # all lines have the band values of their common opening, and the first, unlike every other, is the hub of all of them
+    # all lines have one band value, so that one line is the hub of all of them
     monkeypatch.setattr(line_dedup, "bands", lambda low: F.array(F.lit(7).cast("long")))
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, [(k, x, "s") for k, x in enumerate(lines)])).collect()}
     want = line_groups(lines)
