@@ -358,6 +358,31 @@ def test_line_shingles_cover_every_character(spark):
         assert r["low"] == sorted(set(r["s"]))[: line_dedup.SKETCH]
 
 
+def test_lines_of_far_apart_names(spark):
+    """Names that a packed 64-bit place couldn't hold, and a recall of one on planted groups by brute force."""
+    rng = random.Random(8)
+    lines = [" ".join(words(rng, rng.randrange(6, 60))) for _ in range(60)]
+    for x in list(lines):
+        for _ in range(rng.randrange(8)):
+            w = x.split()
+            w[rng.randrange(len(w))] = f"m{rng.randrange(1000)}"
+            lines.append(" ".join(w))
+    names = sorted(rng.sample([*range(100), *range(1 << 40, (1 << 40) + 100), *range((1 << 62), (1 << 62) + 100), *range(-100, 0)], 320)[: len(lines)])
+    lines = lines[: len(names)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, [(i, x, "s") for i, x in zip(names, lines)])).collect()}
+    want = line_groups(lines)
+    assert len(set(want)) < len(lines) - 50
+    assert {i for i, x in got.items() if x} == {names[k] for k in range(len(lines)) if want[k] == k}
+
+
+def test_repeated_rows_and_very_long_lines(spark):
+    rng = random.Random(9)
+    long = " ".join(words(rng, 20_000))
+    rows = [(1, long, "s"), (2, long.replace("w7 ", "w8 ") + "\nmine", "s"), (3, "one line of text\ntwo", "s"), (3, "one line of text\ntwo", "s"), (3, "another line there\nthree", "s"), (4, "two\n" * 3000 + "end", "s"), (5, "another line there", "s")]
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs(spark, rows)).collect())
+    assert got == sorted([(1, long), (2, "mine"), (3, "one line of text\ntwo"), (3, "one line of text\ntwo"), (3, "another line there\nthree"), (4, "end"), (5, "")])
+
+
 def test_lines_that_share_only_beginnings_stay(spark):
     lines = ["https://ex.org/a/1111", "https://ex.org/b/2222", "2024-01-01T10:00:00", "2024-01-01T11:22:33", "日本語の長い行は空白がないので", "日本語の長い行は空白があるから"]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, [(k, x, "s") for k, x in enumerate(lines)])).collect()}
