@@ -2,62 +2,117 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fitting uses at most so many labelled documents of either class, and none over FIT_CHARS characters.
-TOXIC_DOCS, CLEAN_DOCS, FIT_CHARS = 4000, 6000, 30_000
-#: Bytes of what both dictionaries share, and of what each has of its own.
-SHARED, OWN = 16_384, 4096
-#: A toxic segment occurs in this share of the toxic documents at least, and so many times as often as in ordinary ones.
+#: Fitting uses at most so many labelled documents of either class, and so many characters of them.
+TOXIC_DOCS, CLEAN_DOCS, TOXIC_CHARS, CLEAN_CHARS = 4000, 6000, 6_000_000, 12_000_000
+#: Words of a window.
+WINDOW = 8
+#: Bytes of ordinary text that both dictionaries hold, and of text of its own class that each holds.
+SHARED, OWN = 98_304, 12_288
+#: Words of a segment of the shared text, and of a toxic segment to either side of its word.
+SEGMENT, BESIDE = 4, 1
+#: A toxic word occurs in this share of the toxic documents at least, and so many times as often as in ordinary ones.
 SHARE, RATIO = 0.004, 12.0
-#: Lengths at which a word's beginning counts as a segment, its leading space included.
+#: Bytes of the shortest match: less than a word says nothing about a class.
+MATCH = 4
+#: Lengths at which a word's beginning counts as a word, its leading space included.
 STEMS = (5, 6, 7, 9)
 #: A window's saving in bytes enters a document's features as one of these, or the last for more.
 SAVINGS = (1, 2, 3, 4, 5, 6, 7, 8)
-CACHE = 400_000
-_WORD = re.compile(rb"[a-z\x80-\xff]+")
+_LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 
 
-def windows(text: str | None) -> list[bytes]:
-    """The windows of a whole text: each of its words, A-Z lower-cased, with the space before it."""
-    return [b" " + w for w in _WORD.findall((text or "").encode().lower())]
+def words(text: str | None) -> list[bytes]:
+    """The words of a whole text between white space, A-Z lower-cased."""
+    return (text or "").encode().lower().split()
 
 
-def _segments(w: bytes) -> set[bytes]:
+def spoken(text: str | None) -> list[bytes]:
+    """What dictionaries are made of: the runs of letters of a text, A-Z lower-cased, without signs and digits."""
+    return _LETTERS.findall((text or "").encode().lower())
+
+
+def windows(ws: list[bytes]) -> Iterator[bytes]:
+    """A text's windows: WINDOW words each, the last one what is left. Every word is in one."""
+    for k in range(0, len(ws), WINDOW):
+        yield b" " + b" ".join(ws[k : k + WINDOW]) + b" "
+
+
+def _parts(w: bytes) -> set[bytes]:
+    w = b" " + w
     return {w + b" "} | {w[:n] for n in STEMS if len(w) > n}
 
 
 def _contexts(docs: Iterable[list[bytes]]) -> Counter:
-    """In how many different contexts (the word before) each segment occurs: copies of a document count once."""
-    seen: set[tuple[bytes, bytes]] = set()
+    """In how many different contexts (the word before) each word or beginning occurs: copies of a document count once."""
+    seen: set[int] = set()
     out: Counter = Counter()
     for ws in docs:
         for before, w in zip([b"", *ws], ws):
-            if len(w) > 4 and (before, w) not in seen:
-                seen.add((before, w))
-                out.update(_segments(w))
+            key = hash((before, w))
+            if key not in seen:
+                seen.add(key)
+                out.update(_parts(w))
     return out
 
 
-def _content(ws: Iterable[bytes], size: int) -> bytes:
-    """The words up to ``size`` bytes, the first last: what is nearest to the end costs a match the least."""
+def _covering(docs: Iterable[list[bytes]], gain: Counter, size: int, used: set[bytes]) -> bytes:
+    """Segments of the documents' texts, ``size`` bytes at most: as dictionary trainers do, those whose words gain most
+    come in and each word counts once; the most gaining stand last, nearest to what is compressed. ``used`` grows."""
+    best: list[tuple[int, list[bytes]]] = []
+    for ws in docs:
+        for k in range(0, len(ws), SEGMENT):
+            piece = ws[k : k + SEGMENT]
+            best.append((sum(gain[w] for w in set(piece)), piece))
+        best = heapq.nlargest(20_000, best, key=lambda x: x[0]) if len(best) > 400_000 else best
+    heap = [(-g, k) for k, (g, _) in enumerate(best)]
+    heapq.heapify(heap)
+    out, n = [], 0
+    while heap and n < size:
+        old, k = heapq.heappop(heap)
+        new = sum(gain[w] for w in set(best[k][1]) - used)
+        if not new:
+            continue
+        if heap and new < -heap[0][0]:
+            heapq.heappush(heap, (-new, k))
+            continue
+        used.update(best[k][1])
+        out.append(b" " + b" ".join(best[k][1]))
+        n += len(out[-1])
+    return b"".join(reversed(out))[-size:] + b" "
+
+
+def _around(docs: Iterable[list[bytes]], toxic: Counter, plain: set[bytes], size: int) -> bytes:
+    """Segments of toxic texts around the ``toxic`` words, the most frequent last: a word with the words beside it
+    that ``plain`` text has too, as others would be taken for a sign of the class. The longest such segment is taken."""
+    place: dict[bytes, bytes] = {}
+    for ws in docs:
+        for k, w in enumerate(ws):
+            if w in toxic:
+                a = next((j for j in range(k, max(k - BESIDE, 0), -1) if ws[j - 1] not in plain), max(k - BESIDE, 0))
+                z = next((j for j in range(k + 1, min(k + 1 + BESIDE, len(ws))) if ws[j] not in plain), min(k + 1 + BESIDE, len(ws)))
+                piece = b" " + b" ".join(ws[a:z])
+                if len(piece) > len(place.get(w, b"")):
+                    place[w] = piece
     out, n = [], 0
-    for w in ws:
-        if n + len(w) > size:
+    for w, _ in sorted(toxic.items(), key=lambda x: (-x[1], x[0])):
+        if n + len(place[w]) > size:
             break
-        out.append(w)
-        n += len(w)
-    return b"".join(reversed(out))
+        out.append(place[w])
+        n += len(place[w])
+    return b"".join(reversed(out)) + b" "
 
 
 @dataclass
@@ -68,37 +123,30 @@ class Model:
     ordinary: bytes
     tail: bytes
     weights: list[float]
-    saved: dict[bytes, int] = field(default_factory=dict)
 
     def __getstate__(self):
-        return {**self.__dict__, "saved": {}, "_both": None}
+        return {**self.__dict__, "_both": None}
 
-    def saving(self, w: bytes) -> int:
+    def saving(self, window: bytes) -> int:
         """Bytes that a window compresses shorter by the toxic dictionary than by the ordinary one.
 
         A tail that both dictionaries hold follows the window: what a frame costs anyway is equal then, and the window
         isn't in a frame's last bytes, where no match begins.
         """
-        got = self.saved.get(w)
-        if got is None:
-            if getattr(self, "_both", None) is None:
-                p = zstandard.ZstdCompressionParameters(compression_level=3, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=17)
-                made = []
-                for body in (self.ordinary, self.toxic):
-                    d = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                    d.precompute_compress(compression_params=p)
-                    made.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d))
-                self._both = made
-            window = w + b" " + self.tail
-            got = len(self._both[0].compress(window)) - len(self._both[1].compress(window))
-            if len(self.saved) >= CACHE:
-                self.saved.clear()
-            self.saved[w] = got
-        return got
+        if getattr(self, "_both", None) is None:
+            p = zstandard.ZstdCompressionParameters(compression_level=3, min_match=MATCH, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=17)
+            made = []
+            for body in (self.ordinary, self.toxic):
+                d = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(compression_params=p)
+                made.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress)
+            self._both = made
+        whole = window + self.tail
+        return len(self._both[0](whole)) - len(self._both[1](whole))
 
     def features(self, text: str | None) -> list[float]:
-        ws = windows(text)
-        counts = Counter(min(s, SAVINGS[-1]) for w in ws if len(w) > 4 and (s := self.saving(w)) >= SAVINGS[0])
+        ws = words(text)
+        counts = Counter(min(s, SAVINGS[-1]) for s in map(self.saving, windows(ws)) if s >= SAVINGS[0])
         per = max(len(ws), 1)
         return [1.0, math.log1p(len(ws))] + [math.log1p(counts[s]) for s in SAVINGS] + [math.log1p(1000 * counts[s] / per) for s in SAVINGS]
 
@@ -123,31 +171,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> list[float]
 
 def fit(rows: list[tuple[str | None, int]]) -> Model:
     """A model of (text, 0 or 1) rows. Three fifths train the dictionaries, the others calibrate the score."""
-    parts: dict[bool, list] = {True: [], False: []}
+    train: dict[int, list[str | None]] = {0: [], 1: []}
+    rest = []
     for k, (text, toxic) in enumerate(rows):
-        parts[k % 5 < 3].append((text, int(toxic)))
-    bags = {v: [windows(t) for t, y in parts[True] if y == v] for v in (0, 1)}
-    found = {v: _contexts(bags[v]) for v in (0, 1)}
-    n = {v: len(bags[v]) + 1 for v in (0, 1)}
+        train[int(toxic)].append(text) if k % 5 < 3 else rest.append((text, int(toxic)))
+    own = lambda v: map(spoken, train[v])
+    found = {v: _contexts(own(v)) for v in (0, 1)}
+    n = {v: len(train[v]) + 1 for v in (0, 1)}
     chosen = {s for s, c in found[1].items() if c >= max(4, SHARE * n[1]) and (c + 0.5) / n[1] >= RATIO * (found[0][s] + 0.5) / n[0]}
-    toxic_words: Counter = Counter()
-    for s in {w for ws in bags[1] for w in ws}:
-        best = max((found[1][x] for x in _segments(s) & chosen), default=0)
-        if best:
-            toxic_words[s] = found[1][s + b" "]
+    toxic: Counter = Counter()
+    for w in {w for ws in own(1) for w in ws}:
+        if _parts(w) & chosen:
+            toxic[w] = found[1][b" " + w + b" "]
     common: Counter = Counter()
-    for ws in bags[0]:
+    for ws in own(0):
         common.update(set(ws))
-    order = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
-    shared = _content(order, SHARED)
-    used = shared.count(b" ")
-    own = b" " + _content([w for w, _ in sorted(toxic_words.items(), key=lambda x: (-x[1], x[0]))], OWN)
-    rest = _content(order[used:], OWN)
-    filler = shared or b" the of and to in"
-    model = Model(filler + own, filler + (rest or b" "), filler[-60:], [])
-    y = np.array([t for _, t in parts[False]], float)
+    used: set[bytes] = set()
+    shared = _covering(own(0), common, SHARED, used) if common else b" the of and to in "
+    model = Model(_around(own(1), toxic, used, OWN) + shared, shared, shared[-60:], [])
+    y = np.array([t for _, t in rest], float)
     if 0 < y.sum() < len(y):
-        model.weights = _logistic(np.array([model.features(t) for t, _ in parts[False]]), y)
+        model.weights = _logistic(np.array([model.features(t) for t, _ in rest]), y)
     elif len(y):
         model.weights = [8.0 if y[0] else -8.0] + [0.0] * (1 + 2 * len(SAVINGS))
     return model
@@ -162,9 +206,11 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     turn = F.xxhash64("doc_id")
     some = marks.where("toxic = 1").orderBy(turn, "doc_id").limit(TOXIC_DOCS).unionByName(marks.where("toxic = 0").orderBy(turn, "doc_id").limit(CLEAN_DOCS))
-    own = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS)
-    got = own.join(F.broadcast(some), "doc_id").orderBy(turn, "doc_id").select("text", "toxic")  # a bounded number of rows
-    return fit([(r["text"], r["toxic"]) for r in got.collect()])
+    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic", turn.alias("turn"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    so_far = Window.partitionBy("toxic").orderBy("turn", "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)
+    most = F.when(F.col("toxic") == 1, TOXIC_CHARS).otherwise(CLEAN_CHARS)
+    got = got.withColumn("sum", F.sum("n").over(so_far)).where(F.col("sum") <= most)  # of a bounded number of documents
+    return fit([(r["text"], r["toxic"]) for r in got.orderBy("turn", "doc_id", "n").select("text", "toxic").collect()])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -195,13 +241,15 @@ def rejected(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted.
 
-    The dictionaries are made of what distinguishes the classes: both hold the most frequent ordinary words, the
-    toxic one then the words of toxic documents that occur in many contexts there and hardly in ordinary ones, the
-    ordinary one further ordinary words. Every window of a text is compressed with both, and how many windows are
-    shorter by how many bytes with the toxic one is calibrated to a score by a logistic fit on labelled documents that
-    the dictionaries haven't seen. Null and empty texts have no windows and get the score of a text without signal. A null doc_id
-    counts as held out. Without labels of both classes the score is that of the only class, or 0.5. Scores depend on the
-    text alone; an empty table gives no rows.
+    Both dictionaries hold the same ordinary text, then text of their own class: the toxic one the segments around the
+    words that occur in many contexts of toxic documents and hardly in ordinary ones, the ordinary one further segments
+    of ordinary documents. A text's windows of WINDOW words, in which every word is once, are compressed with
+    both, and how many windows are shorter by how many bytes with the toxic one is calibrated to a score by a logistic
+    fit on labelled documents that the dictionaries haven't seen. Fitting takes a sample by hash, bounded in documents
+    and characters by the parameters above; documents that don't fit into what is left are skipped. Null and empty
+    texts have no windows and get the score of a text without signal; very long ones are scored whole; rows that repeat
+    score the same. A null doc_id counts as held out. Without labels of both classes the score is that of the only
+    class, or 0.5. Scores depend on the text alone; an empty table gives no rows.
     """
     scored = score(docs, fit_on(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
