@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from paceline.llm.common import lower_ascii, written
 
 _SCHEMA = "doc_id long, content_key binary, text_sha256 string"
+#: Parts that the rows of one text are dealt to.
+SALTS = 64
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,15 +40,30 @@ def exact_dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
     """
     best = F.max if keep == "max" else F.min
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    prints = own.mapInArrow(_fingerprint, _SCHEMA)
-    groups = prints.groupBy("content_key").agg(best("doc_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
-    bodies = own.withColumn("body", F.coalesce("text", F.lit(""))).mapInArrow(_fingerprint, f"{_SCHEMA}, body string")
-    several = written(bodies.join(groups, "content_key"), "exact-members")
+    prints = written(_salted(own.mapInArrow(_fingerprint, _SCHEMA)), "fingerprints")
+    groups = _verdicts(prints, best, "content_key").where("group_size > 1")
+    bodies = _salted(own.withColumn("body", F.coalesce("text", F.lit(""))).mapInArrow(_fingerprint, f"{_SCHEMA}, body string"))
+    several = written(bodies.join(groups, ["content_key", "salt"]), "exact-members")
     winners = several.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("content_key").agg(F.first("body").alias("won"))
+    winners = winners.join(several.select("content_key", "salt").distinct(), "content_key")  # at most SALTS rows a group
     same = (F.col("body") == F.col("won")) | (lower_ascii(F.col("body")) == lower_ascii(F.col("won")))
-    collided = written(several.join(winners, "content_key").where(~same).select("content_key", "text_sha256").distinct(), "exact-collisions")
-    marked = prints.join(collided.withColumn("alone", F.lit(True)), ["content_key", "text_sha256"], "left") if collided.take(1) else prints.withColumn("alone", F.lit(None).cast("boolean"))
-    marked = marked.withColumn("apart", F.when(F.col("alone"), F.col("text_sha256")).otherwise(F.lit("")))
-    verdict = marked.groupBy("content_key", "apart").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    out = marked.join(verdict, ["content_key", "apart"])
+    collided = written(several.join(winners, ["content_key", "salt"]).where(~same).select("content_key", "text_sha256").distinct(), "exact-collisions")
+    apart = F.lit("")
+    if collided.take(1):
+        prints = prints.join(collided.withColumn("alone", F.lit(True)), ["content_key", "text_sha256"], "left")
+        apart = F.when(F.col("alone"), F.col("text_sha256")).otherwise(apart)
+    marked = prints.withColumn("apart", apart)
+    out = marked.join(_verdicts(marked, best, "content_key", "apart"), ["content_key", "apart", "salt"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def _salted(prints: DataFrame) -> DataFrame:
+    return prints.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_sha256"), F.lit(SALTS)).cast("int"))
+
+
+def _verdicts(rows: DataFrame, best, *key: str) -> DataFrame:
+    """keep_id and group_size of each key, a row for each salt that it has: a group is counted by (key, salt), then by
+    key, and its rows meet their verdict by (key, salt), so that no task has all rows of a group."""
+    parts = rows.groupBy(*key, "salt").agg(best("doc_id").alias("keep"), F.count("*").alias("n"))
+    whole = parts.groupBy(*key).agg(best("keep").alias("keep_id"), F.sum("n").alias("group_size"))
+    return parts.select(*key, "salt").join(whole, list(key))
