@@ -32,7 +32,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in b.column("embedding").to_pylist():
             v = None if x is None or any(y is None for y in x) else np.array(x, np.float64) + 0.0
             usable = v is not None and v.size and np.isfinite(v).all() and v.any()
-            vecs.append(v.tobytes() if usable else None)
+            # Scaled by a power of two, which is exact and changes no cosine: squares neither overflow nor vanish.
+            vecs.append((np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])) + 0.0).tobytes() if usable else None)
         keys = [None if v is None else xxhash.xxh3_128_digest(v) for v in vecs]
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], ["vec_id", "key", "vec"])
 
@@ -131,7 +132,8 @@ def _compare(cosine: float) -> Callable:
         i, j = i[exact], j[exact]
         here = int(pdf["leaf"].iloc[0]) * TREES + int(pdf["tree"].iloc[0])
         order = lambda c: (c % TREES, c)
-        earlier = [{c for c in codes if order(c) < order(here)} for codes in pdf["codes"]]
+        codes = pdf["codes"]
+        earlier = {a: {c for c in codes[a] if order(c) < order(here)} for a in np.unique(np.concatenate([i, j])).tolist()}
         first = np.fromiter((earlier[a].isdisjoint(earlier[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
         i, j = i[first], j[first]
         weight, ids = pdf["weight"].to_numpy(), pdf["vec_id"].to_numpy()
