@@ -10,8 +10,13 @@ from paceline.llm.common import checkpointed, lower_ascii
 
 #: (verdict, host, path): fixed values of the query's contract.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: A mined rule holds for this share of the labelled pages, and so often that its pages are bad at this rate.
-SUPPORT, CONFIDENCE = 0.001, 0.5
+#: A mined rule holds for so many bad pages and this share of the pages it is mined from, and these are bad at this rate.
+LEAST, SUPPORT, CONFIDENCE = 20, 0.001, 0.5
+#: A rule is confirmed on labelled pages it wasn't mined from: their bad rate is CONFIDENCE at least, and over the rate
+#: of all pages by so many standard deviations of its estimate (Wilson's lower bound).
+DEVIATIONS = 2.0
+#: Parts that the pages of one set of tokens are dealt to.
+SALTS = 16
 BAD = "label=bad"
 
 
@@ -58,26 +63,59 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     return rules.join(covered, "antecedent", "left_anti")
 
 
+def matched(kinds: DataFrame, rules: DataFrame) -> DataFrame:
+    """``kinds(tokens, n)`` with the ``antecedent`` of every rule whose tokens they hold: a row for each.
+
+    A rule stands under its rarest token of an inverted index, and is compared with the sets that have that token.
+    """
+    held = kinds.select(F.explode("tokens").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
+    keyed = rules.select("antecedent", F.explode("antecedent").alias("token")).join(held, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    hits = kinds.withColumn("token", F.explode("tokens")).join(keyed, "token").drop("token")
+    return hits.where(F.size(F.array_except("antecedent", "tokens")) == 0)
+
+
+def confirmed(rules: DataFrame, kinds: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+    """The ``rules`` that hold on ``kinds(tokens, n, bad)``, pages that they weren't mined from."""
+    rate = kinds.agg((F.sum("bad") / F.sum("n")).alias("rate"))
+    z = DEVIATIONS
+    p = F.col("hit") / F.col("all")
+    low = (p + z * z / (2 * F.col("all")) - z * F.sqrt(p * (1 - p) / F.col("all") + z * z / (4 * F.col("all") * F.col("all")))) / (1 + z * z / F.col("all"))
+    tried = matched(kinds, rules).groupBy("antecedent").agg(F.sum("n").alias("all"), F.sum("bad").alias("hit"))
+    return tried.join(F.broadcast(rate)).where((p >= confidence) & (low > F.col("rate"))).select("antecedent")  # one row
+
+
+def learned(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """Rules of ``labelled(page_id, tokens, bad)``: mined from four fifths of the pages and confirmed on the others.
+
+    The fifths go by page_id's hash. What chance makes look like a rule in one part it doesn't in the other: labels
+    that have nothing to do with URLs leave no rule.
+    """
+    turn = F.pmod(F.xxhash64("page_id"), F.lit(5))
+    rows = checkpointed(labelled.select(turn.alias("fifth"), "tokens", "bad"))
+    train, other = rows.where("fifth > 0"), rows.where("fifth = 0")
+    n = train.count()
+    found = checkpointed(mined_rules(train.select("tokens", "bad"), max(support, min(LEAST / max(n, 1), 1.0)), confidence))
+    kinds = other.groupBy("tokens").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+    return checkpointed(confirmed(found, kinds, confidence))
+
+
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """One row per row of ``pages(page_id, url)``: page_id, host, path, rule, verdict.
 
-    Where a host and path rule fits, the longest decides. Elsewhere a page is blocked if a mined rule's tokens are all
-    in its URL, and allowed else. Rules are mined from the pages that ``labels`` marks (by doc_id = page_id; bad:
-    quality 0 or toxic 1). Matching takes an inverted index: a rule stands under its rarest token, pages are one row a
-    set of tokens, so a host with a third of all pages is few rows. Null urls and urls without ``://`` have empty host
-    and path, fit no rule and are allowed; without labelled pages no rule is mined. Null page_ids and rows that
-    repeat are judged like any. Other columns aren't read. An empty table gives no rows.
+    Where a host and path rule fits, the longest decides. Elsewhere a page is blocked if a learned rule's tokens are
+    all in its URL, and allowed else. Rules are learned from the pages that ``labels`` marks (by doc_id = page_id; bad:
+    quality 0 or toxic 1). Pages are one row a set of tokens when they are matched, and are dealt out by salt when they
+    meet their verdict, so a host with a third of all pages is no hot key. Null urls and urls without ``://`` have
+    empty host and path, fit no rule and are allowed; without labelled pages no rule is learned. Null page_ids, very
+    long urls and rows that repeat are judged like any. Other columns aren't read. An empty table gives no rows.
     """
     own = pages.select("page_id", F.col("url").alias("url")).withColumn("tokens", tokens(F.col("url")))
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
-    labelled = own.where(F.size("tokens") > 0).join(marks, "page_id").select("tokens", "bad")
-    found = checkpointed(mined_rules(labelled, support, confidence))
+    found = learned(own.where(F.size("tokens") > 0).join(marks, "page_id").select("page_id", "tokens", "bad"), support, confidence)
     kinds = own.groupBy("tokens").agg(F.count("*").alias("n"))
-    held = kinds.select(F.explode("tokens").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("n"))
-    keyed = found.select("antecedent", F.explode("antecedent").alias("token")).join(held, "token").groupBy("antecedent").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    hits = kinds.select("tokens", F.explode("tokens").alias("token")).join(keyed, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
-    blocked = hits.groupBy("tokens").agg(F.count("*").alias("hits"))
-    out = own.join(blocked, "tokens", "left").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    blocked = matched(kinds, found).select("tokens").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("hit", F.lit(True))
+    out = own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(blocked, ["tokens", "salt"], "left")
+    out = out.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     out = out.withColumn("best", rule_for(F.col("host"), F.col("path"), rules))
-    method = F.when(F.col("hits") > 0, F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), method).alias("verdict"))
