@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +90,8 @@ def _rows(name: str, capacity: int, digest: bool) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(name), END.to_bytes(4, "little")
+        task = TaskContext.get()
+        part, pools = task.partitionId() if task else 0, 0
         parts: list[tuple[int, int, bytes]] = []
         held = 0
         for b in batches:
@@ -98,10 +101,10 @@ def _rows(name: str, capacity: int, digest: bool) -> Callable:
                     parts.append((doc, at // 4, ids[at : at + 4 * capacity]))
                 held += len(ids) // 4
                 if held >= POOL_TOKENS:
-                    yield flush(f"{parts[0][0]}:{parts[0][1]}", parts)
-                    parts, held = [], 0
+                    yield flush(f"{part}-{pools}", parts)
+                    parts, held, pools = [], 0, pools + 1
         if parts:
-            yield flush(f"{parts[0][0]}:{parts[0][1]}", parts)
+            yield flush(f"{part}-{pools}", parts)
 
     return run
 
@@ -111,7 +114,8 @@ def packed_rows(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAP
 
     A document is its ids and then END; one longer than ``capacity`` is split without loss. Pools of POOL_TOKENS
     tokens are packed where they are read, by best fit decreasing, with no shuffle; a lost executor's tasks are just
-    run anew. A row: input_ids (``capacity`` little-endian unsigned 32-bit ids, padded with PAD), n_tokens,
+    run anew, and a pool's name (partition and number in it) is its own, whatever names documents have. Reruns over the
+    same partitions agree; other partitions make other pools. A row: input_ids (``capacity`` little-endian unsigned 32-bit ids, padded with PAD), n_tokens,
     cu_seqlens (cumulative segment lengths from 0), position_ids (from 0 in each segment), doc_ids and starts of its
     segments, ids_crc32 of input_ids. ``digest`` leaves input_ids and position_ids null. Null texts are empty
     documents; null doc_ids are kept as null; an empty table gives no rows; rows that repeat are packed as often.

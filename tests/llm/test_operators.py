@@ -47,6 +47,18 @@ def test_exact(spark, odd):
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, -1 if r["keep_id"] is None else r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
 
 
+def test_exact_hot_group(spark):
+    rows = [(k, "the Same hot text" if k % 3 else f"text {k % 60}", "s") for k in range(3000)] + [(7, "the same hot text", "s"), (None, "the same hot text", "s")]
+    got = exact_dedup.exact_dedup(docs(spark, rows).repartition(9)).collect()
+    groups = Counter(t.lower() for _, t, _ in rows)
+    keep = {}
+    for i, t, _ in rows:
+        keep[t.lower()] = max(keep.get(t.lower(), -1), -1 if i is None else i)
+    names = {hashlib.sha256(t.encode()).hexdigest(): t for t in groups}
+    assert len(got) == len(rows) and Counter(r["text_sha256"] for r in got) == {hashlib.sha256(t.encode()).hexdigest(): n for t, n in groups.items()}
+    assert all((r["keep_id"], r["group_size"]) == (keep[names[r["text_sha256"]]], groups[names[r["text_sha256"]]]) and r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
+
+
 def test_exact_collision(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "_fingerprint", colliding())
     rows = [(1, "a", "s"), (2, "a", "s"), (3, "b", "s"), (4, "b", "s"), (5, "c", "s")]
@@ -327,6 +339,24 @@ def test_vectors(spark):
     assert all(got[i] == (0, i) for i in range(600, 605)) and got[None] == (0, None)
 
 
+def test_vectors_beyond_the_sample(spark, monkeypatch):
+    """Trees that go deeper than their sample, and vectors whose squares over- or underflow: every planted link is found."""
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 200)
+    monkeypatch.setattr(embedding_dedup, "NODE", 16)
+    monkeypatch.setattr(embedding_dedup, "LEAF", 32)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((1500, 24))
+    near = base[:500] + 0.2 * rng.standard_normal((500, 24))
+    rows = [(i, v) for i, v in enumerate([*base, *near])] + [(9000, base[0] * 1e-200), (9001, base[1] * 1e200), (9002, base[2] * 1e-310)]
+    own = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(own).collect()}
+    x = np.array([v / np.abs(v).max() for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = dict(zip([i for i, _ in rows], ((x @ x.T >= 0.95).sum(1) - 1).tolist()))
+    assert sum(want.values()) > 800 and all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.99 * sum(want.values())
+    assert all(got[i] == want[i] for i in (9000, 9001))
+
+
 def test_lines(spark):
     para = "The quick brown foxes jumped over many lazy dogs while the sun was setting behind old hills and the people of the town went home to sleep until morning"
     rows = [
@@ -424,15 +454,34 @@ def test_hot_template_lines_against_brute_force(spark, monkeypatch):
 
 def test_urls(spark):
     urls = ["http://A.example.org/es/1", "https://example.org/en/12?x=1", "http://x.com/fr/", "http://x.com/de/9#a", "http://x.net/q?b=2", "nothing", None, "http://y.org", "x://h?://z/en/1"]
-    good = [(k, f"http://good.net/page/{k}") for k in range(100, 160)] + [(k, f"http://bad.net/spam/{k}?ad=1") for k in range(160, 200)]
+    good = [(k, f"http://good.net/page/{k}") for k in range(100, 360)] + [(k, f"http://bad.net/spam/{k}?ad=1") for k in range(360, 500)]
+    good += [(None, "http://bad.net/spam/1?ad=1"), (7000, "http://bad.net/spam/2?ad=1"), (7000, "http://bad.net/spam/2?ad=1"), (7001, "http://bad.net/spam/" + "x/" * 30_000 + "?ad=1")]
     pages = spark.createDataFrame([*enumerate(urls), *good], "page_id long, url string").withColumn("rule", F.lit(1))
-    labels = spark.createDataFrame([(k, 1, int(k >= 160)) for k in range(100, 195)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(k, 1, int(k >= 360)) for k in range(100, 490)], "doc_id long, quality int, toxic int")
     got = {r["page_id"]: r for r in url_filters.filter_urls(pages, labels).collect()}
     assert [(got[k]["host"], got[k]["path"], got[k]["rule"], got[k]["verdict"]) for k in range(len(urls))] == [
         ("a.example.org", "/es/1", "example.org/es/", "block"), ("example.org", "/en/12", "example.org/en/1", "block"), ("x.com", "/fr/", "com/fr/", "allow"), ("x.com", "/de/9", "com/de/", "block"),
         ("x.net", "/q", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("y.org", "", None, "allow"), ("h", "", None, "allow"),
     ]
-    assert all(got[k]["verdict"] == ("block" if k >= 160 else "allow") for k in range(100, 200))
+    assert all(got[k]["verdict"] == ("block" if k >= 360 else "allow") for k in range(100, 500))
+    assert got[None]["verdict"] == got[7000]["verdict"] == got[7001]["verdict"] == "block"
+
+
+def test_url_labels_without_meaning_make_no_rule(spark):
+    rng = random.Random(3)
+    pages = [(k, f"http://h{rng.randrange(9)}.net/p{rng.randrange(9)}/q{rng.randrange(9)}") for k in range(1500)]
+    labels = [(k, int(rng.random() > 0.3), 0) for k in range(1500)]
+    got = url_filters.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == 1500 and sum(r["verdict"] == "block" for r in got) <= 15
+
+
+def test_url_matching_against_brute_force(spark):
+    rng = random.Random(2)
+    kinds = [(sorted({f"t{rng.randrange(9)}" for _ in range(4)}), rng.randrange(1, 9)) for _ in range(80)]
+    rules = [tuple(sorted({f"t{rng.randrange(9)}" for _ in range(n)})) for n in (1, 2, 2, 3, 3, 3)]
+    got = url_filters.matched(spark.createDataFrame(kinds, "tokens array<string>, n long"), spark.createDataFrame([(list(r),) for r in rules], "antecedent array<string>")).collect()
+    want = Counter((tuple(k), n, r) for k, n in kinds for r in rules if set(r) <= set(k))
+    assert Counter((tuple(r["tokens"]), r["n"], tuple(r["antecedent"])) for r in got) == want
 
 
 def test_url_rules_against_brute_force(spark):
