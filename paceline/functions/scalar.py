@@ -8,7 +8,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Time zones of venues, hours from UTC.
-UTC_OFFSET = {"America/New_York": -5, "America/Detroit": -5, "America/Chicago": -6, "America/Denver": -7, "America/Los_Angeles": -8, "Pacific/Honolulu": -10}
+UTC_OFFSET = {
+    "America/New_York": -5,
+    "America/Detroit": -5,
+    "America/Indiana/Indianapolis": -5,
+    "America/Kentucky/Louisville": -5,
+    "America/Chicago": -6,
+    "America/Denver": -7,
+    "America/Phoenix": -7,
+    "America/Boise": -7,
+    "America/Los_Angeles": -8,
+    "America/Anchorage": -9,
+    "Pacific/Honolulu": -10,
+    "America/Indiana/Knox": -6,
+    "America/Menominee": -6,
+    "America/North_Dakota/Center": -6,
+}
 
 
 def win_probability(diff: Column, scale: float = 400.0) -> Column:
@@ -72,9 +87,9 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def utc_offset(zone: Column) -> Column:
-    """Hours from UTC of a known zone; 0 for any other or none."""
+    """Hours from UTC of a known zone; null for any other or none."""
     table = F.create_map(*[F.lit(x) for kv in UTC_OFFSET.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, zone), F.lit(0))
+    return F.try_element_at(table, zone)
 
 
 def first_price(prices: Column) -> Column:
@@ -108,4 +123,15 @@ def left_closed(x: Column, edges: tuple[float, ...]) -> Column:
 
 
 def week_band(week: Column) -> Column:
+    """Five phases of a season."""
     return F.when(week <= 1, "1").when(week <= 4, "2-4").when(week <= 9, "5-9").when(week <= 13, "10-13").otherwise("14+")
+
+
+def week_phase(week: Column) -> Column:
+    """Four phases, as figures by week show them."""
+    return F.when(week <= 1, "1").when(week <= 4, "2-4").when(week <= 9, "5-9").otherwise("10+")
+
+
+def week_third(week: Column) -> Column:
+    """The bands that stacks are fitted by."""
+    return F.when(week <= 3, "0-3").when(week <= 8, "4-8").otherwise("9+")

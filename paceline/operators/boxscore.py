@@ -50,7 +50,7 @@ def efficiency_margins(box: DataFrame, least: int = 20) -> DataFrame:
     names = ("yards", "successes", "explosives", "turnovers", "havoc")
     both = box.join(box.select("season", "game_id", F.col("team").alias("t2"), F.col("plays").alias("p2"), *[F.col(c).alias(f"{c}_2") for c in names]), ["season", "game_id"])
     both = both.where((F.col("team") % 2 == 0) & (F.col("t2") == F.col("team") + 1) & (F.col("plays") >= least) & (F.col("p2") >= least))
-    return both.select("season", "game_id", *[(F.col(c) / F.col("plays") - F.col(f"{c}_2") / F.col("p2")).alias(f"{c}_margin") for c in names])
+    return both.select("season", "game_id", "team", F.col("t2").alias("opp"), *[(F.col(c) / F.col("plays") - F.col(f"{c}_2") / F.col("p2")).alias(f"{c}_margin") for c in names])
 
 
 def production(plays: DataFrame) -> DataFrame:
@@ -70,14 +70,32 @@ def returning(plays: DataFrame, rosters: DataFrame) -> DataFrame:
 
 
 def continuity(rosters: DataFrame) -> DataFrame:
-    """Athletes on both this and last season's roster over last season's."""
+    """Athletes on both this and last season's roster over last season's; 0 for a team whose athletes all left."""
     last = rosters.select((F.col("season") + 1).alias("season"), "team", "athlete_id")
     now = rosters.select("season", "team", "athlete_id", F.lit(1).alias("here"))
+    seasons = rosters.select("season").distinct()
+    last = last.join(F.broadcast(seasons), "season", "left_semi")  # a row a season
     both = last.join(now, ["season", "team", "athlete_id"], "left").groupBy("season", "team").agg(F.count("here").alias("stay"), F.count("*").alias("n"))
-    return both.where("stay > 0").select("season", "team", (F.col("stay") / F.col("n")).alias("roster_continuity"))
+    return both.select("season", "team", (F.col("stay") / F.col("n")).alias("roster_continuity"))
+
+
+def placed(sides: DataFrame, venues: DataFrame) -> DataFrame:
+    """``sides(season, team)`` with their venue of the season or, where a season has none, of the team's first season."""
+    names = ("lat", "lon", "zone", "elev")
+    own = venues.select("season", "team", F.struct(*names).alias("own"))
+    first = venues.groupBy("team").agg(F.min_by(F.struct(*names), "season").alias("any"))
+    x = sides.join(own, ["season", "team"], "left").join(first, "team", "left").withColumn("v", F.coalesce("own", "any"))
+    return x.select("season", "team", "v.*")
 
 
 def travel(trips: DataFrame) -> DataFrame:
-    """``trips`` with home_/away_ lat, lon, zone, elevation: kilometres, hours and metres between; 0 hours if unknown."""
-    km = haversine_km(F.col("home_lat"), F.col("home_lon"), F.col("away_lat"), F.col("away_lon"))
-    return trips.withColumns({"km": km, "tz_diff": utc_offset(F.col("home_zone")) - utc_offset(F.col("away_zone")), "climb": F.col("home_elev") - F.col("away_elev")})
+    """``trips`` with neutral_site and home_/away_ lat, lon, zone, elev: km, hours and metres of the away side's way.
+
+    All are 0 at neutral sites and where a side's place is unknown; hours are 0 where a zone is, metres count an unknown
+    height as 0.
+    """
+    km = haversine_km(F.col("away_lat"), F.col("away_lon"), F.col("home_lat"), F.col("home_lon"))
+    known = ~F.col("neutral_site") & F.col("home_lat").isNotNull() & F.col("away_lat").isNotNull()
+    hours = F.coalesce(utc_offset(F.col("home_zone")) - utc_offset(F.col("away_zone")), F.lit(0))
+    climb = F.coalesce("home_elev", F.lit(0)) - F.coalesce("away_elev", F.lit(0))
+    return trips.withColumns({"km": F.when(known, km).otherwise(0.0), "tz_diff": F.when(known, hours).otherwise(0), "climb": F.when(known, climb).otherwise(0)})

@@ -131,16 +131,24 @@ def ridge(window_stats: DataFrame, lam: float = 4.0, least: int = 50) -> DataFra
 
 
 def off_def_solution(pdf: pd.DataFrame, lam: float = 6.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
-    """Teams, offence, defence, level, home bonus of points ~ level + offence - defence + home bonus."""
-    names, flat = np.unique(np.concatenate([pdf["team"], pdf["opp"]]), return_inverse=True)
+    """Teams, offence, defence, level and home bonus of points ~ level + offence - defence + home bonus.
+
+    ``pdf``: team, opp, home, w and wp, the weights and weighted points of a team's games against another. Only the
+    normal equations of 2 n + 2 unknowns are held; offence and defence are penalised.
+    """
+    names, flat = np.unique(np.concatenate([pdf["team"].to_numpy(str), pdf["opp"].to_numpy(str)]), return_inverse=True)
     t, o = flat[: len(pdf)], flat[len(pdf) :]
     n = len(names)
-    x = np.zeros((len(pdf), 2 * n + 2))
-    k = np.arange(len(pdf))
-    x[k, t], x[k, n + o], x[k, 2 * n], x[k, 2 * n + 1] = 1, -1, 1, pdf["home"].to_numpy(float)
-    w = pdf["w"].to_numpy(float)
-    m = (x * w[:, None]).T @ x + np.diag(np.r_[np.full(2 * n, lam), 1e-6, 1e-6])
-    z = np.linalg.solve(m, x.T @ (w * pdf["points"].to_numpy(float)))
+    w, wp, home = (pdf[c].to_numpy(float) for c in ("w", "wp", "home"))
+    # The columns of a row of the design, and their signs: offence, defence, level, home bonus.
+    places = (t, n + o, np.full(len(pdf), 2 * n), np.full(len(pdf), 2 * n + 1))
+    signs = (np.ones(len(pdf)), -np.ones(len(pdf)), np.ones(len(pdf)), home)
+    m, b = np.diag(np.r_[np.full(2 * n, lam), 1e-8, 1e-8]), np.zeros(2 * n + 2)
+    for p, x in zip(places, signs, strict=True):
+        b += np.bincount(p, x * wp, 2 * n + 2)
+        for q, z in zip(places, signs, strict=True):
+            np.add.at(m, (p, q), x * z * w)
+    z = np.linalg.solve(m, b)
     return names, z[:n], z[n : 2 * n], float(z[2 * n]), float(z[2 * n + 1])
 
 
@@ -170,16 +178,6 @@ def bradley_terry_solution(pdf: pd.DataFrame, reg: float = 3.0, rounds: int = 60
     return names, x[:n], float(x[n])
 
 
-def bradley_terry(windowed: DataFrame, reg: float = 3.0) -> DataFrame:
-    """``history_join`` rows to strengths per period, the home edge as team ``*``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, s, edge = bradley_terry_solution(pdf, reg)
-        return pd.DataFrame({"period": int(pdf["at"].iloc[0]), "team": [*names, "*"], "strength": [*s, edge]})
-
-    return windowed.groupBy("at").applyInPandas(run, "period int, team string, strength double")
-
-
 def minimise(f, x: np.ndarray, rounds: int = 200, memory: int = 10, tol: float = 1e-7) -> np.ndarray:
     """L-BFGS with backtracking for ``f(x) -> (value, gradient)``."""
     value, grad = f(x)
@@ -227,26 +225,24 @@ def blade_chest_loss(x: np.ndarray, h: np.ndarray, a: np.ndarray, ind: np.ndarra
     return loss, np.concatenate([gb.ravel() + reg * b.ravel(), gc.ravel() + reg * c.ravel(), gs + reg * s, [(r * ind).sum()]])
 
 
-def blade_chest(windowed: DataFrame, dim: int = 3, reg: float = 1.0, seed: int = 0) -> DataFrame:
-    """``history_join`` rows to blades, chests and strengths per period; a seeded start, as the loss isn't convex."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, flat = np.unique(np.concatenate([pdf["home_team"], pdf["away_team"]]), return_inverse=True)
-        n = len(names)
-        start = np.concatenate([0.1 * np.random.default_rng(seed).standard_normal(2 * n * dim), np.zeros(n), [0.3]])
-        y, ind = pdf["home_win"].to_numpy(float), 1.0 - pdf["neutral_site"].to_numpy(float)
-        args = (flat[: len(pdf)], flat[len(pdf) :], ind, y, pdf["weight"].to_numpy(float), n, dim, reg)
-        x = minimise(lambda v: blade_chest_loss(v, *args), start)
-        return pd.DataFrame({"period": int(pdf["at"].iloc[0]), "team": names, "blade": list(x[: n * dim].reshape(n, dim)), "chest": list(x[n * dim : 2 * n * dim].reshape(n, dim)), "strength": x[2 * n * dim : -1], "home_edge": x[-1]})
-
-    return windowed.groupBy("at").applyInPandas(run, "period int, team string, blade array<double>, chest array<double>, strength double, home_edge double")
-
-
-def calibration_fit(diff: np.ndarray, ind: np.ndarray, y: np.ndarray, w: np.ndarray, c: float = 1.0) -> np.ndarray:
-    """Intercept and coefficients of a logistic fit, the coefficients' squares over 2c penalised; one class: a constant."""
-    if y.min() == y.max():
-        return np.array([30.0 if y[0] else -30.0, 0.0, 0.0])
-    x, b, pen = np.column_stack([np.ones_like(diff), diff, ind]), np.zeros(3), np.array([0.0, 1 / c, 1 / c])
+def blade_chest_solution(pdf: pd.DataFrame, dim: int = 3, reg: float = 1.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Teams, blades, chests, strengths and home edge; a seeded start, as the loss isn't convex."""
+    names, flat = np.unique(np.concatenate([pdf["home_team"].to_numpy(str), pdf["away_team"].to_numpy(str)]), return_inverse=True)
+    n, k = len(names), len(pdf)
+    start = np.concatenate([0.1 * np.random.default_rng(seed).standard_normal(2 * n * dim), np.zeros(n), [0.3]])
+    y, ind = pdf["home_win"].to_numpy(float), 1.0 - pdf["neutral_site"].to_numpy(float)
+    args = (flat[:k], flat[k:], ind, y, pdf["weight"].to_numpy(float), n, dim, reg)
+    x = minimise(lambda v: blade_chest_loss(v, *args), start)
+    return names, x[: n * dim].reshape(n, dim), x[n * dim : 2 * n * dim].reshape(n, dim), x[2 * n * dim : -1], float(x[-1])
+
+
+def calibration_fit(diff: np.ndarray, ind: np.ndarray | None, y: np.ndarray, w: np.ndarray, c: float = 1.0) -> np.ndarray:
+    """Intercept and coefficients (of ``diff`` and, if given, ``ind``) of a logistic fit, the coefficients' squares over
+    2c penalised; of one class: a constant. ``y`` may be shares of wins, as the likelihood is linear in them."""
+    x = np.column_stack([np.ones_like(diff), diff] + ([] if ind is None else [ind]))
+    if y[w > 0].min(initial=1.0) == y[w > 0].max(initial=0.0) and y[w > 0].min(initial=1.0) in (0.0, 1.0):
+        return np.array([30.0 if y[w > 0].min() else -30.0] + [0.0] * (x.shape[1] - 1))
+    b, pen = np.zeros(x.shape[1]), np.array([0.0] + [1 / c] * (x.shape[1] - 1))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(pen + 1e-12), x.T @ (w * (y - p)) - pen * b)
@@ -256,11 +252,13 @@ def calibration_fit(diff: np.ndarray, ind: np.ndarray, y: np.ndarray, w: np.ndar
     return b
 
 
-def rated(g: DataFrame, ratings: DataFrame, value: str) -> DataFrame:
-    """Games with both sides' ratings of their period; a team without one takes the period's median."""
-    base = ratings.where("team <> '*'").groupBy("period").agg(F.median(value).alias("base"))
-    r = ratings.where("team <> '*'").select("period", "team", value)
+def rated(g: DataFrame, ratings: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    """Games with both sides' ratings of their period as home_ and away_ columns: a team without them takes the
+    period's medians. Periods without ratings have no rows."""
+    own = ratings.where("team <> '*'")
+    base = own.groupBy("period").agg(*[F.median(v).alias(f"base_{v}") for v in values])
     out = g.join(base, "period")
     for s in ("home", "away"):
-        out = out.join(r.select("period", F.col("team").alias(f"{s}_team"), F.col(value).alias(f"{s}_r")), ["period", f"{s}_team"], "left")
-    return out.withColumn("diff", F.coalesce("home_r", "base") - F.coalesce("away_r", "base"))
+        out = out.join(own.select("period", F.col("team").alias(f"{s}_team"), *[F.col(v).alias(f"own_{v}") for v in values]), ["period", f"{s}_team"], "left")
+        out = out.withColumns({f"{s}_{v}": F.coalesce(f"own_{v}", f"base_{v}") for v in values}).drop(*[f"own_{v}" for v in values])
+    return out.drop(*[f"base_{v}" for v in values])

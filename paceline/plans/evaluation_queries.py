@@ -193,32 +193,102 @@ def bankroll_curve(spark, sf):
     return out.select("game_id", "season", "week", (F.round(F.col("base") + F.col("run"), 4) + 0.0).alias("bankroll"))
 
 
-_MARKETS = """WITH m AS (SELECT p_partkey AS market_id, p_type AS category, p_size / 50 AS price, (p_partkey % 3 <> 0)::INT AS active, liquidity FROM part LEFT JOIN (SELECT l_partkey, median(l_extendedprice) AS liquidity FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),
-c AS (SELECT category, count(*) AS n_total, count(*) FILTER (active = 1) AS n_active, 100 * avg(CASE WHEN active = 1 THEN (price < 0.1)::INT END) AS longshot_pct, 100 * avg(CASE WHEN active = 1 THEN (price > 0.35 AND price < 0.65)::INT END) AS tossup_pct, median(liquidity) FILTER (active = 1) AS med_liquidity FROM m GROUP BY category HAVING count(*) FILTER (active = 1) >= 20)"""
+#: How far public data can model a category, 0 to 3; 1 for others.
+MODELABLE = {"PROMO": 3, "ECONOMY": 3, "STANDARD": 2, "MEDIUM": 2, "SMALL": 1, "LARGE": 0}
+#: Markets that end later enter the calibration.
+CUT = "1998-01-01 00:00:00"
+_MARKETS = """WITH ends AS (SELECT l_partkey, median(l_extendedprice) AS liquidity, max(l_shipdate) AS ends FROM lineitem GROUP BY 1),
+m AS (SELECT p_partkey AS market_id, p_type AS category, CASE WHEN p_partkey % 13 <> 0 THEN p_size / 50 END AS price, (p_partkey % 3 <> 0)::INT AS active, liquidity, CASE WHEN p_partkey % 11 <> 0 THEN ends END AS ends,
+    CASE WHEN p_retailprice > 960 THEN 1 WHEN p_retailprice > 920 THEN 0 END AS y FROM part LEFT JOIN ends ON l_partkey = p_partkey)"""
 
 
-@query(_MARKETS + ", e AS (SELECT *, (log10(med_liquidity) - min(log10(med_liquidity)) OVER ()) / (max(log10(med_liquidity)) OVER () - min(log10(med_liquidity)) OVER ()) AS eff FROM c) SELECT category, n_total, n_active, round(longshot_pct, 6) AS longshot_pct, round(tossup_pct, 6) AS tossup_pct, round(med_liquidity, 6) AS med_liquidity, round((1 + length(category) % 3) / 3 * (1 - eff) * (0.5 + 0.5 * tossup_pct / max(tossup_pct) OVER ()), 6) AS ripeness FROM e")
-def market_categories(spark, sf):
-    """Categories of active markets; the modelability of a category, a table in its domain, is here a rule on its name."""
+def settled(spark, sf) -> DataFrame:
+    """Markets with their text read: price, liquidity and end where they are any, y the settlement."""
     m = tables.markets(spark, sf)
+    return m.withColumns({"price": tables.numeric(F.col("last_trade_price")), "liquidity": tables.numeric(F.col("liquidity")), "ends": tables.instant(F.col("end_date")), "y": scalar.first_price(F.col("outcome_prices"))})
+
+
+@query(_MARKETS + " SELECT market_id, category, round(price, 6) AS price, active, round(liquidity, 4) AS liquidity, ends, y FROM m")
+def market_load(spark, sf):
+    return settled(spark, sf).select("market_id", "category", six(F.col("price")).alias("price"), "active", F.round("liquidity", 4).alias("liquidity"), F.col("ends").cast("timestamp_ntz").alias("ends"), "y")
+
+
+@query(_MARKETS + """, c AS (SELECT category, count(*) AS n_total, count(*) FILTER (active = 1) AS n_active, 100 * avg(CASE WHEN active = 1 THEN coalesce(price < 0.1, false)::INT END) AS longshot_pct,
+    100 * avg(CASE WHEN active = 1 THEN coalesce(price > 0.35 AND price < 0.65, false)::INT END) AS tossup_pct, median(liquidity) FILTER (active = 1) AS med_liquidity FROM m GROUP BY category HAVING count(*) FILTER (active = 1) >= 20),
+    l AS (SELECT *, log10(greatest(med_liquidity, 1)) AS ll, CASE category WHEN 'PROMO' THEN 3 WHEN 'ECONOMY' THEN 3 WHEN 'STANDARD' THEN 2 WHEN 'MEDIUM' THEN 2 WHEN 'SMALL' THEN 1 WHEN 'LARGE' THEN 0 ELSE 1 END AS modelability FROM c),
+    e AS (SELECT *, round_even((ll - min(ll) OVER ()) / (max(ll) OVER () - min(ll) OVER ()), 2) AS efficiency FROM l)
+    SELECT category, n_total, n_active, modelability, round(longshot_pct, 6) AS longshot_pct, round(tossup_pct, 6) AS tossup_pct, round(med_liquidity, 6) AS med_liquidity, efficiency,
+    round_even(modelability / 3 * (1 - efficiency) * (0.5 + 0.5 * tossup_pct / max(tossup_pct) OVER ()), 3) AS ripeness FROM e""")
+def market_categories(spark, sf):
+    """Categories of active markets: how modelable, how efficient by depth, how much undecided, and so how ripe."""
+    m = settled(spark, sf)
     on, x = F.col("active") == 1, F.col("price")
-    c = m.groupBy("category").agg(F.count("*").alias("n_total"), F.count_if(on).alias("n_active"), (100 * F.avg(F.when(on, F.coalesce(x < 0.1, F.lit(False)).cast("int")))).alias("longshot_pct"), (100 * F.avg(F.when(on, F.coalesce((x > 0.35) & (x < 0.65), F.lit(False)).cast("int")))).alias("tossup_pct"), F.median(F.when(on, F.col("liquidity"))).alias("med_liquidity")).where("n_active >= 20")
+    pct = lambda cond: 100 * F.avg(F.when(on, F.coalesce(cond, F.lit(False)).cast("int")))
+    c = m.groupBy("category").agg(F.count("*").alias("n_total"), F.count_if(on).alias("n_active"), pct(x < 0.1).alias("longshot_pct"), pct((x > 0.35) & (x < 0.65)).alias("tossup_pct"), F.median(F.when(on, F.col("liquidity"))).alias("med_liquidity")).where("n_active >= 20")
     whole = Window.partitionBy(F.lit(0))  # a row a category
-    ll = F.log10("med_liquidity")
-    eff = (ll - F.min(ll).over(whole)) / (F.max(ll).over(whole) - F.min(ll).over(whole))
-    ripe = (1 + F.length("category") % 3) / 3 * (1 - eff) * (0.5 + 0.5 * F.col("tossup_pct") / F.max("tossup_pct").over(whole))
-    return c.select("category", "n_total", "n_active", *[six(F.col(k)).alias(k) for k in ("longshot_pct", "tossup_pct", "med_liquidity")], six(ripe).alias("ripeness"))
+    ll = F.log10(F.greatest("med_liquidity", F.lit(1.0)))
+    known = F.create_map(*[F.lit(v) for kv in MODELABLE.items() for v in kv])
+    c = c.withColumns({"modelability": F.coalesce(F.try_element_at(known, F.col("category")), F.lit(1)), "efficiency": F.bround((ll - F.min(ll).over(whole)) / (F.max(ll).over(whole) - F.min(ll).over(whole)), 2)})
+    ripe = F.col("modelability") / 3 * (1 - F.col("efficiency")) * (0.5 + 0.5 * F.col("tossup_pct") / F.max("tossup_pct").over(whole))
+    return c.select("category", "n_total", "n_active", "modelability", *[six(F.col(k)).alias(k) for k in ("longshot_pct", "tossup_pct", "med_liquidity")], "efficiency", F.bround(ripe, 3).alias("ripeness"))
 
 
-@query("""WITH s AS (SELECT p_partkey, p_size / 50 AS fc, CASE WHEN p_retailprice > 960 THEN 1 WHEN p_retailprice > 920 THEN 0 END AS outcome FROM part WHERE p_partkey % 3 = 0)
-    SELECT least(floor(fc * 5), 4)::INT AS bin, count(*) AS n, round(avg(fc), 6) AS forecast, round(avg(outcome), 6) AS settled, round(avg(pow(fc - outcome, 2)), 6) AS brier FROM s WHERE fc > 0.02 AND fc < 0.98 AND outcome IS NOT NULL GROUP BY 1""")
+@query(_MARKETS + f""", f AS (SELECT l_partkey AS market_id, median(round(l_discount * 10, 4)) AS fc FROM lineitem WHERE l_returnflag IN ('N', 'A') GROUP BY 1), j AS (SELECT fc, y FROM m JOIN f USING (market_id) WHERE active = 0 AND y IS NOT NULL AND ends > TIMESTAMP '{CUT}' AND fc > 0.02 AND fc < 0.98)
+    SELECT CASE WHEN fc < 0.2 THEN 0 WHEN fc < 0.4 THEN 1 WHEN fc < 0.6 THEN 2 WHEN fc < 0.8 THEN 3 ELSE 4 END AS bin, count(*) AS n, round(avg(fc), 6) AS forecast, round(avg(y), 6) AS settled, round(avg(pow(fc - y, 2)), 6) AS brier FROM j GROUP BY 1""")
 def market_calibration(spark, sf):
-    m = tables.markets(spark, sf).where("active = 0 and price > 0.02 and price < 0.98").withColumn("outcome", scalar.first_price(F.col("outcome_prices"))).where("outcome is not null")
-    b = F.least(F.floor(F.col("price") * 5), F.lit(4)).cast("int").alias("bin")
-    return m.groupBy(b).agg(F.count("*").alias("n"), six(F.avg("price")).alias("forecast"), six(F.avg("outcome")).alias("settled"), six(F.avg(F.pow(F.col("price") - F.col("outcome"), 2))).alias("brier"))
+    """Settled markets that end after the cut: the median price of their yes side against what came, by bin."""
+    yes = tables.market_prices(spark, sf).where(F.lower("outcome") == "yes").groupBy("market_id").agg(F.median("price").alias("fc"))
+    m = settled(spark, sf).where(f"active = 0 and y is not null and ends > timestamp '{CUT}'").join(yes, "market_id").where("fc > 0.02 and fc < 0.98")
+    b = scalar.calibration_bin(F.col("fc"), 5).alias("bin")
+    return m.groupBy(b).agg(F.count("*").alias("n"), six(F.avg("fc")).alias("forecast"), six(F.avg("y")).alias("settled"), six(F.avg(F.pow(F.col("fc") - F.col("y"), 2))).alias("brier"))
+
+
+_PHASES = "CASE WHEN week <= 1 THEN '1' WHEN week <= 4 THEN '2-4' WHEN week <= 9 THEN '5-9' WHEN week <= 13 THEN '10-13' ELSE '14+' END AS band, CASE WHEN week <= 1 THEN '1' WHEN week <= 4 THEN '2-4' WHEN week <= 9 THEN '5-9' ELSE '10+' END AS phase, CASE WHEN week <= 3 THEN '0-3' WHEN week <= 8 THEN '4-8' ELSE '9+' END AS third"
+
 
+@query(P + f" SELECT band, phase, third, model, {_METRICS} FROM (SELECT *, {_PHASES} FROM predictions) GROUP BY band, phase, third, model")
+def metrics_by_phase(spark, sf):
+    """Metrics by the three bandings of a season's weeks."""
+    p = predictions(spark, sf).withColumns({"band": scalar.week_band(F.col("week")), "phase": scalar.week_phase(F.col("week")), "third": scalar.week_third(F.col("week"))})
+    return rounded(evaluate.metrics(p, "band", "phase", "third"), "acc", "logloss", "brier")
 
 
+_DIS = "dis AS (SELECT *, abs(p - mp) AS conf, (((p >= 0.5)::INT = home_win))::INT AS m_right FROM (SELECT game_id, week, home_win, spread_home, 1 / (1 + pow(10, -(home_pregame_elo - away_pregame_elo + CASE WHEN neutral_site THEN 0 ELSE 55 END) / 400)) AS p, 1 / (1 + exp(spread_home / 7)) AS mp FROM lined) WHERE p IS NOT NULL AND mp IS NOT NULL AND (p >= 0.5) <> (mp >= 0.5))"
+
+
+def _cut(name, column, edges):
+    cases = " ".join(f"WHEN {column} > {lo} AND {column} <= {hi} THEN '({lo:g},{hi:g}]'" for lo, hi in zip(edges, edges[1:]))
+    return f"SELECT '{name}' AS by, CASE {cases} END AS bin, count(*) AS n, round(avg(m_right) * 100, 1) AS model_right FROM dis GROUP BY 2"
+
+
+#: The three tables of win rates on disagreements: descriptor and right-closed edges.
+WINRATES = (("spread", "abs(spread_home)", (0.0, 3.0, 7.0, 14.0, 100.0)), ("week", "week", (0, 3, 8, 60)), ("conviction", "conf", (0.0, 0.05, 0.1, 0.2, 1.0)))
+
+
+@query(P + ", " + _DIS + " SELECT * FROM (" + " UNION ALL ".join(_cut(*w) for w in WINRATES) + ") WHERE bin IS NOT NULL")
+def winrate_tables(spark, sf):
+    """Where model and market disagree: how often the model is right, by the line, the week and its conviction."""
+    rows = lines.lined_games(games(spark, sf), line_odds(spark, sf))
+    edge = F.col("home_pregame_elo") - F.col("away_pregame_elo") + F.when(F.col("neutral_site"), 0).otherwise(55)
+    rows = rows.withColumns({"p": scalar.win_probability(edge), "mp": scalar.sigmoid(-F.col("spread_home") / 7)}).where("p is not null and mp is not null and (p >= 0.5) <> (mp >= 0.5)")
+    rows = rows.withColumns({"spread": F.abs("spread_home"), "conviction": F.abs(F.col("p") - F.col("mp")), "right": ((F.col("p") >= 0.5).cast("int") == F.col("home_win")).cast("int")})
+    one = F.explode(F.array(*[F.struct(F.lit(n).alias("by"), scalar.right_closed(F.col(n), e).alias("bin")) for n, _, e in WINRATES])).alias("x")
+    long = rows.select("right", one).select("right", "x.*").where("bin is not null")
+    return long.groupBy("by", "bin").agg(F.count("*").alias("n"), F.round(F.avg("right") * 100, 1).alias("model_right"))
+
+
+@query(P + _ERAS + f""", d AS (SELECT game_id, season, home_win, max(CASE WHEN model = 'opening' THEN p END) AS o FROM predictions GROUP BY ALL HAVING max(CASE WHEN model = 'opening' THEN p END) IS NOT NULL),
+    x AS (SELECT era, model, count(*) AS n_era, count(p) AS n, avg({_LL.format('p')}) FILTER (p IS NOT NULL) AS logloss, avg({_LL.format('p')} - ({_LL.format('o')})) FILTER (p IS NOT NULL) AS vs_open FROM d JOIN (SELECT game_id, model, p FROM predictions) USING (game_id) JOIN eras ON season BETWEEN a AND z GROUP BY era, model)
+    SELECT era, model, n, round(logloss, 6) AS logloss, round(vs_open, 6) + 0.0 AS vs_open FROM x WHERE n >= 0.5 * n_era""")
+def matched_logloss(spark, sf):
+    """Log loss against the opening line on the games that a model and the line have, for models that cover half of an era."""
+    p = predictions(spark, sf)
+    o = p.where("model = 'opening' and p is not null").select("game_id", F.col("p").alias("o"))
+    rows = evaluate.with_eras(p.join(o, "game_id"))
+    own, line = scalar.log_loss(F.col("p"), F.col("home_win")), scalar.log_loss(F.col("o"), F.col("home_win"))
+    out = rows.groupBy("era", "model").agg(F.count("*").alias("n_era"), F.count("p").alias("n"), F.avg(own).alias("logloss"), F.avg(F.when(F.col("p").isNotNull(), own - line)).alias("vs_open"))
+    return rounded(out.where("n >= 0.5 * n_era"), "logloss", "vs_open").drop("n_era")
+
 
 @query(P + f" SELECT week, count(*) AS n, round(avg({_LL.format('a')}), 6) AS prior, round(avg({_LL.format('b')}), 6) AS market, round(avg({_LL.format('a')} - {_LL.format('b')}), 6) AS gap FROM (SELECT game_id, week, home_win, max(CASE WHEN model = 'prior' THEN p END) AS a, max(CASE WHEN model = 'market' THEN p END) AS b FROM predictions WHERE season_type = 'regular' GROUP BY ALL) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY week HAVING count(*) >= 40")
 def week_gap_table(spark, sf):

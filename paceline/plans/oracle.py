@@ -50,3 +50,22 @@ WITH plays AS (SELECT event_id, user_id AS athlete_id, (user_id % 10)::INT AS te
     ((event_id // 1000) * 5 + (user_id % 10) // 2)::BIGINT AS game_id, (2014 + day(ts) // 6)::INT AS season, event_type, floor(value / 10)::BIGINT AS yards,
     value > 200 AS fumble, (event_id % 4 + 1)::INT AS down, 10 AS distance FROM events),
 rosters AS (SELECT season, athlete_id, (athlete_id % 10)::INT AS team FROM (SELECT DISTINCT user_id AS athlete_id FROM events), (SELECT DISTINCT season FROM plays) WHERE athlete_id % 7 <> season % 7)"""
+
+
+CALENDAR = GAMES + """, t AS (SELECT g.*, period FROM games g JOIN periods USING (season, st_order, week)),
+cal AS (SELECT * FROM (SELECT season, period, max(season) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hist_season FROM (SELECT DISTINCT season, period FROM t)) WHERE hist_season IS NOT NULL)"""
+
+SNAPSHOT_SUMS = GAMES + """, t AS (SELECT g.*, period FROM games g JOIN periods USING (season, st_order, week) WHERE home_division = 'fbs' OR away_division = 'fbs'),
+cal AS (SELECT * FROM (SELECT season, period, max(season) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hist_season FROM (SELECT DISTINCT season, period FROM t)) WHERE hist_season IS NOT NULL),
+refs AS (SELECT period, max(d) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ref FROM (SELECT period, max(start_date) AS d FROM t GROUP BY period)),
+w AS (SELECT c.period, c.hist_season, refs.ref, t.season, t.start_date, t.home_team, t.away_team, t.home_points, t.away_points, t.margin, pow(0.45, c.hist_season - t.season) AS wt
+    FROM cal c JOIN refs ON refs.period = c.period JOIN t ON t.period < c.period AND t.season >= c.hist_season - 7),
+sums AS (SELECT period, team, sum(wt) AS n, sum(wt * pf) AS pf, sum(wt * pa) AS pa, sum(wt * pf * pf) AS sq
+    FROM (SELECT period, wt, home_team AS team, home_points AS pf, away_points AS pa FROM w UNION ALL SELECT period, wt, away_team, away_points, home_points FROM w) GROUP BY period, team)"""
+
+TRIPS = GAMES + """, seasons AS (SELECT DISTINCT season FROM games),
+venues AS (SELECT season, 'S' || s_suppkey AS team, CASE WHEN s_nationkey <> 7 THEN 25 + s_nationkey END AS lat, -70 - 2 * s_nationkey AS lon,
+    [-5, -5, -5, -5, -6, -7, -7, -7, -8, -9, -10, -6, -6, -6, NULL][s_nationkey % 15 + 1] AS tz, 100 * s_nationkey + season - 1995 AS elev FROM supplier, seasons WHERE (s_suppkey + season) % 3 <> 0),
+anyway AS (SELECT team, arg_min(lat, season) AS lat, arg_min(lon, season) AS lon, arg_min(tz, season) AS tz, arg_min(elev, season) AS elev, min(season) AS season FROM venues GROUP BY team),
+placed AS (SELECT g.season, team, CASE WHEN v.season IS NOT NULL THEN v.lat ELSE a.lat END AS lat, CASE WHEN v.season IS NOT NULL THEN v.lon ELSE a.lon END AS lon, CASE WHEN v.season IS NOT NULL THEN v.tz ELSE a.tz END AS tz, CASE WHEN v.season IS NOT NULL THEN v.elev ELSE a.elev END AS elev
+    FROM (SELECT DISTINCT season, home_team AS team FROM games UNION SELECT season, away_team FROM games) g LEFT JOIN (SELECT * FROM venues) v USING (season, team) LEFT JOIN (SELECT team, lat, lon, tz, elev FROM anyway) a USING (team))"""

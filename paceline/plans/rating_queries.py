@@ -7,10 +7,9 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from paceline.functions.scalar import pythagorean, whole_days
-from paceline.operators import boxscore, elo, evaluate, form, models, ratings
-from paceline.plans.evaluation_queries import predictions, rounded
-from paceline.plans.oracle import GAMES, SIDES
+from paceline.operators import boxscore, elo, evaluate, form, models, ratings, walkforward
+from paceline.plans.evaluation_queries import predictions
+from paceline.plans.oracle import CALENDAR, GAMES, PLAYS, SIDES
 from paceline.plans.registry import query
 from paceline.sources.tables import games, plays, rosters, six, timed_games
 
@@ -21,17 +20,31 @@ def one(spark, row=elo.TUNED):
     return spark.createDataFrame([row], elo.PARAMS)
 
 
-_SEQUENCE = GAMES + """,
-names AS (SELECT team, row_number() OVER (ORDER BY team) AS k FROM (SELECT home_team AS team FROM games UNION SELECT away_team FROM games)),
-seq AS (SELECT row_number() OVER (ORDER BY season, st_order, week, start_date, game_id) AS i, game_id, season, h.k AS hk, a.k AS ak, home_win, margin, neutral_site FROM games JOIN names h ON home_team = h.team JOIN names a ON away_team = a.team)"""
-_ELO = _SEQUENCE.replace("WITH items", "WITH RECURSIVE items", 1) + """,
-run AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS game_id, NULL::INT AS season, list_transform(range((SELECT count(*) FROM names)), lambda x: 1500.0::DOUBLE) AS r, NULL::DOUBLE AS rh, NULL::DOUBLE AS ra, NULL::DOUBLE AS p
+_GIVEN = GAMES.replace("WITH items", "WITH RECURSIVE items", 1)
+_SEQUENCE = """,
+names AS (SELECT team, row_number() OVER (ORDER BY team) AS k FROM (SELECT home_team AS team FROM pool UNION SELECT away_team FROM pool)),
+seq AS (SELECT row_number() OVER (ORDER BY season, st_order, week, start_date, game_id) AS i, game_id, season, h.k AS hk, a.k AS ak, home_win, margin, neutral_site FROM pool JOIN names h ON home_team = h.team JOIN names a ON away_team = a.team)"""
+
+
+def _passes(name: str = "run", k: str = "40.0", mov: bool = True, own: bool = False) -> str:
+    """The recursive pass: lists of ratings and of games played this season, one game a step. ``k`` may use ``low``, the
+    fewer of both sides' games; ``own``: shares of regression by season and team stand in ``shares(season, s)``."""
+    size = "(ln(abs(margin) + 1) * 2.2 / (0.001 * (CASE WHEN home_win = 1 THEN rh - ra ELSE ra - rh END) + 2.2))" if mov else "1"
+    back = "list_transform(run.r, lambda v, n: 1500 + (1 - shares.s[n]) * (v - 1500))" if own else "list_transform(run.r, lambda v: 1500 + 0.85 * (v - 1500))"
+    join = "LEFT JOIN shares ON shares.season = n.season" if own else ""
+    sql = f"""
+run AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS game_id, NULL::INT AS season, list_transform(range((SELECT count(*) FROM names)), lambda x: 1500.0::DOUBLE) AS r, list_transform(range((SELECT count(*) FROM names)), lambda x: 0) AS c, NULL::DOUBLE AS rh, NULL::DOUBLE AS ra, NULL::DOUBLE AS p
     UNION ALL
-    SELECT i, game_id, season, list_transform(q, lambda v, n: CASE WHEN n = hk THEN v + d WHEN n = ak THEN v - d ELSE v END), rh, ra, p FROM (
-      SELECT *, 40.0 * (ln(abs(margin) + 1) * 2.2 / (0.001 * (CASE WHEN home_win = 1 THEN rh - ra ELSE ra - rh END) + 2.2)) * (home_win - p) AS d FROM (
+    SELECT i, game_id, season, list_transform(q, lambda v, n: CASE WHEN n = hk THEN v + d WHEN n = ak THEN v - d ELSE v END), list_transform(cq, lambda v, n: CASE WHEN n = hk OR n = ak THEN v + 1 ELSE v END), rh, ra, p FROM (
+      SELECT *, {k} * {size} * (home_win - p) AS d FROM (
         SELECT *, 1 / (1 + pow(10, -(rh - ra + CASE WHEN neutral_site THEN 0 ELSE 50 END) / 400)) AS p FROM (
-          SELECT s.i, s.game_id, s.season, s.hk, s.ak, s.home_win, s.margin, s.neutral_site, b.q, b.q[s.hk] AS rh, b.q[s.ak] AS ra FROM seq s JOIN (
-            SELECT run.i, CASE WHEN run.season IS NOT NULL AND run.season <> n.season THEN list_transform(run.r, lambda v: 1500 + 0.85 * (v - 1500)) ELSE run.r END AS q FROM run JOIN seq n ON n.i = run.i + 1) b ON s.i = b.i + 1))))"""
+          SELECT s.i, s.game_id, s.season, s.hk, s.ak, s.home_win, s.margin, s.neutral_site, b.q, b.cq, b.q[s.hk] AS rh, b.q[s.ak] AS ra, least(b.cq[s.hk], b.cq[s.ak]) AS low FROM seq s JOIN (
+            SELECT run.i, CASE WHEN run.season IS NOT NULL AND run.season <> n.season THEN {back} ELSE run.r END AS q, CASE WHEN run.season <> n.season THEN list_transform(run.c, lambda v: 0) ELSE run.c END AS cq FROM run JOIN seq n ON n.i = run.i + 1 {join}) b ON s.i = b.i + 1))))"""
+    return sql.replace("run", name) if name != "run" else sql
+
+
+_ALL = _GIVEN + ", pool AS (SELECT * FROM games)" + _SEQUENCE
+_ELO = _ALL + "," + _passes()
 
 
 @query(_ELO + " SELECT game_id, round(rh, 4) AS home_elo, round(ra, 4) AS away_elo, round(p, 6) AS p FROM run WHERE i > 0")
@@ -42,22 +55,31 @@ def elo_pregame(spark, sf):
 
 @query()
 def elo_grid(spark, sf):
-    """45 parameter sets, each its own task; the log loss of each over the middle seasons, the best marked."""
+    """45 parameter sets, each its own task; the log loss of each over all seasons but the first, the best marked."""
     g = games(spark, sf)
     params = elo.grid(spark)
-    rows = elo.pregame(g, params).join(g.where("season between 1996 and 2000").select("game_id", "home_win"), "game_id").withColumn("model", F.lit("elo"))
+    after = g.join(F.broadcast(g.agg(F.min("season").alias("first"))), F.col("season") > F.col("first"))  # one row
+    rows = elo.pregame(g, params).join(after.select("game_id", "home_win"), "game_id").withColumn("model", F.lit("elo"))
     m = evaluate.metrics(rows, "param_id").join(params.select("param_id", "k", "hfa", "regress"), "param_id")
     best = F.min(F.struct("logloss", "param_id")).over(Window.partitionBy(F.lit(0)))["param_id"]  # 45 rows
     return m.select("param_id", "k", "hfa", "regress", "n", six(F.col("acc")).alias("acc"), six(F.col("logloss")).alias("logloss"), (F.col("param_id") == best).alias("best"))
 
 
-@query()
+@query(_ALL + "," + _passes(k="(CASE WHEN low < 4 THEN 40.0 ELSE 30.0 END)") + " SELECT game_id, round(p, 6) AS p FROM run WHERE i > 0")
 def elo_dynamic_k(spark, sf):
+    """A quicker rating while one side has played fewer than four games of the season."""
     r = elo.pregame(games(spark, sf), one(spark, (0, 30.0, 50.0, 0.15, True, 4, 40.0)))
     return r.select("game_id", F.round("p", 6).alias("p"))
 
 
-@query()
+@query(_ALL + "," + _passes(mov=False) + " SELECT game_id, round(p, 6) AS p FROM run WHERE i > 0")
+def elo_without_margin(spark, sf):
+    """Results alone: the margin multiplier off."""
+    r = elo.pregame(games(spark, sf), one(spark, (0, 40.0, 50.0, 0.15, False, 0, 0.0)))
+    return r.select("game_id", F.round("p", 6).alias("p"))
+
+
+@query(_GIVEN + ", pool AS (SELECT * FROM games WHERE home_division = 'fbs' OR away_division = 'fbs')" + _SEQUENCE + "".join("," + _passes(f"run{k}", f"{k}.0") for k in (20, 40, 65)) + " SELECT game_id, round(run20.p, 6) AS p_slow, round(run40.p, 6) AS p_mid, round(run65.p, 6) AS p_fast FROM run20 JOIN run40 USING (game_id) JOIN run65 USING (game_id) WHERE game_id IS NOT NULL")
 def elo_three_speeds(spark, sf):
     """Three parameter sets over the games with at least one team of the first division."""
     g = games(spark, sf).where("home_division = 'fbs' or away_division = 'fbs'")
@@ -71,7 +93,14 @@ def elo_final_top25(spark, sf):
     return r.select(F.row_number().over(Window.orderBy(F.desc("rating"), "team")).alias("rank"), "team", F.round("rating", 4).alias("rating"))
 
 
-@query()
+_SHARES = PLAYS.replace("WITH plays", ", plays") + """,
+back AS (SELECT p.season + 1 - 19 AS season, 'S' || p.team AS team, sum(CASE WHEN r.athlete_id IS NOT NULL THEN off_yards ELSE 0 END) / greatest(sum(off_yards), 1) AS ret_off, sum(CASE WHEN r.athlete_id IS NOT NULL THEN def_plays ELSE 0 END) / greatest(sum(def_plays), 1) AS ret_def
+    FROM (SELECT season, team, athlete_id, sum(greatest(CASE WHEN event_type IN ('purchase', 'view') THEN yards WHEN event_type = 'error' THEN -yards ELSE 0 END, 0)) AS off_yards, count(*) FILTER (event_type IN ('error', 'signup')) AS def_plays FROM plays GROUP BY ALL) p
+    LEFT JOIN rosters r ON r.season = p.season + 1 AND r.team = p.team AND r.athlete_id = p.athlete_id WHERE p.season + 1 IN (SELECT season FROM rosters) GROUP BY 1, 2),
+shares AS (SELECT season, list(s ORDER BY k) AS s FROM (SELECT y.season, n.k, CASE WHEN ret_off IS NULL THEN 0.15 ELSE least(greatest(0.15 + 0.4 * (0.5 - (ret_off + ret_def) / 2), 0.02), 0.7) END AS s FROM (SELECT DISTINCT season FROM pool) y CROSS JOIN names n LEFT JOIN back ON back.season = y.season AND back.team = n.team) GROUP BY season)"""
+
+
+@query(_ALL + _SHARES + "," + _passes(own=True) + " SELECT game_id, round(p, 6) AS p FROM run WHERE i > 0")
 def elo_team_regress(spark, sf):
     """Teams regress by what they bring back: the mean of returning production moves the share by slope 0.4."""
     ret = boxscore.returning(plays(spark, sf), rosters(spark, sf))
@@ -109,11 +138,7 @@ def pagerank_fixed_iter(spark, sf):
     return ratings.pagerank(e, rounds=40).select("team", F.round("rank", 9).alias("rank"))
 
 
-_CAL = GAMES + """, t AS (SELECT g.*, period FROM games g JOIN periods USING (season, st_order, week)),
-cal AS (SELECT * FROM (SELECT season, period, max(season) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hist_season FROM (SELECT DISTINCT season, period FROM t)) WHERE hist_season IS NOT NULL)"""
-
-
-@query(_CAL + " SELECT c.period, count(*) AS n, round(sum(pow(0.35, c.hist_season - t.season)), 6) AS weight, round(sum(pow(0.35, c.hist_season - t.season) * margin), 4) + 0.0 AS margin FROM cal c JOIN t ON t.period < c.period AND t.season >= c.hist_season - 6 GROUP BY c.period")
+@query(CALENDAR + " SELECT c.period, count(*) AS n, round(sum(pow(0.35, c.hist_season - t.season)), 6) AS weight, round(sum(pow(0.35, c.hist_season - t.season) * margin), 4) + 0.0 AS margin FROM cal c JOIN t ON t.period < c.period AND t.season >= c.hist_season - 6 GROUP BY c.period")
 def history_window_weights(spark, sf):
     """Decayed sums of all periods by the incremental plan: no period meets all its games."""
     g = timed_games(spark, sf)
@@ -124,7 +149,7 @@ def history_window_weights(spark, sf):
     return s.join(n, "period").select("period", F.col("n").cast("long").alias("n"), six(F.col("weight")).alias("weight"), (F.round("margin", 4) + 0.0).alias("margin"))
 
 
-@query(_CAL + """, w AS (SELECT t.*, pow(0.5, c.hist_season - t.season) AS wt, (NOT neutral_site)::INT AS ind FROM cal c JOIN t ON t.period < c.period AND t.season >= c.hist_season - 6 WHERE c.period = (SELECT max(period) FROM cal)),
+@query(CALENDAR + """, w AS (SELECT t.*, pow(0.5, c.hist_season - t.season) AS wt, (NOT neutral_site)::INT AS ind FROM cal c JOIN t ON t.period < c.period AND t.season >= c.hist_season - 6 WHERE c.period = (SELECT max(period) FROM cal)),
     x AS (SELECT home_team AS i, home_team AS j, wt AS a, wt * margin AS b FROM w UNION ALL SELECT away_team, away_team, wt, -wt * margin FROM w UNION ALL SELECT home_team, away_team, -wt, 0 FROM w UNION ALL SELECT away_team, home_team, -wt, 0 FROM w
       UNION ALL SELECT home_team, '*', wt * ind, 0 FROM w UNION ALL SELECT '*', home_team, wt * ind, 0 FROM w UNION ALL SELECT away_team, '*', -wt * ind, 0 FROM w UNION ALL SELECT '*', away_team, -wt * ind, 0 FROM w UNION ALL SELECT '*', '*', wt * ind, wt * ind * margin FROM w)
     SELECT i, j, round(sum(a), 4) + 0.0 AS a, round(sum(b), 3) + 0.0 AS b FROM x GROUP BY i, j""")
@@ -142,50 +167,6 @@ def massey_normal_eq(spark, sf):
     return s.select(F.explode(parts).alias("e")).select("e.*").groupBy("i", "j").agg((F.round(F.sum("a"), 4) + 0.0).alias("a"), (F.round(F.sum("b"), 3) + 0.0).alias("b"))
 
 
-@query(_CAL + ", l AS (SELECT max(period) AS last_p FROM cal), w AS (SELECT t.*, pow(0.5, floor((epoch((SELECT max(start_date) FROM t, l WHERE period < last_p)) - epoch(start_date)) / 86400) / 45) AS wt FROM t, l WHERE period < last_p) SELECT home_team AS team, count(*) AS n, round(sum(wt), 6) AS weight, round(sum(wt * margin), 6) + 0.0 AS margin FROM w GROUP BY 1")
-def massey_recent_weights(spark, sf):
-    g = timed_games(spark, sf)
-    ends = g.agg(F.max("period").alias("at"))
-    g = g.join(F.broadcast(ends), F.col("period") < F.col("at"))  # one row
-    newest = F.broadcast(g.agg(F.max("start_date").alias("newest")))
-    days = F.coalesce(whole_days(F.col("newest"), F.col("start_date")), F.lit(400))
-    w = F.pow(F.lit(0.5), days / 45)
-    return g.join(newest).groupBy(F.col("home_team").alias("team")).agg(F.count("*").alias("n"), six(F.sum(w)).alias("weight"), six(F.sum(w * F.col("margin"))).alias("margin"))
-
-
-def _windows(g):
-    """Every period of the calendar with its window."""
-    return ratings.history_join(g.drop("start_date"), ratings.calendar(g), DECAY, BACK)
-
-
-def _last_window(g):
-    cal = ratings.calendar(g)
-    last = cal.agg(F.max("period").alias("period"))
-    return ratings.history_join(g.drop("start_date"), cal.join(F.broadcast(last), "period", "left_semi"), DECAY, BACK)  # one row
-
-
-@query(_CAL + """, w AS (SELECT t.*, pow(0.35, c.hist_season - t.season) AS wt FROM cal c JOIN t ON t.period < c.period AND t.season >= c.hist_season - 6 WHERE c.period = (SELECT max(period) FROM cal)),
-    s AS (SELECT home_team AS team, wt, home_points AS pf, away_points AS pa FROM w UNION ALL SELECT away_team, wt, away_points, home_points FROM w)
-    SELECT team, round(sum(wt), 6) AS games, round(pow(greatest(sum(wt * pf), 1e-6), 2.37) / (pow(greatest(sum(wt * pf), 1e-6), 2.37) + pow(greatest(sum(wt * pa), 1e-6), 2.37)), 6) AS pythag,
-    round(sqrt(greatest(sum(wt * (pf - pa) * (pf - pa)) / sum(wt) - pow(sum(wt * (pf - pa)) / sum(wt), 2), 0)), 5) AS spread FROM s GROUP BY team""")
-def pythagorean_expectation(spark, sf):
-    """Decayed points for and against: expectation, effective games, and spread of margins."""
-    w = _last_window(timed_games(spark, sf))
-    side = lambda t, f, a: F.struct(F.col(t).alias("team"), F.col(f).alias("pf"), F.col(a).alias("pa"))
-    s = w.select("weight", F.explode(F.array(side("home_team", "home_points", "away_points"), side("away_team", "away_points", "home_points"))).alias("x")).select("weight", "x.*")
-    m = F.col("pf") - F.col("pa")
-    out = s.groupBy("team").agg(F.sum("weight").alias("g"), F.sum(F.col("weight") * F.col("pf")).alias("f"), F.sum(F.col("weight") * F.col("pa")).alias("a"), F.sum(F.col("weight") * m).alias("m"), F.sum(F.col("weight") * m * m).alias("m2"))
-    var = F.greatest(F.col("m2") / F.col("g") - F.pow(F.col("m") / F.col("g"), 2), F.lit(0.0))
-    return out.select("team", six(F.col("g")).alias("games"), six(pythagorean(F.col("f"), F.col("a"))).alias("pythag"), F.round(F.sqrt(var), 5).alias("spread"))
-
-
-@query(GAMES + SIDES + ", r AS (SELECT team, avg(margin) AS rating FROM sides GROUP BY team) SELECT s.team, round(avg(rating), 6) + 0.0 AS sos FROM sides s JOIN r ON opp = r.team GROUP BY s.team")
-def strength_of_schedule(spark, sf):
-    s = form.sides(games(spark, sf))
-    r = s.groupBy(F.col("team").alias("opp")).agg(F.avg("margin").alias("rating"))
-    return s.join(r, "opp").groupBy("team").agg(six(F.avg("rating")).alias("sos"))
-
-
 @query(GAMES + SIDES + " SELECT team, count(*) AS n, round(stddev_samp(margin), 6) AS sd, round(var_pop(margin), 5) AS var FROM sides GROUP BY team")
 def scoring_volatility(spark, sf):
     return form.sides(games(spark, sf)).groupBy("team").agg(F.count("*").alias("n"), six(F.stddev_samp("margin")).alias("sd"), F.round(F.var_pop("margin"), 5).alias("var"))
@@ -200,59 +181,52 @@ def massey_ratings(spark, sf):
     return ratings.ridge(s).select("period", "team", six(F.col("rating")).alias("rating"))
 
 
+def _pairs(spark, sf, *columns: str):
+    """Every period's decayed sums by pair."""
+    g = timed_games(spark, sf)
+    return walkforward.history(walkforward.pair_sums(g), ratings.calendar(g), {c: (c, DECAY) for c in columns}, BACK)
+
+
 @query()
 def offense_defense_ratings(spark, sf):
-    """Offence and defence by ridge over both sides of every period's window."""
-    side = lambda t, o, p, home: F.struct(F.col(t).alias("team"), F.col(o).alias("opp"), F.col(p).alias("points"), home.cast("double").alias("home"))
-    w = _windows(timed_games(spark, sf))
-    rows = w.select("at", F.col("weight").alias("w0"), F.explode(F.array(side("home_team", "away_team", "home_points", ~F.col("neutral_site")), side("away_team", "home_team", "away_points", F.lit(False)))).alias("x")).select("at", "w0", "x.*")
-    rows = rows.groupBy("at", "team", "opp", "home").agg(F.sum("w0").alias("w"), (F.sum(F.col("w0") * F.col("points")) / F.sum("w0")).alias("points"))
-
+    """Offence and defence by ridge over both sides of every period's history."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, off, dfn, level, bonus = ratings.off_def_solution(pdf)
-        return pd.DataFrame({"period": int(pdf["at"].iloc[0]), "team": names, "offense": np.round(off, 6), "defense": np.round(dfn, 6), "level": round(level, 6), "home_bonus": round(bonus, 6)})
+        sides = [pdf[["home_team", "away_team", "n", "hp"]], pdf[["away_team", "home_team", "n", "ap"]]]
+        rows = pd.concat([x.set_axis(["team", "opp", "w", "wp"], axis=1).assign(home=k) for x, k in zip(sides, (1.0 - pdf["neutral_site"].to_numpy(float), 0.0), strict=True)])
+        names, off, dfn, level, bonus = ratings.off_def_solution(rows)
+        return pd.DataFrame({"period": int(pdf["period"].iloc[0]), "team": names, "offense": np.round(off, 6), "defense": np.round(dfn, 6), "level": round(level, 6), "home_bonus": round(bonus, 6)})
+
+    return _pairs(spark, sf, "n", "hp", "ap").groupBy("period").applyInPandas(run, "period int, team string, offense double, defense double, level double, home_bonus double")
 
-    return rows.groupBy("at").applyInPandas(run, "period int, team string, offense double, defense double, level double, home_bonus double")
+
+def _weighted(pdf: pd.DataFrame) -> pd.DataFrame:
+    w = pdf["n"].to_numpy(float)
+    return pdf.assign(weight=w, home_win=pdf["y"] / np.where(w > 0, w, 1))
 
 
 @query()
 def bradley_terry(spark, sf):
-    return ratings.bradley_terry(_windows(timed_games(spark, sf))).select("period", "team", six(F.col("strength")).alias("strength"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, s, edge = ratings.bradley_terry_solution(_weighted(pdf))
+        return pd.DataFrame({"period": int(pdf["period"].iloc[0]), "team": [*names, "*"], "strength": np.round([*s, edge], 6)})
+
+    return _pairs(spark, sf, "n", "y").groupBy("period").applyInPandas(run, "period int, team string, strength double")
 
 
 @query()
 def blade_chest(spark, sf):
-    return ratings.blade_chest(_windows(timed_games(spark, sf)))
-
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, blade, chest, s, edge = ratings.blade_chest_solution(_weighted(pdf))
+        return pd.DataFrame({"period": int(pdf["period"].iloc[0]), "team": names, "blade": list(blade), "chest": list(chest), "strength": s, "home_edge": edge})
 
-def _pagerank_chances(past: pd.DataFrame, new: pd.DataFrame) -> np.ndarray:
-    """Win probabilities by PageRank of points kept, calibrated on the window itself."""
-    h, a, hp, ap, w = (past[c].to_numpy() for c in ("home_team", "away_team", "home_points", "away_points", "weight"))
-    names, r = ratings.pagerank_values(np.r_[h, a, h, a], np.r_[a, h, h, a], np.r_[w * ap, w * hp, w * hp, w * ap])
-    value = dict(zip(names, np.log(np.maximum(r, 1e-12)), strict=True))
-    mid = float(np.median(list(value.values())))
-    diff = lambda f: np.array([value.get(x, mid) - value.get(y, mid) for x, y in zip(f["home_team"], f["away_team"], strict=True)])
-    b = ratings.calibration_fit(diff(past), 1.0 - past["neutral_site"].to_numpy(float), past["home_win"].to_numpy(float), w)
-    z = b[0] + b[1] * diff(new) + b[2] * (1.0 - new["neutral_site"].to_numpy(float))
-    return 1 / (1 + np.exp(-z))
+    return _pairs(spark, sf, "n", "y").groupBy("period").applyInPandas(run, "period int, team string, blade array<double>, chest array<double>, strength double, home_edge double")
 
 
 @query()
 def calibrated_prob(spark, sf):
-    """Win probabilities of every period from walk-forward PageRank, calibrated on each period's own window."""
-    g = timed_games(spark, sf).where("home_division = 'fbs' and away_division = 'fbs'")
-    cal = ratings.calendar(g)
-    w = ratings.history_join(g.drop("start_date"), cal, DECAY, BACK)
-    now = g.join(F.broadcast(cal.select(F.col("period").alias("at"))), F.col("period") == F.col("at")).withColumn("weight", F.lit(None).cast("double"))
-    cols = ["at", "game_id", "home_team", "away_team", "home_points", "away_points", "neutral_site", "home_win", "weight"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        past, new = pdf[pdf["weight"].notna()], pdf[pdf["weight"].isna()]
-        if len(past) < 50 or not len(new):
-            return pd.DataFrame({"game_id": new["game_id"], "period": new["at"], "p": 0.5})
-        return pd.DataFrame({"game_id": new["game_id"], "period": new["at"], "p": _pagerank_chances(past, new)})
-
-    return w.select(*cols).unionByName(now.select(*cols)).groupBy("at").applyInPandas(run, "game_id long, period int, p double")
+    """Win probabilities of every period from walk-forward PageRank, calibrated on each period's own history."""
+    w = walkforward.weekly(timed_games(spark, sf), {"pr": walkforward.pagerank_system("points_keep", DECAY)}, back=BACK)
+    return w.select("game_id", "period", "p")
 
 
 def _features(spark, sf):
@@ -285,36 +259,12 @@ def margin_gbm(spark, sf):
     return models.margin_refits(_features(spark, sf), NAMES)
 
 
-@query()
-def bagged_gbm(spark, sf):
-    """Three seeds, averaged in log-odds."""
-    f = _features(spark, sf)
-    parts = [models.season_refits(f, NAMES, models.boosted(seed=s)) for s in range(3)]
-    return models.bagged(parts)
-
-
-@query()
-def stacker(spark, sf):
-    """Logits of three closed forms, stacked by a logistic fit on all earlier seasons."""
-    return models.stacked(predictions(spark, sf), ("prior", "market", "opening"))
-
-
-@query()
-def market_incremental(spark, sf):
-    """What the prior adds to the market, on games that have both."""
-    s = models.stacked(predictions(spark, sf), ("prior", "market")).withColumn("model", F.lit("both"))
-    m = predictions(spark, sf).where("model = 'market'").select("game_id", "model", "p", "home_win").join(s.select("game_id"), "game_id", "left_semi")
-    y = games(spark, sf).select("game_id", "home_win")
-    both = s.join(y, "game_id").select("game_id", "model", "p", "home_win").unionByName(m)
-    return rounded(evaluate.metrics(both), "acc", "logloss", "brier")
-
-
 @query()
 def bootstrap_ci(spark, sf):
-    """Bootstrap of the mean difference in squared error of two forecasts: Poisson weights by hash, 400 resamples."""
+    """Bootstrap of the mean difference in squared error of two forecasts: Poisson weights by hash."""
     p = predictions(spark, sf).where("model in ('prior', 'market')").groupBy("game_id", "home_win").pivot("model", ["prior", "market"]).agg(F.first("p")).where("prior is not null and market is not null")
     diff = F.pow(F.col("prior") - F.col("home_win"), 2) - F.pow(F.col("market") - F.col("home_win"), 2)
-    return models.bootstrap(p.select("game_id", diff.alias("diff")), resamples=400)
+    return models.bootstrap(p.select("game_id", diff.alias("diff")))
 
 
 @query(GAMES + SIDES + """, b AS (SELECT team, round(avg(margin), 6) AS margin, round(avg(win), 6) AS share FROM sides GROUP BY team),
@@ -329,46 +279,3 @@ def two_boards(spark, sf):
         return top.select(F.row_number().over(Window.orderBy(F.desc(value), "team")).cast("long").alias("rank"), F.col("team").alias(f"{value}_team"), value)
 
     return board("margin").join(board("share"), "rank")
-
-
-#: The decays tried in tuning.
-RATES = (0.0, 0.35, 0.5, 0.65, 0.8, 1.0)
-#: Seasons of history where none is to be left out.
-ALL = 1000
-
-
-def _bradley_terry_chances(past: pd.DataFrame, new: pd.DataFrame) -> np.ndarray:
-    names, s, edge = ratings.bradley_terry_solution(past)
-    value, mid = dict(zip(names, s, strict=True)), float(np.median(s))
-    d = np.array([value.get(h, mid) - value.get(a, mid) for h, a in zip(new["home_team"], new["away_team"], strict=True)])
-    return 1 / (1 + np.exp(-(d + edge * (1.0 - new["neutral_site"].to_numpy(float)))))
-
-
-@query()
-def decay_tuning(spark, sf):
-    """Log loss of PageRank and Bradley-Terry by decay over every period of the last two seasons, each period its own
-    group. All earlier games inform the ratings; those within the first division are scored."""
-    g = timed_games(spark, sf).drop("start_date")
-    seasons = g.agg((F.max("season") - 1).alias("from"))
-    cal = ratings.calendar(g).join(F.broadcast(seasons), F.col("season") >= F.col("from")).drop("from")  # one row
-    w = ratings.history_join(g, cal, 1.0, ALL).withColumn("back", (F.col("hist_season") - F.col("season")).cast("double"))
-    scored = g.where("home_division = 'fbs' and away_division = 'fbs'")
-    now = scored.join(F.broadcast(cal.select(F.col("period").alias("at"))), F.col("period") == F.col("at")).withColumn("back", F.lit(None).cast("double"))  # a row a period
-    cols = ["at", "home_team", "away_team", "home_points", "away_points", "neutral_site", "home_win", "back"]
-    families = {"pr_points_keep": _pagerank_chances, "bradley_terry": _bradley_terry_chances}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        past, new = pdf[pdf["back"].notna()], pdf[pdf["back"].isna()]
-        out = []
-        for rate in RATES if len(new) else ():
-            mine = past.assign(weight=np.power(rate, past["back"].to_numpy(float)))
-            mine = mine[mine["weight"] > 0]
-            for name, chances in families.items():
-                p = chances(mine, new) if len(past) >= 50 else np.full(len(new), 0.5)
-                out += [(name, rate, int(y), float(x)) for y, x in zip(new["home_win"], p, strict=True)]
-        return pd.DataFrame(out, columns=["model", "decay", "home_win", "p"])
-
-    scored = w.select(*cols).unionByName(now.select(*cols)).groupBy("at").applyInPandas(run, "model string, decay double, home_win int, p double")
-    m = evaluate.metrics(scored, "decay")
-    best = F.min(F.struct("logloss", "decay")).over(Window.partitionBy("model"))["decay"]  # a row a decay
-    return m.select(F.col("model").alias("family"), "decay", "n", six(F.col("acc")).alias("acc"), six(F.col("logloss")).alias("logloss"), (F.col("decay") == best).alias("best"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +49,44 @@ def cached(spark: SparkSession, path: str, build, force: bool = False) -> DataFr
     return spark.read.parquet(path)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint, for a result that several parts of a plan use: cuts the plan, survives lost executors, and
+    goes with its last user, unlike a cache. Where no checkpoint folder is set and executors are threads of this machine,
+    a temporary one is made."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir isn't set, and executors of {sc.master} share no folder of this machine")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="paceline-"))
+    return df.checkpoint()
+
+
+def report(lines: list[str], path: str | None = None) -> str:
+    """A text report, printed and, if ``path`` is given, written: a few lines that are on the driver anyway."""
+    text = "\n".join(lines)
+    print(text)
+    if path:
+        Path(path).write_text(text + "\n", encoding="utf-8")
+    return text
+
+
+def read_drifting(spark: SparkSession, paths: list[str], schemas: list[str]) -> DataFrame:
+    """CSV files of schemas that differ, by name: a column that a file lacks is null there."""
+    parts = [read_csv(spark, p, s) for p, s in zip(paths, schemas, strict=True)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def numeric(c: Column) -> Column:
+    """Text as a number, null where it isn't one."""
+    return c.try_cast("double")
+
+
+def instant(c: Column) -> Column:
+    """Text as a time in UTC, null where it isn't one."""
+    return F.try_to_timestamp(c)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` without the rows whose key ``new`` has, and then ``new``."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
@@ -136,12 +178,24 @@ def rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction markets with their median liquidity."""
+    """Prediction markets as a file of them has it: price, liquidity and end as text that may not be any, settlement as
+    a list's text."""
     p = read(spark, sf_dir, "part")
-    liquid = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.median("l_extendedprice").alias("liquidity"))
-    price = F.col("p_size") / 50
-    m = p.join(liquid, "p_partkey", "left")
-    return m.select(F.col("p_partkey").alias("market_id"), F.col("p_type").alias("category"), price.alias("price"), (F.col("p_partkey") % 3 != 0).cast("int").alias("active"), "liquidity", F.when(F.col("p_retailprice") > 960, "['1','0']").when(F.col("p_retailprice") > 920, "['0','1']").otherwise("n/a").alias("outcome_prices"))
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.median("l_extendedprice").alias("liquidity"), F.max("l_shipdate").alias("end"))
+    m = p.join(lines, "p_partkey", "left")
+    k = F.col("p_partkey")
+    return m.select(
+        k.alias("market_id"), F.col("p_type").alias("category"), F.when(k % 13 == 0, "n/a").otherwise((F.col("p_size") / 50).cast("string")).alias("last_trade_price"), (k % 3 != 0).cast("int").alias("active"),
+        F.col("liquidity").cast("string").alias("liquidity"), F.when(k % 11 == 0, "soon").otherwise(F.date_format("end", "yyyy-MM-dd HH:mm:ss")).alias("end_date"),
+        F.when(F.col("p_retailprice") > 960, "['1','0']").when(F.col("p_retailprice") > 920, "['0','1']").otherwise("n/a").alias("outcome_prices"),
+    )
+
+
+def market_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traded prices by market and outcome."""
+    flag = F.col("l_returnflag")
+    outcome = F.when(flag == "N", "Yes").when(flag == "A", "YES").otherwise("No")
+    return read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("market_id"), outcome.alias("outcome"), F.round(F.col("l_discount") * 10, 4).alias("price"))
 
 
 def six(c: Column) -> Column:
