@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.llm.common import bits_for, n_words, written
@@ -33,33 +33,37 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budge
     return by.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _rows(docs: DataFrame, *keep: str) -> DataFrame:
-    """source, size and the shuffled turn of each row of ``docs``; null doc_ids are told apart by their texts."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64("text").cast("string")))
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(name).alias("turn"), *keep)
+#: A row's place by its source and the hash bucket of its turn; null is a source of its own.
+KEY = ["named", "known", "bucket"]
 
 
-def _bucketed(rows: DataFrame, bits: int) -> DataFrame:
+def _rows(docs: DataFrame, bits: int, *keep: str | Column) -> DataFrame:
+    """source, size, the shuffled turn and the KEY of each row of ``docs``; null doc_ids are told apart by their texts."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64("text").cast("string")))
     head = F.conv(F.substring("turn", 1, 8), 16, 10).cast("long")
-    return rows.withColumn("bucket", F.shiftright(head, 32 - bits) if bits else F.lit(0).cast("long"))
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(name).alias("turn"), *keep)
+    return rows.withColumns({"named": F.coalesce("source", F.lit("")), "known": F.col("source").isNotNull(), "bucket": F.shiftright(head, 32 - bits) if bits else F.lit(0).cast("long")})
 
 
 def _started(rows: DataFrame, offsets: DataFrame, *ties: str) -> DataFrame:
-    """Where each row starts in its source's queue: sums of the buckets before, and of the rows before in its own."""
-    inside = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("until", F.sum("size").over(inside))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
-    return placed.withColumn("start", F.col("base") + F.col("until") - F.col("size")).drop("until", "base", "s", "k")
+    """Where each row starts in its source's queue: sums of the buckets before, and of the rows before in its own.
+
+    Rows are dealt out by KEY once, for the join and the window alike.
+    """
+    inside = Window.partitionBy(*KEY).orderBy("turn", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(offsets.hint("merge"), KEY).withColumn("until", F.sum("size").over(inside))
+    return placed.withColumn("start", F.col("base") + F.col("until") - F.col("size")).drop("until", "base", *KEY)
 
 
 def _offsets(rows: DataFrame, weights: tuple[int, ...], budget: float, most: int) -> DataFrame:
-    """One row per (source, bucket): s, k, base (its source's words before it), source_size, target, total (all words)."""
-    by = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-    so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = by.select(F.col("source").alias("s"), F.col("bucket").alias("k"), (F.sum("size").over(so_far) - F.col("size")).alias("base"))
+    """One row per KEY: base (its source's words before it), source_size, target, total (all words)."""
+    by = rows.groupBy("source", *KEY).agg(F.sum("size").alias("size"))
+    so_far = Window.partitionBy("named", "known").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = by.select(*KEY, (F.sum("size").over(so_far) - F.col("size")).alias("base"))
     targets = source_targets(by, weights, budget, most)
-    targets = targets.select(F.col("source").alias("s2"), "source_size", "target", F.sum("source_size").over(Window.partitionBy(F.lit(0))).alias("total"))
-    return offsets.join(targets, F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
+    total = F.sum("source_size").over(Window.partitionBy(F.lit(0))).alias("total")
+    targets = targets.select(F.coalesce("source", F.lit("")).alias("named"), F.col("source").isNotNull().alias("known"), "source_size", "target", total)
+    return offsets.join(targets, ["named", "known"])
 
 
 def queue(placed: DataFrame, budget: float, most: int, bits: int) -> DataFrame:
@@ -99,9 +103,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     taken 0; a null source is a source; null doc_ids queue by their text; rows that repeat are queued each; an empty
     table gives no rows; other columns aren't read. Reruns agree.
     """
-    rows = written(_rows(docs), "sizes")
-    bits = bits_for(rows.count(), rows_per_bucket)
-    rows = _bucketed(rows, bits)
+    bits = bits_for(docs.count(), rows_per_bucket)
+    rows = written(_rows(docs, bits), "sizes")
     placed = written(_started(rows, _offsets(rows, weights, budget, most)), "placed")
     q = queue(placed, budget, most, bits).where("served > 0")
     got = q.groupBy(F.col("source").alias("s"), F.col("start").alias("at")).agg(F.sum("served").alias("taken"), F.max("finish").alias("virtual_finish"))
@@ -116,15 +119,14 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budge
     ``most`` rows, each row of ``docs`` by itself, whatever its doc_id. Documents of no words cost nothing and stay
     once. The documents travel with their place in the queue, so nothing is joined by doc_id.
     """
-    small = written(_rows(docs), "sizes")
-    bits = bits_for(small.count(), rows_per_bucket)
-    small = _bucketed(small, bits)
+    bits = bits_for(docs.count(), rows_per_bucket)
+    small = written(_rows(docs, bits), "sizes")
     offsets = written(_offsets(small, weights, budget, most), "offsets")
     q = queue(_started(small, offsets), budget, most, bits)
     cut = q.where("served > 0").agg(F.coalesce(F.max("finish"), F.lit(0.0)).alias("cut"))
     names = [F.col("row")[c].alias(c) for c in docs.columns]
     rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))  # as one column: no name can clash
-    rows = _bucketed(_rows(rows, "row", F.xxhash64("text").alias("tie")), bits)
+    rows = _rows(rows, bits, "row", F.xxhash64("text").alias("tie"))
     placed = _started(rows, offsets, "tie").join(F.broadcast(cut))  # one row
     share = F.when(F.col("target") > 0, F.col("target"))
     at = lambda e, part: (F.col("start") + e * F.col("source_size") + F.col("size") * part) / share
