@@ -1,8 +1,8 @@
 """Walk-forward refits: every period's history as sums over pairs of teams, systems fitted on them, games predicted.
 
 A system sees a period's history as one row a pair (home, away, neutral) with decayed sums, never as games: all its
-likelihoods and normal equations are linear in them. The sums of all periods come from ``history``, which joins only
-the running season's rows with its periods.
+likelihoods and normal equations are linear in them. The sums of all periods come from ``history``, which joins only the
+running season's rows with its periods, or, for systems, are added up within blocks of periods (``by_period``).
 """
 
 from __future__ import annotations
@@ -71,6 +71,66 @@ def history(sums: DataFrame, cal: DataFrame, columns: dict[str, tuple[str, float
     return old.unionByName(now).groupBy("period", *PAIR).agg(*[F.sum(k).alias(k) for k in columns])
 
 
+#: Periods of a season that one task fits one after another; its history is sent to it once.
+SPAN = 8
+
+
+def blocked(cal: DataFrame) -> DataFrame:
+    """The calendar with ``block``, a number for SPAN periods of equal newest season, and ``last``, a block's last period."""
+    own = Window.partitionBy("hist_season")  # a row a period
+    cal = cal.withColumn("block", F.col("hist_season") * 1000 + F.floor((F.col("period") - F.min("period").over(own)) / SPAN).cast("int"))
+    return cal.withColumn("last", F.max("period").over(Window.partitionBy("block")))
+
+
+def by_period(sums: DataFrame, cal: DataFrame, columns: dict[str, tuple[str, float]], todo: DataFrame, fit: Callable[[int, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, back: int = 6) -> DataFrame:
+    """``fit(period, pairs, rows)`` for every period of ``todo(period, ...)`` that the calendar has: its history by pair,
+    decayed as in ``history``, and its rows of ``todo``.
+
+    Whole seasons are summed and decayed in the cluster; a block of periods gets them once, and the running season's
+    rows by period, which it adds up as it goes on. So what is moved grows with blocks, not with periods.
+    """
+    values = sorted({v for v, _ in columns.values()})
+    cal = blocked(cal)
+    spans = cal.select("hist_season", "block", "last").distinct()
+    whole = sums.groupBy("season", *PAIR).agg(*[F.sum(v).alias(v) for v in values])
+    seasons = cal.select("hist_season").distinct()
+    ago = F.col("hist_season") - F.col("season")
+    far = whole.join(F.broadcast(seasons), (ago > 0) & (ago <= back))  # a row a season
+    far = far.select("hist_season", *PAIR, *[(F.col(v) * decay(r, ago)).alias(k) for k, (v, r) in columns.items()])
+    far = far.groupBy("hist_season", *PAIR).agg(*[F.sum(k).alias(k) for k in columns])
+    old = far.join(F.broadcast(spans), "hist_season").select("block", F.lit(-1).alias("since"), *PAIR, *columns)  # a row a block
+    now = sums.join(F.broadcast(spans), (F.col("season") == F.col("hist_season")) & (F.col("period") < F.col("last")))
+    now = now.select("block", F.col("period").alias("since"), *PAIR, *[F.col(v).alias(k) for k, (v, _) in columns.items()])
+    rows = old.unionByName(now)
+    new = todo.join(F.broadcast(cal.select("period", "block")), "period")  # a row a period
+    new = new.toDF(*new.columns)  # columns of their own: both sides of the cogroup come from the same games
+
+    def run(pairs: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        out = [fit(p, own, new[new["period"] == p]) for p, own in accumulated(pairs, list(columns), sorted(set(new["period"].tolist())))]
+        out = [x for x in out if len(x)]
+        return pd.concat(out) if out else nothing(*[c.split()[0] for c in schema.split(", ")])
+
+    return rows.groupBy("block").cogroup(new.groupBy("block")).applyInPandas(run, schema)
+
+
+def accumulated(pairs: pd.DataFrame, columns: list[str], periods: list[int]):
+    """Each of ``periods`` and the sums by pair of the rows ``since`` earlier periods."""
+    key = pd.MultiIndex.from_frame(pairs[PAIR])
+    code, names = pd.factorize(key)
+    frame = names.to_frame(index=False) if len(names) else pairs[PAIR]
+    frame.columns = PAIR
+    values, since = pairs[columns].to_numpy(float), pairs["since"].to_numpy()
+    order = np.argsort(since, kind="stable")
+    table, seen, at = np.zeros((len(frame), len(columns))), np.zeros(len(frame), bool), 0
+    for p in periods:
+        upto = int(np.searchsorted(since[order], p))
+        rows = order[at:upto]
+        np.add.at(table, code[rows], values[rows])
+        seen[code[rows]] = True
+        at = upto
+        yield p, pd.concat([frame[seen].reset_index(drop=True), pd.DataFrame(table[seen], columns=columns)], axis=1)
+
+
 def newest(g: DataFrame, cal: DataFrame) -> DataFrame:
     """(period, scale): what recency sums of a period's history are multiplied by, from its newest date."""
     last = g.groupBy("period").agg(F.max("start_date").alias("d"))
@@ -221,24 +281,27 @@ def weekly(g: DataFrame, systems: dict[str, System], games: DataFrame | None = N
     under ``least`` games of history get ``short`` as chance, or, if that is None, no row.
     """
     games = evaluated(g) if games is None else games
-    todo = games.select("period").distinct()
-    cal = ratings.calendar(g).join(F.broadcast(todo), "period", "left_semi")  # a row a period
     order = {name: k for k, name in enumerate(systems)}
     columns = {f"s{order[name]}_{k}": v for name, s in systems.items() for k, v in s.columns.items()} | {"games": ("n", 1.0)}
-    pairs = history(pair_sums(g), cal, columns, back)
     new = games.select("game_id", "period", "home_team", "away_team", "neutral_site", "home_win")
-    new = new.toDF(*new.columns)  # columns of their own: both sides of the cogroup come from the same games
 
-    def run(pairs: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    def fit(period: int, pairs: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         out = []
-        enough = len(pairs) and pairs["games"].sum() >= least
-        for name, s in systems.items() if len(new) and (enough or short is not None) else ():
+        enough = pairs["games"].sum() >= least
+        for name, s in systems.items() if enough or short is not None else ():
             p, margin = np.full(len(new), short if short is not None else np.nan), None
             if enough:
                 own = pairs[PAIR].assign(**{k: pairs[f"s{order[name]}_{k}"] for k in s.columns})
                 p, margin = s.fit(own[own["n"] > 0])(*_sides(new))
-            margin = np.full(len(new), None) if margin is None else margin
-            out.append(pd.DataFrame({"game_id": new["game_id"], "period": new["period"], "model": name, "home_win": new["home_win"], "p": p, "margin": pd.Series(margin, index=new.index, dtype="float64")}))
+            margin = np.full(len(new), np.nan) if margin is None else margin
+            out.append(pd.DataFrame({"game_id": new["game_id"].to_numpy(), "period": period, "model": [name] * len(new), "home_win": new["home_win"].to_numpy(), "p": p, "margin": margin}))
         return pd.concat(out) if out else nothing("game_id", "period", "model", "home_win", "p", "margin")
 
-    return pairs.groupBy("period").cogroup(new.groupBy("period")).applyInPandas(run, "game_id long, period int, model string, home_win int, p double, margin double")
+    cal = ratings.calendar(g)
+    made = by_period(pair_sums(g), cal, columns, new, fit, "game_id long, period int, model string, home_win int, p double, margin double", back)
+    made = made.withColumn("margin", F.when(~F.isnan("margin"), F.col("margin")))
+    if short is None:
+        return made
+    first = new.join(F.broadcast(cal.select("period")), "period", "left_anti")  # a row a period
+    names = F.explode(F.array(*map(F.lit, systems))).alias("model")
+    return made.unionByName(first.select("game_id", "period", names, "home_win", F.lit(float(short)).alias("p"), F.lit(None).cast("double").alias("margin")))

@@ -181,22 +181,25 @@ def massey_ratings(spark, sf):
     return ratings.ridge(s).select("period", "team", six(F.col("rating")).alias("rating"))
 
 
-def _pairs(spark, sf, *columns: str):
-    """Every period's decayed sums by pair."""
+def _rated(spark, sf, fit, schema, *columns: str):
+    """``fit(period, pairs)`` of every period's decayed sums by pair."""
     g = timed_games(spark, sf)
-    return walkforward.history(walkforward.pair_sums(g), ratings.calendar(g), {c: (c, DECAY) for c in columns}, BACK)
+    cal = ratings.calendar(g)
+    sums = walkforward.pair_sums(g)
+    return walkforward.by_period(sums, cal, {c: (c, DECAY) for c in columns}, cal.select("period"), lambda p, pairs, _: fit(p, pairs), schema, BACK)
 
 
 @query()
 def offense_defense_ratings(spark, sf):
     """Offence and defence by ridge over both sides of every period's history."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+
+    def fit(period: int, pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [pdf[["home_team", "away_team", "n", "hp"]], pdf[["away_team", "home_team", "n", "ap"]]]
         rows = pd.concat([x.set_axis(["team", "opp", "w", "wp"], axis=1).assign(home=k) for x, k in zip(sides, (1.0 - pdf["neutral_site"].to_numpy(float), 0.0), strict=True)])
         names, off, dfn, level, bonus = ratings.off_def_solution(rows)
-        return pd.DataFrame({"period": int(pdf["period"].iloc[0]), "team": names, "offense": np.round(off, 6), "defense": np.round(dfn, 6), "level": round(level, 6), "home_bonus": round(bonus, 6)})
+        return pd.DataFrame({"period": period, "team": names, "offense": np.round(off, 6), "defense": np.round(dfn, 6), "level": round(level, 6), "home_bonus": round(bonus, 6)})
 
-    return _pairs(spark, sf, "n", "hp", "ap").groupBy("period").applyInPandas(run, "period int, team string, offense double, defense double, level double, home_bonus double")
+    return _rated(spark, sf, fit, "period int, team string, offense double, defense double, level double, home_bonus double", "n", "hp", "ap")
 
 
 def _weighted(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -206,20 +209,20 @@ def _weighted(pdf: pd.DataFrame) -> pd.DataFrame:
 
 @query()
 def bradley_terry(spark, sf):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(period: int, pdf: pd.DataFrame) -> pd.DataFrame:
         names, s, edge = ratings.bradley_terry_solution(_weighted(pdf))
-        return pd.DataFrame({"period": int(pdf["period"].iloc[0]), "team": [*names, "*"], "strength": np.round([*s, edge], 6)})
+        return pd.DataFrame({"period": period, "team": [*names, "*"], "strength": np.round([*s, edge], 6)})
 
-    return _pairs(spark, sf, "n", "y").groupBy("period").applyInPandas(run, "period int, team string, strength double")
+    return _rated(spark, sf, fit, "period int, team string, strength double", "n", "y")
 
 
 @query()
 def blade_chest(spark, sf):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(period: int, pdf: pd.DataFrame) -> pd.DataFrame:
         names, blade, chest, s, edge = ratings.blade_chest_solution(_weighted(pdf))
-        return pd.DataFrame({"period": int(pdf["period"].iloc[0]), "team": names, "blade": list(blade), "chest": list(chest), "strength": s, "home_edge": edge})
+        return pd.DataFrame({"period": period, "team": names, "blade": list(blade), "chest": list(chest), "strength": s, "home_edge": edge})
 
-    return _pairs(spark, sf, "n", "y").groupBy("period").applyInPandas(run, "period int, team string, blade array<double>, chest array<double>, strength double, home_edge double")
+    return _rated(spark, sf, fit, "period int, team string, blade array<double>, chest array<double>, strength double, home_edge double", "n", "y")
 
 
 @query()

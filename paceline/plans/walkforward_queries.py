@@ -128,13 +128,13 @@ def log_ranks(spark, sf):
     """Log-ranks of points kept by period: the walk-forward twin of ``pagerank_fixed_iter``."""
     g = timed_games(spark, sf)
     cal = ratings.calendar(g)
-    pairs = walkforward.history(walkforward.pair_sums(g), cal, {c: (c, 0.35) for c in ("n", "y", "hp", "ap")})
 
-    def run(pdf):
-        names, ranks = walkforward.log_ranks(pdf, "points_keep")
-        return pd.DataFrame({"period": int(pdf["period"].iloc[0]), "team": names, "log_rank": ranks})
+    def fit(period, pairs, _):
+        names, ranks = walkforward.log_ranks(pairs, "points_keep")
+        return pd.DataFrame({"period": period, "team": names, "log_rank": ranks})
 
-    return pairs.groupBy("period").applyInPandas(run, "period int, team string, log_rank double").withColumn("log_rank", six(F.col("log_rank")))
+    made = walkforward.by_period(walkforward.pair_sums(g), cal, {c: (c, 0.35) for c in ("n", "y", "hp", "ap")}, cal.select("period"), fit, "period int, team string, log_rank double")
+    return made.withColumn("log_rank", six(F.col("log_rank")))
 
 
 @query(CALENDAR + """, p AS (SELECT c.period, t.home_team, t.away_team, t.neutral_site, sum(pow(0.35, c.hist_season - t.season)) AS n, sum(pow(0.35, c.hist_season - t.season) * home_win) AS y,
