@@ -135,17 +135,15 @@ def test_incremental_history_equals_range_join(spark):
     assert both.where("m is null or m2 is null or abs(m - m2) > 1e-7 or abs(n - n2) > 1e-9").count() == 0
 
 
-def some_seasons(monkeypatch, last):
-    from paceline.plans import rating_queries
+def first_season(module, monkeypatch):
+    monkeypatch.setattr(module, "timed_games", lambda spark, sf: tables.timed_games(spark, sf).where("season <= 1995"))
 
-    monkeypatch.setattr(rating_queries, "timed_games", lambda spark, sf: tables.timed_games(spark, sf).where(f"season <= {last}"))
-    return rating_queries
 
+def test_tuning_scores_every_period(spark, monkeypatch):
+    from paceline.plans import walkforward_queries as q
 
-def test_decay_tuning_scores_every_period(spark, monkeypatch):
-    q = some_seasons(monkeypatch, 1996)
-    g = tables.timed_games(spark, SF).where("season in (1995, 1996) and home_division = 'fbs' and away_division = 'fbs'")
-    n = g.join(ratings.calendar(tables.timed_games(spark, SF)), ["season", "period"]).count()
+    first_season(q, monkeypatch)
+    n = q.timed_games(spark, SF).where("home_division = 'fbs' and away_division = 'fbs'").count()
     rows = q.decay_tuning(spark, SF).collect()
     assert {(r["family"], r["decay"]) for r in rows} == {(f, d) for f in ("pr_points_keep", "bradley_terry") for d in (0.0, 0.35, 0.5, 0.65, 0.8, 1.0)}
     assert {r["n"] for r in rows} == {n} and sum(r["best"] for r in rows) == 2
@@ -161,15 +159,17 @@ def test_season_queries_take_all_seasons(spark, monkeypatch):
     assert {r["season"]: r["count"] for r in q.season_lr(spark, SF).groupBy("season").count().collect()} == {s: n[s] for s in want}
     asked = []
     monkeypatch.setattr(models, "season_refits", lambda f, names, make, seasons=None, least=0: asked.append((seasons, make(900)[-1])) or spark.range(0).selectExpr("id as game_id", "1 as season", "0.5D as p"))
-    for f in (q.season_gbm, q.season_mlp, q.bagged_gbm, q.stacker):
+    for f in (q.season_gbm, q.season_mlp):
         f(spark, SF)
-    assert all(s is None for s, _ in asked) and [m.getMaxIter() for _, m in asked[:5]] == [50, 100, 50, 50, 50]
+    assert all(s is None for s, _ in asked) and [m.getMaxIter() for _, m in asked] == [50, 100]
 
 
 def test_calibrated_prob_takes_all_periods(spark, monkeypatch):
-    q = some_seasons(monkeypatch, 1995)
+    from paceline.plans import rating_queries as q
+
+    first_season(q, monkeypatch)
     g = q.timed_games(spark, SF).where("home_division = 'fbs' and away_division = 'fbs'")
-    assert q.calibrated_prob(spark, SF).count() == g.join(ratings.calendar(g), ["season", "period"]).count() > 0
+    assert q.calibrated_prob(spark, SF).count() == g.count() > 0
 
 
 def test_rankers_rate_every_period(spark, monkeypatch):
