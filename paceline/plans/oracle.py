@@ -45,12 +45,37 @@ predictions AS (SELECT *, 'prior' AS model, 1 / (1 + pow(10, -(home_pregame_elo
     UNION ALL SELECT *, 'market', 1 / (1 + exp(spread_home / 7)) FROM lined
     UNION ALL SELECT *, 'opening', 1 / (1 + exp(open_spread_home / 7)) FROM lined)"""
 
+_ROLES = "rush completion incompletion sack_taken interception_thrown fumble fumble_recovered sack interception pass_breakup fumble_forced reception".split()
+
 PLAYS = """
-WITH plays AS (SELECT event_id, user_id AS athlete_id, (user_id % 10)::INT AS team, ((user_id % 10) + 1 - 2 * (user_id % 2))::INT AS opp,
-    ((event_id // 1000) * 5 + (user_id % 10) // 2)::BIGINT AS game_id, (2014 + day(ts) // 6)::INT AS season, event_type, floor(value / 10)::BIGINT AS yards,
-    value > 200 AS fumble, (event_id % 4 + 1)::INT AS down, 10 AS distance FROM events),
-rosters AS (SELECT season, athlete_id, (athlete_id % 10)::INT AS team FROM (SELECT DISTINCT user_id AS athlete_id FROM events), (SELECT DISTINCT season FROM plays) WHERE athlete_id % 7 <> season % 7)"""
+WITH base AS (SELECT *, user_id + 1 - 2 * (user_id % 2) AS other, floor(value / 10)::BIGINT AS yards, value > 200 AS dropped FROM events),
+plays AS (SELECT event_id, ((event_id // 1000) * 5 + (user_id % 10) // 2)::BIGINT AS game_id, (2014 + day(ts) // 6)::INT AS season,
+    CASE WHEN event_type = 'purchase' THEN user_id END AS rush_player_id, CASE WHEN event_type = 'view' THEN user_id END AS completion_player_id, CASE WHEN event_type = 'click' THEN user_id END AS incompletion_player_id,
+    CASE WHEN event_type = 'error' THEN user_id END AS sack_taken_player_id, CASE WHEN event_type = 'signup' THEN user_id END AS interception_thrown_player_id, CASE WHEN dropped THEN user_id + 10 END AS fumble_player_id,
+    CASE WHEN dropped AND event_id % 3 = 1 THEN other WHEN dropped AND event_id % 3 = 2 THEN user_id END AS fumble_recovered_player_id, CASE WHEN event_type = 'error' THEN other END AS sack_player_id,
+    CASE WHEN event_type = 'signup' THEN other END AS interception_player_id, CASE WHEN event_type = 'click' AND event_id % 5 = 0 THEN other END AS pass_breakup_player_id,
+    CASE WHEN dropped AND event_id % 2 = 0 THEN other END AS fumble_forced_player_id, CASE WHEN event_type = 'view' THEN user_id + 10 END AS reception_player_id,
+    CASE WHEN event_id % 10 = 0 AND event_type IN ('purchase', 'view') THEN user_id END AS touchdown_player_id,
+    CASE WHEN event_type = 'purchase' THEN yards END AS rush_yds, CASE WHEN event_type = 'view' AND event_id % 7 <> 0 THEN yards END AS completion_yds, CASE WHEN event_type = 'view' THEN yards END AS reception_yds,
+    CASE WHEN event_type = 'error' THEN yards END AS sack_taken_stat, CASE WHEN event_id % 9 <> 0 THEN event_id % 4 + 1 END AS down, CASE WHEN event_id % 8 <> 0 THEN 10 - event_id % 11 END AS distance FROM base),
+rosters AS (SELECT season, athlete_id, (athlete_id % 10)::INT AS team FROM (SELECT DISTINCT user_id AS athlete_id FROM events), (SELECT DISTINCT season FROM plays) WHERE athlete_id % 7 <> season % 7),
+prod AS (SELECT x.season, team, athlete_id, sum(off_yards)::BIGINT AS off_yards, sum(def_plays)::BIGINT AS def_plays FROM (
+    SELECT season, rush_player_id AS athlete_id, coalesce(rush_yds, 0) AS off_yards, 0 AS def_plays FROM plays UNION ALL SELECT season, completion_player_id, coalesce(completion_yds, 0), 0 FROM plays
+    UNION ALL SELECT season, reception_player_id, coalesce(reception_yds, 0), 0 FROM plays UNION ALL SELECT season, sack_player_id, 0, 1 FROM plays UNION ALL SELECT season, interception_player_id, 0, 1 FROM plays
+    UNION ALL SELECT season, pass_breakup_player_id, 0, 1 FROM plays UNION ALL SELECT season, fumble_forced_player_id, 0, 1 FROM plays) x JOIN rosters USING (season, athlete_id) GROUP BY ALL)"""
 
+BOX = PLAYS + """,
+a AS (SELECT p.*, """ + ", ".join(f"r_{r}.team AS {r}_team" for r in _ROLES) + " FROM plays p " + " ".join(f"LEFT JOIN rosters r_{r} ON r_{r}.season = p.season AND r_{r}.athlete_id = p.{r}_player_id" for r in _ROLES) + """),
+k AS (SELECT *, rush_player_id IS NOT NULL AS rush, completion_player_id IS NOT NULL OR incompletion_player_id IS NOT NULL OR interception_thrown_player_id IS NOT NULL AS thrown,
+    coalesce(rush_team, completion_team, incompletion_team, sack_taken_team, interception_thrown_team, fumble_team) AS team FROM a),
+g AS (SELECT *, CASE WHEN rush THEN coalesce(rush_yds, 0) WHEN completion_player_id IS NOT NULL THEN coalesce(completion_yds, 0) WHEN sack_taken_player_id IS NOT NULL AND NOT thrown THEN -coalesce(sack_taken_stat, 0) ELSE 0 END AS gain,
+    rush OR thrown OR sack_taken_player_id IS NOT NULL AS play, coalesce(distance, 10) AS dist FROM k),
+off AS (SELECT season, game_id, team, sum(play::INT)::BIGINT AS plays, sum(CASE WHEN play THEN gain ELSE 0 END)::BIGINT AS yards,
+    sum((play AND dist > 0 AND gain >= (CASE coalesce(down, 1) WHEN 1 THEN 0.5 WHEN 2 THEN 0.7 ELSE 1.0 END) * dist)::INT)::BIGINT AS successes, sum((rush AND gain >= 12 OR thrown AND gain >= 20)::INT)::BIGINT AS explosives,
+    sum(thrown::INT)::BIGINT AS passes, sum(rush::INT)::BIGINT AS rushes, count(sack_taken_player_id) AS sacks_taken, count(interception_thrown_player_id) AS picks_thrown,
+    sum(CASE WHEN fumble_player_id IS NULL THEN 0.0 WHEN fumble_recovered_team IS NULL THEN 0.5 ELSE coalesce(fumble_recovered_team <> fumble_team, true)::INT END)::DOUBLE AS fumbles_lost, count(touchdown_player_id) AS touchdowns
+    FROM g WHERE team IS NOT NULL GROUP BY season, game_id, team),
+box AS (SELECT off.*, """ + ", ".join(f"coalesce({n}, 0) AS {n}" for n in ("sacks", "picks", "breakups", "forced")) + " FROM off " + " ".join(f"LEFT JOIN (SELECT season, game_id, {r}_team AS team, count(*) AS {n} FROM a WHERE {r}_team IS NOT NULL GROUP BY ALL) USING (season, game_id, team)" for n, r in (("sacks", "sack"), ("picks", "interception"), ("breakups", "pass_breakup"), ("forced", "fumble_forced"))) + ")"
 
 CALENDAR = GAMES + """, t AS (SELECT g.*, period FROM games g JOIN periods USING (season, st_order, week)),
 cal AS (SELECT * FROM (SELECT season, period, max(season) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hist_season FROM (SELECT DISTINCT season, period FROM t)) WHERE hist_season IS NOT NULL)"""

@@ -93,9 +93,8 @@ def elo_final_top25(spark, sf):
     return r.select(F.row_number().over(Window.orderBy(F.desc("rating"), "team")).alias("rank"), "team", F.round("rating", 4).alias("rating"))
 
 
-_SHARES = PLAYS.replace("WITH plays", ", plays") + """,
-back AS (SELECT p.season + 1 - 19 AS season, 'S' || p.team AS team, sum(CASE WHEN r.athlete_id IS NOT NULL THEN off_yards ELSE 0 END) / greatest(sum(off_yards), 1) AS ret_off, sum(CASE WHEN r.athlete_id IS NOT NULL THEN def_plays ELSE 0 END) / greatest(sum(def_plays), 1) AS ret_def
-    FROM (SELECT season, team, athlete_id, sum(greatest(CASE WHEN event_type IN ('purchase', 'view') THEN yards WHEN event_type = 'error' THEN -yards ELSE 0 END, 0)) AS off_yards, count(*) FILTER (event_type IN ('error', 'signup')) AS def_plays FROM plays GROUP BY ALL) p
+_SHARES = PLAYS.replace("WITH base", ", base") + """,
+back AS (SELECT p.season + 1 - 19 AS season, 'S' || p.team AS team, sum(CASE WHEN r.athlete_id IS NOT NULL THEN off_yards ELSE 0 END) / greatest(sum(off_yards), 1) AS ret_off, sum(CASE WHEN r.athlete_id IS NOT NULL THEN def_plays ELSE 0 END) / greatest(sum(def_plays), 1) AS ret_def FROM prod p
     LEFT JOIN rosters r ON r.season = p.season + 1 AND r.team = p.team AND r.athlete_id = p.athlete_id WHERE p.season + 1 IN (SELECT season FROM rosters) GROUP BY 1, 2),
 shares AS (SELECT season, list(s ORDER BY k) AS s FROM (SELECT y.season, n.k, CASE WHEN ret_off IS NULL THEN 0.15 ELSE least(greatest(0.15 + 0.4 * (0.5 - (ret_off + ret_def) / 2), 0.02), 0.7) END AS s FROM (SELECT DISTINCT season FROM pool) y CROSS JOIN names n LEFT JOIN back ON back.season = y.season AND back.team = n.team) GROUP BY season)"""
 

@@ -392,7 +392,7 @@ def offseason_sides(spark, sf):
 
 def efficiency_rows(spark, sf) -> DataFrame:
     """(target, season, home_team, away_team, value): per-play margins of the box scores, long."""
-    m = boxscore.efficiency_margins(boxscore.box_scores(plays(spark, sf)), least=5)
+    m = boxscore.efficiency_margins(boxscore.box_scores(plays(spark, sf), rosters(spark, sf)))
     one = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"{t}_margin").alias("value")) for t in EFFICIENCY])).alias("x")
     rows = m.select((F.col("season") - SHIFT).alias("season"), F.concat(F.lit("S"), F.col("team")).alias("home_team"), F.concat(F.lit("S"), F.col("opp")).alias("away_team"), one)
     return rows.select("season", "home_team", "away_team", "x.*")

@@ -159,20 +159,37 @@ def line_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Who did what in a play, by column of their ids: offence, the ball lost, defence, and who caught.
+OFFENCE = ("rush", "completion", "incompletion", "sack_taken", "interception_thrown")
+DEFENCE = ("sack", "interception", "pass_breakup", "fumble_forced")
+ROLES = (*OFFENCE, "fumble", "fumble_recovered", *DEFENCE, "reception")
+
+
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Play-by-play rows: who did what for which team in which game."""
+    """Play-by-play rows as files of them are: the ids of those who did something, their yards, down and distance; any
+    of these may be missing."""
     e = read(spark, sf_dir, "events")
-    t = F.col("user_id") % 10
+    one, kind, n = F.col("user_id"), F.col("event_type"), F.col("event_id")
+    other = one + 1 - 2 * (one % 2)
+    yards, fumble = F.floor(F.col("value") / 10), F.col("value") > 200
+    on = lambda k, who: F.when(kind == k, who)
+    ids = {
+        "rush": on("purchase", one), "completion": on("view", one), "incompletion": on("click", one), "sack_taken": on("error", one), "interception_thrown": on("signup", one),
+        "fumble": F.when(fumble, one + 10), "fumble_recovered": F.when(fumble & (n % 3 == 1), other).when(fumble & (n % 3 == 2), one),
+        "sack": on("error", other), "interception": on("signup", other), "pass_breakup": F.when((kind == "click") & (n % 5 == 0), other), "fumble_forced": F.when(fumble & (n % 2 == 0), other),
+        "reception": on("view", one + 10), "touchdown": F.when((n % 10 == 0) & kind.isin("purchase", "view"), one),
+    }
     return e.select(
-        "event_id", F.col("user_id").alias("athlete_id"), t.cast("int").alias("team"), (t.cast("int") + 1 - 2 * (t.cast("int") % 2)).alias("opp"),
-        (F.floor(F.col("event_id") / 1000) * 5 + F.floor(t / 2)).cast("long").alias("game_id"), (F.lit(2014) + F.floor(F.dayofmonth("ts") / 6)).cast("int").alias("season"),
-        "event_type", F.floor(F.col("value") / 10).alias("yards"), (F.col("value") > 200).alias("fumble"), (F.col("event_id") % 4 + 1).cast("int").alias("down"), F.lit(10).alias("distance"),
+        "event_id", (F.floor(n / 1000) * 5 + F.floor(one % 10 / 2)).cast("long").alias("game_id"), (F.lit(2014) + F.floor(F.dayofmonth("ts") / 6)).cast("int").alias("season"), *[c.alias(f"{r}_player_id") for r, c in ids.items()],
+        on("purchase", yards).alias("rush_yds"), F.when((kind == "view") & (n % 7 != 0), yards).alias("completion_yds"), on("view", yards).alias("reception_yds"), on("error", yards).alias("sack_taken_stat"),
+        F.when(n % 9 != 0, n % 4 + 1).cast("int").alias("down"), F.when(n % 8 != 0, 10 - n % 11).cast("int").alias("distance"),
     )
 
 
 def rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
     athletes = read(spark, sf_dir, "events").select(F.col("user_id").alias("athlete_id")).distinct()
     seasons = plays(spark, sf_dir).select("season").distinct()
+    # An athlete is missing from every seventh season's roster.
     both = athletes.join(F.broadcast(seasons))  # a row a season
     return both.where("athlete_id % 7 <> season % 7").select("season", "athlete_id", (F.col("athlete_id") % 10).cast("int").alias("team"))
 
