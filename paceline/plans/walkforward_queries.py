@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from paceline.functions.scalar import logit, sigmoid
 from paceline.operators import boosting, boxscore, elo, evaluate, form, lines, ratings, snapshot, walkforward
 from paceline.operators.boosting import Boosted, Logistic, MarginBoosted, Perceptron, Setting
-from paceline.plans.oracle import CALENDAR, GAMES, SNAPSHOT_SUMS
+from paceline.plans.oracle import BOX, CALENDAR, GAMES, PLAYS, SNAPSHOT_SUMS
 from paceline.plans.registry import query
 from paceline.sources.tables import games, line_odds, plays, rosters, six, staged, timed_games
 
@@ -382,7 +382,13 @@ def elo_slopes(spark, sf):
     return chosen(rows)
 
 
-@query()
+_BACK = """, ret AS (SELECT p.season + 1 AS season, p.team, sum(CASE WHEN r.athlete_id IS NOT NULL THEN off_yards ELSE 0 END) / greatest(sum(off_yards), 1) AS ret_off, sum(CASE WHEN r.athlete_id IS NOT NULL THEN def_plays ELSE 0 END) / greatest(sum(def_plays), 1) AS ret_def
+      FROM prod p LEFT JOIN rosters r ON r.season = p.season + 1 AND r.team = p.team AND r.athlete_id = p.athlete_id WHERE p.season + 1 IN (SELECT season FROM rosters) GROUP BY 1, 2),
+    cont AS (SELECT l.season + 1 AS season, l.team, count(n.athlete_id) / count(*) AS roster_continuity FROM rosters l LEFT JOIN rosters n ON n.season = l.season + 1 AND n.team = l.team AND n.athlete_id = l.athlete_id WHERE l.season + 1 IN (SELECT season FROM rosters) GROUP BY 1, 2),
+    back AS (SELECT season - 19 AS season, 'S' || team AS team, least(greatest(ret_off, 0), 1) AS ret_off, least(greatest(ret_def, 0), 1) AS ret_def, (least(greatest(ret_off, 0), 1) + least(greatest(ret_def, 0), 1)) / 2 AS ret_avg, roster_continuity FROM ret LEFT JOIN cont USING (season, team))"""
+
+
+@query(GAMES + PLAYS.replace("WITH base", ", base") + _BACK + " SELECT game_id, " + ", ".join(f"round({s}.{n}, 6) AS {s}_{n}" for s in ("home", "away") for n in ("ret_off", "ret_def", "ret_avg", "roster_continuity")) + " FROM games g LEFT JOIN back home ON home.season = g.season AND home.team = home_team LEFT JOIN back away ON away.season = g.season AND away.team = away_team")
 def offseason_sides(spark, sf):
     """What both sides of a game bring back, joined by season and team."""
     names = ("ret_off", "ret_def", "ret_avg", "roster_continuity")
@@ -407,7 +413,14 @@ def efficiency_penalties(spark, sf) -> DataFrame:
     return own.join(F.broadcast(whole)).select("target", (4.0 * F.col("var") / F.col("margin_var")).alias("lam"))  # one row
 
 
-@query()
+_WITH_BOX = GAMES + BOX.replace("WITH base", ", base")
+
+
+@query(_WITH_BOX + """, m AS (SELECT a.season - 19 AS season, a.yards / a.plays - b.yards / b.plays AS yards, a.successes / a.plays - b.successes / b.plays AS successes, a.explosives / a.plays - b.explosives / b.plays AS explosives,
+      b.picks_thrown + b.fumbles_lost - a.picks_thrown - a.fumbles_lost AS turnovers, (a.sacks + a.breakups + a.forced) / b.plays - (b.sacks + b.breakups + b.forced) / a.plays AS havoc
+      FROM box a JOIN box b ON a.season = b.season AND a.game_id = b.game_id AND b.team = a.team + 1 AND a.team % 2 = 0 WHERE a.plays >= 20 AND b.plays >= 20),
+    l AS (UNPIVOT (SELECT season, yards::DOUBLE AS yards, successes::DOUBLE AS successes, explosives::DOUBLE AS explosives, turnovers::DOUBLE AS turnovers, havoc::DOUBLE AS havoc FROM m) ON yards, successes, explosives, turnovers, havoc INTO NAME target VALUE value)
+    SELECT target, round(4.0 * var_pop(value) / (SELECT var_pop(least(greatest(margin, -35), 35)) FROM games WHERE season < (SELECT min(season) FROM games) + 3), 9) AS lam FROM l WHERE season < (SELECT min(season) FROM m) + 3 GROUP BY target""")
 def efficiency_lambda(spark, sf):
     return efficiency_penalties(spark, sf).select("target", F.round("lam", 9).alias("lam"))
 
