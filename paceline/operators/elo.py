@@ -52,35 +52,45 @@ def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(["season", "st_order", "week", "start_date", "game_id"], na_position="last", ignore_index=True)
 
 
-def _args(pdf: pd.DataFrame) -> tuple:
-    first = pdf.iloc[0]
-    return float(first["k"]), float(first["hfa"]), float(first["regress"]), bool(first["mov"]), int(first["early"]), float(first["k_early"])
+#: Tasks that parameter sets are dealt to: games are sent to each once, whatever the number of sets.
+TASKS = 16
 
 
-def _crossed(g: DataFrame, params: DataFrame) -> DataFrame:
-    return g.select(*_COLUMNS).join(F.broadcast(params))  # a row a parameter set
+def _played(g: DataFrame, params: DataFrame, run, schema: str) -> DataFrame:
+    """``run(games in order, a parameter set)`` for every set; a task has its games once and plays its sets in turn."""
+    task = F.pmod(F.col("param_id"), F.lit(TASKS))
+    tasks = params.select(task.alias("task")).distinct()
+    left = g.select(*_COLUMNS).join(F.broadcast(tasks))  # a row a task
+
+    def each(games: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        games = _sorted(games)
+        return pd.concat([run(games, p) for p in sets.sort_values("param_id").itertuples()])
+
+    return left.groupBy("task").cogroup(params.withColumn("task", task).groupBy("task")).applyInPandas(each, schema)
+
+
+def _args(p) -> tuple:
+    return float(p.k), float(p.hfa), float(p.regress), bool(p.mov), int(p.early), float(p.k_early)
 
 
 def pregame(g: DataFrame, params: DataFrame) -> DataFrame:
     """Per parameter set and game: probability and both ratings before the game."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _sorted(pdf)
-        h, a, p, _ = play(pdf, *_args(pdf))
-        return pd.DataFrame({"param_id": pdf["param_id"], "game_id": pdf["game_id"], "home_elo": h, "away_elo": a, "p": p})
+    def run(games: pd.DataFrame, p) -> pd.DataFrame:
+        h, a, chance, _ = play(games, *_args(p))
+        return pd.DataFrame({"param_id": p.param_id, "game_id": games["game_id"], "home_elo": h, "away_elo": a, "p": chance})
 
-    return _crossed(g, params).groupBy("param_id").applyInPandas(run, "param_id int, game_id long, home_elo double, away_elo double, p double")
+    return _played(g, params, run, "param_id int, game_id long, home_elo double, away_elo double, p double")
 
 
 def final(g: DataFrame, params: DataFrame) -> DataFrame:
     """Ratings after the last game."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _sorted(pdf)
-        rating = play(pdf, *_args(pdf))[3]
-        return pd.DataFrame({"param_id": int(pdf["param_id"].iloc[0]), "team": list(rating), "rating": list(rating.values())})
+    def run(games: pd.DataFrame, p) -> pd.DataFrame:
+        rating = play(games, *_args(p))[3]
+        return pd.DataFrame({"param_id": p.param_id, "team": pd.Series(list(rating), dtype=object), "rating": pd.Series(list(rating.values()), dtype=float)})
 
-    return _crossed(g, params).groupBy("param_id").applyInPandas(run, "param_id int, team string, rating double")
+    return _played(g, params, run, "param_id int, team string, rating double")
 
 
 def pregame_by_team(g: DataFrame, regress: DataFrame, k: float = 40.0, hfa: float = 50.0, default: float = 0.15) -> DataFrame:
