@@ -99,10 +99,10 @@ ORACLES = {
         t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, max(level_k) OVER () * weight) AS target FROM k),
         p AS (SELECT doc_id, source, size, (sum(size) OVER (PARTITION BY source ORDER BY turn, doc_id, size
                   ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start FROM d),
-        u AS (SELECT p.*, source_size, target, e, unnest(range(0, size, 256)) AS at
-              FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source, (SELECT unnest([0, 1]) AS e)),
-        v AS (SELECT *, least(256, size - at) AS words, (start + e * source_size + at + least(256, size - at)) / target AS finish FROM u),
-        q AS (SELECT *, (sum(words) OVER (ORDER BY finish, source NULLS FIRST, start, e, at ROWS UNBOUNDED PRECEDING))::BIGINT - words AS before FROM v),
+        u AS (SELECT p.*, source_size, target, pass, unnest(range(0, size, 256)) AS begun
+              FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source, (SELECT unnest([0, 1]) AS pass)),
+        v AS (SELECT *, least(256, size - begun) AS words, (start + pass * source_size + begun + least(256, size - begun)) / target AS finish FROM u),
+        q AS (SELECT *, (sum(words) OVER (ORDER BY finish, source NULLS FIRST, start, pass, begun ROWS UNBOUNDED PRECEDING))::BIGINT - words AS before FROM v),
         g AS (SELECT source, start, sum(least(words, greatest((SELECT floor(1.5 * sum(size))::BIGINT FROM d) - before, 0)))::BIGINT AS taken FROM q GROUP BY source, start)
         SELECT p.doc_id, p.size::BIGINT AS size, t.source_size, t.target, CASE WHEN p.size > 0 THEN coalesce(g.taken, 0) ELSE 0 END::BIGINT AS taken
         FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
