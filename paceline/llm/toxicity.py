@@ -6,17 +6,17 @@ import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fitting uses at most so many labelled documents of either class, and so many characters of them.
-TOXIC_DOCS, CLEAN_DOCS, TOXIC_CHARS, CLEAN_CHARS = 4000, 6000, 6_000_000, 12_000_000
+TOXIC_DOCS, CLEAN_DOCS, TOXIC_CHARS, CLEAN_CHARS = 4000, 6000, 5_000_000, 12_000_000
 #: Words of a window.
 WINDOW = 8
 #: Bytes of ordinary text that both dictionaries hold, and of text of its own class that each holds.
@@ -76,7 +76,7 @@ def _covering(docs: Iterable[list[bytes]], gain: Counter, size: int, used: set[b
         for k in range(0, len(ws), SEGMENT):
             piece = ws[k : k + SEGMENT]
             best.append((sum(gain[w] for w in set(piece)), piece))
-        best = heapq.nlargest(20_000, best, key=lambda x: x[0]) if len(best) > 400_000 else best
+        best = heapq.nlargest(30_000, best, key=lambda x: x[0]) if len(best) > 100_000 else best
     heap = [(-g, k) for k, (g, _) in enumerate(best)]
     heapq.heapify(heap)
     out, n = [], 0
@@ -155,22 +155,23 @@ class Model:
         return 1 / (1 + math.exp(-max(min(z, 30.0), -30.0)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> list[float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0) -> list[float]:
     """Newton's method for the penalised likelihood; the first column, the constant, isn't penalised."""
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
     ridge[0] = 1e-6
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w.tolist()
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """A model of (text, 0 or 1) rows. Three fifths train the dictionaries, the others calibrate the score."""
+def fit(rows: list[tuple[str | None, int]], share: float | None = None) -> Model:
+    """A model of (text, 0 or 1) rows. Three fifths train the dictionaries, the others calibrate the score, weighed so
+    that ``share`` of them is toxic, as of all labelled documents: a sample of the classes has another share."""
     train: dict[int, list[str | None]] = {0: [], 1: []}
     rest = []
     for k, (text, toxic) in enumerate(rows):
@@ -191,7 +192,8 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     model = Model(_around(own(1), toxic, used, OWN) + shared, shared, shared[-60:], [])
     y = np.array([t for _, t in rest], float)
     if 0 < y.sum() < len(y):
-        model.weights = _logistic(np.array([model.features(t) for t, _ in rest]), y)
+        share = y.mean() if share is None else share
+        model.weights = _logistic(np.array([model.features(t) for t, _ in rest]), y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
     elif len(y):
         model.weights = [8.0 if y[0] else -8.0] + [0.0] * (1 + 2 * len(SAVINGS))
     return model
@@ -206,11 +208,26 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     turn = F.xxhash64("doc_id")
     some = marks.where("toxic = 1").orderBy(turn, "doc_id").limit(TOXIC_DOCS).unionByName(marks.where("toxic = 0").orderBy(turn, "doc_id").limit(CLEAN_DOCS))
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic", turn.alias("turn"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    so_far = Window.partitionBy("toxic").orderBy("turn", "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)
-    most = F.when(F.col("toxic") == 1, TOXIC_CHARS).otherwise(CLEAN_CHARS)
-    got = got.withColumn("sum", F.sum("n").over(so_far)).where(F.col("sum") <= most)  # of a bounded number of documents
-    return fit([(r["text"], r["toxic"]) for r in got.orderBy("turn", "doc_id", "n").select("text", "toxic").collect()])
+    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), turn.alias("turn"), "doc_id")
+    one = got.repartition(1).sortWithinPartitions("turn", "doc_id", "text").select("text", "toxic")  # a bounded number of documents
+    made = one.mapInArrow(_fitted(marks.agg(F.avg("toxic")).first()[0]), "toxic binary, ordinary binary, tail binary, weights array<double>").first()
+    return fit([]) if made is None else Model(bytes(made["toxic"]), bytes(made["ordinary"]), bytes(made["tail"]), list(made["weights"]))
+
+
+def _fitted(share: float | None) -> Callable:
+    """A model of the rows, of either class as many as there is room for: in a task, so that the driver has the model only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room, rows = {1: TOXIC_CHARS, 0: CLEAN_CHARS}, []
+        for b in batches:
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                if len(text or "") <= room[toxic]:
+                    room[toxic] -= len(text or "")
+                    rows.append((text, toxic))
+        m = fit(rows, share)
+        yield pa.RecordBatch.from_arrays([pa.array([m.toxic], pa.binary()), pa.array([m.ordinary], pa.binary()), pa.array([m.tail], pa.binary()), pa.array([m.weights], pa.list_(pa.float64()))], ["toxic", "ordinary", "tail", "weights"])
+
+    return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
