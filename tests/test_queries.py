@@ -53,7 +53,7 @@ def test_scalars(spark):
     assert value(scalar.first_price(F.lit("['1','0']"))) == 1
     assert value(scalar.first_price(F.lit("oops"))) is None
     assert value(scalar.calibration_bin(F.lit(1.0))) == 9
-    assert value(scalar.utc_offset(F.lit("Nowhere"))) == 0
+    assert value(scalar.utc_offset(F.lit("Nowhere"))) is None and value(scalar.utc_offset(F.lit("America/Phoenix"))) == -7
     assert value(scalar.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0))) == pytest.approx(20015.09, abs=0.1)
     days = scalar.whole_days(F.to_timestamp(F.lit("2000-01-02 01:00:00")), F.to_timestamp(F.lit("2000-01-01 23:00:00")))
     assert value(days) == 0
