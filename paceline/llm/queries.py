@@ -69,11 +69,63 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_mixing, op4_minhash, op5_substring_dedup, op6_url_filters, op7_toxicity, op8_line_dedup, op9_token_output, op10_packing)}
+def op11_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.term_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.boundary_bpe import encoded
+
+    out = encoded(table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_embedding_dedup, op3_mixing, op4_minhash, op5_substring_dedup, op6_url_filters, op7_toxicity, op8_line_dedup, op9_token_output, op10_packing, op11_term_search, op12_boundary_bpe, op13_vector_codes)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after another: assign by least distance and index, then floors of means."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, label, p, any_value(x) AS x, arg_min(e, (d, e)) AS e, min(d) AS d FROM
+            (SELECT v.*, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v JOIN c{k} USING (p)) GROUP BY vec_id, label, p)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT p, e, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, (SELECT len(any_value(x)) FROM v) + 1)) AS j) GROUP BY p, e, j),
+            m{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM s{k} GROUP BY p, e),
+            c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, e))""")
+    return f"""
+        WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda y: floor(4096 * y::DOUBLE)::BIGINT) AS y FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+        v AS MATERIALIZED (SELECT vec_id, label, p, y[p * (len(y) // {parts}) + 1:(p + 1) * (len(y) // {parts})] AS x FROM k, (SELECT unnest(range({parts})) AS p)),
+        c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM v QUALIFY e < {entries}),
+        {", ".join(steps)},
+        r AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256 FROM r"""
+
+
 ORACLES = {
+    "op11_term_search": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        s AS (SELECT count(*) FILTER (len(ts) > 0) AS big_n, sum(len(ts))::BIGINT AS big_l FROM d),
+        p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d) GROUP BY doc_id, n, t),
+        w AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+        q AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+        r AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+              FROM q JOIN w USING (t) JOIN p USING (t), s GROUP BY item_id, doc_id)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 20""",
+    "op13_vector_codes": _codes_sql(),
     "op5_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
