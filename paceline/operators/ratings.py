@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.functions.scalar import decay
+from paceline.operators import sparse
 
 EDGE_KINDS = ("win", "margin", "points", "points_against", "points_keep")
 
@@ -62,11 +65,8 @@ def history_join(g: DataFrame, cal: DataFrame, rate: float, back: int = 6) -> Da
     return g.join(F.broadcast(c), near).withColumn("weight", decay(rate, F.col("hist_season") - F.col("season")))  # a row a period
 
 
-def pagerank_values(src: np.ndarray, dst: np.ndarray, w: np.ndarray, damping: float = 0.85, rounds: int = 200, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
-    """Names and ranks: power iteration of the column-normalised graph; nodes without outflow give to all."""
-    names, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    s, d = flat[: len(src)], flat[len(src) :]
-    n = len(names)
+def ranks(s: np.ndarray, d: np.ndarray, w: np.ndarray, n: int, damping: float = 0.85, rounds: int = 200, tol: float = 1e-10) -> np.ndarray:
+    """Power iteration of the column-normalised graph of ``n`` nodes; nodes without outflow give to all."""
     out = np.bincount(s, w, n)
     flow = w / out[s]
     sinks = out == 0
@@ -78,7 +78,13 @@ def pagerank_values(src: np.ndarray, dst: np.ndarray, w: np.ndarray, damping: fl
         r = new
         if done:
             break
-    return names, r
+    return r
+
+
+def pagerank_values(src: np.ndarray, dst: np.ndarray, w: np.ndarray, damping: float = 0.85, rounds: int = 200, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """Names and ranks of a graph given by names."""
+    names, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    return names, ranks(flat[: len(src)], flat[len(src) :], w, len(names), damping, rounds, tol)
 
 
 def pagerank(window_edges: DataFrame, damping: float = 0.85, rounds: int = 200) -> DataFrame:
@@ -101,22 +107,74 @@ def pair_stats(g: DataFrame, target: Column, weight: Column | None = None) -> Da
     )
 
 
-def ridge_solution(pdf: pd.DataFrame, lam: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Teams, ratings and home advantage that minimise the weighted squares plus ``lam`` times the ratings' squares."""
-    names, flat = np.unique(np.concatenate([pdf["home_team"], pdf["away_team"]]), return_inverse=True)
-    h, a = flat[: len(pdf)], flat[len(pdf) :]
-    n = len(names)
+@dataclass
+class Teams:
+    """Teams of pairs: sorted names, both sides as numbers of them, and their places among ``total`` of a block of periods."""
+
+    names: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    place: np.ndarray | None = None
+    total: int = 0
+
+
+def teams(pdf: pd.DataFrame, first: str = "home_team", second: str = "away_team") -> Teams:
+    """The teams of two columns. Categories that both share, as blocks of periods have, are numbers already."""
+    a, b = pdf[first], pdf[second]
+    if not isinstance(a.dtype, pd.CategoricalDtype):
+        names, flat = np.unique(np.concatenate([a.to_numpy(str), b.to_numpy(str)]), return_inverse=True)
+        return Teams(names, flat[: len(pdf)], flat[len(pdf) :])
+    h, v = a.cat.codes.to_numpy(), b.cat.codes.to_numpy()
+    total = len(a.cat.categories)
+    seen = np.zeros(total, bool)
+    seen[h] = seen[v] = True
+    at = np.cumsum(seen) - 1
+    return Teams(a.cat.categories.to_numpy(str)[seen], at[h], at[v], np.flatnonzero(seen), total)
+
+
+class Memory:
+    """Solutions of a block's last period, by name, as starts of the next one's: a vector a team, and what isn't a team's."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.parts: dict[str, Memory] = {}
+
+    def of(self, name: str) -> Memory:
+        """A memory of its own for one of several systems."""
+        return self.parts.setdefault(name, Memory())
+
+    def start(self, name: str, t: Teams) -> np.ndarray | None:
+        if name not in self.known or t.place is None:
+            return None
+        by_team, rest = self.known[name]
+        return np.concatenate([by_team[:, t.place].reshape(-1, *by_team.shape[2:]), rest])
+
+    def keep(self, name: str, t: Teams, x: np.ndarray, blocks: int = 1) -> None:
+        if t.place is not None:
+            n = len(t.names)
+            by_team = np.zeros((blocks, t.total, *x.shape[1:]))
+            by_team[:, t.place] = x[: blocks * n].reshape(blocks, n, *x.shape[1:])
+            self.known[name] = (by_team, x[blocks * n :])
+
+
+def ridge_fit(t: Teams, at_home: np.ndarray, w: np.ndarray, wy: np.ndarray, lam: float, memory: Memory | None = None, name: str = "") -> np.ndarray:
+    """Ratings and home advantage that minimise the weighted squares plus ``lam`` times the ratings' squares. Columns of
+    ``wy`` are several targets of the same games: one matrix, several right sides."""
+    d = sparse.Differences(t.first, t.second, at_home, len(t.names))
+    x = sparse.solve(d, w, d.sums(wy), np.r_[np.full(d.n, lam), 1e-6], memory.start(name, t) if memory else None)
+    if memory:
+        memory.keep(name, t, x)
+    return x
+
+
+def ridge_solution(pdf: pd.DataFrame, lam: float, memory: Memory | None = None, name: str = "ridge") -> tuple[np.ndarray, np.ndarray, float]:
+    """Teams, ratings and home advantage of a frame with w, wi, wy, wiy: sums of weights and weighted targets, and of
+    those of games at home."""
+    t = teams(pdf)
     w, wi, wy, wiy = (pdf[c].to_numpy(float) for c in ("w", "wi", "wy", "wiy"))
-    m = np.zeros((n + 1, n + 1))
-    np.add.at(m, (h, h), w)
-    np.add.at(m, (a, a), w)
-    np.add.at(m, (h, a), -w)
-    np.add.at(m, (a, h), -w)
-    m[:n, n] = m[n, :n] = np.bincount(h, wi, n) - np.bincount(a, wi, n)
-    m[n, n] = wi.sum() + 1e-6
-    m[np.arange(n), np.arange(n)] += lam
-    x = np.linalg.solve(m, np.append(np.bincount(h, wy, n) - np.bincount(a, wy, n), wiy.sum()))
-    return names, x[:n], float(x[n])
+    both = Teams(t.names, np.r_[t.first, t.first], np.r_[t.second, t.second], t.place, t.total)
+    x = ridge_fit(both, np.r_[np.ones(len(pdf)), np.zeros(len(pdf))], np.r_[wi, w - wi], np.r_[wiy, wy - wiy], lam, memory, name)
+    return t.names, x[:-1], float(x[-1])
 
 
 def ridge(window_stats: DataFrame, lam: float = 4.0, least: int = 50) -> DataFrame:
@@ -130,52 +188,40 @@ def ridge(window_stats: DataFrame, lam: float = 4.0, least: int = 50) -> DataFra
     return window_stats.join(enough.select("period"), "period", "left_semi").groupBy("period").applyInPandas(run, "period int, team string, rating double")
 
 
-def off_def_solution(pdf: pd.DataFrame, lam: float = 6.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
-    """Teams, offence, defence, level and home bonus of points ~ level + offence - defence + home bonus.
+def sides_fit(t: Teams, at_home: np.ndarray, w: np.ndarray, home_points: np.ndarray, away_points: np.ndarray, lam: float = 6.0, memory: Memory | None = None, name: str = "sides") -> np.ndarray:
+    """Offences, defences, level and home bonus of points ~ level + offence - defence + home bonus of the teams of
+    weighted games: both sides' points are rows. Offence and defence are penalised."""
+    d = sparse.Sides(np.r_[t.first, t.second], np.r_[t.second, t.first], np.r_[at_home, np.zeros(len(at_home))], len(t.names))
+    x = sparse.solve(d, np.r_[w, w], d.sums(np.r_[home_points, away_points]), np.r_[np.full(2 * d.n, lam), 1e-8, 1e-8], memory.start(name, t) if memory else None)
+    if memory:
+        memory.keep(name, t, x, 2)
+    return x
 
-    ``pdf``: team, opp, home, w and wp, the weights and weighted points of a team's games against another. Only the
-    normal equations of 2 n + 2 unknowns are held; offence and defence are penalised.
-    """
-    names, flat = np.unique(np.concatenate([pdf["team"].to_numpy(str), pdf["opp"].to_numpy(str)]), return_inverse=True)
-    t, o = flat[: len(pdf)], flat[len(pdf) :]
-    n = len(names)
+
+def off_def_solution(pdf: pd.DataFrame, lam: float = 6.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """Teams, offence, defence, level and home bonus of rows team, opp, home, w and wp, the weights and weighted points
+    of a team's games against another."""
+    t = teams(pdf, "team", "opp")
     w, wp, home = (pdf[c].to_numpy(float) for c in ("w", "wp", "home"))
-    # The columns of a row of the design, and their signs: offence, defence, level, home bonus.
-    places = (t, n + o, np.full(len(pdf), 2 * n), np.full(len(pdf), 2 * n + 1))
-    signs = (np.ones(len(pdf)), -np.ones(len(pdf)), np.ones(len(pdf)), home)
-    m, b = np.diag(np.r_[np.full(2 * n, lam), 1e-8, 1e-8]), np.zeros(2 * n + 2)
-    for p, x in zip(places, signs, strict=True):
-        b += np.bincount(p, x * wp, 2 * n + 2)
-        for q, z in zip(places, signs, strict=True):
-            np.add.at(m, (p, q), x * z * w)
-    z = np.linalg.solve(m, b)
-    return names, z[:n], z[n : 2 * n], float(z[2 * n]), float(z[2 * n + 1])
-
-
-def bradley_terry_solution(pdf: pd.DataFrame, reg: float = 3.0, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
-    """Strengths and home edge of the weighted logistic likelihood with squared strengths penalised; Newton's method."""
-    names, flat = np.unique(np.concatenate([pdf["home_team"], pdf["away_team"]]), return_inverse=True)
-    h, a = flat[: len(pdf)], flat[len(pdf) :]
-    n = len(names)
-    w, y, ind = pdf["weight"].to_numpy(float), pdf["home_win"].to_numpy(float), 1.0 - pdf["neutral_site"].to_numpy(float)
-    x = np.zeros(n + 1)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x[h] - x[a] + x[n] * ind)))
-        r, v = w * (y - p), w * p * (1 - p)
-        grad = np.append(np.bincount(h, r, n) - np.bincount(a, r, n) - reg * x[:n], (r * ind).sum())
-        m = np.zeros((n + 1, n + 1))
-        np.add.at(m, (h, h), v)
-        np.add.at(m, (a, a), v)
-        np.add.at(m, (h, a), -v)
-        np.add.at(m, (a, h), -v)
-        m[:n, n] = m[n, :n] = np.bincount(h, v * ind, n) - np.bincount(a, v * ind, n)
-        m[n, n] = (v * ind).sum() + 1e-12
-        m[np.arange(n), np.arange(n)] += reg
-        step = np.linalg.solve(m, grad)
-        x += step
-        if np.abs(step).max() < 1e-10:
-            break
-    return names, x[:n], float(x[n])
+    d = sparse.Sides(t.first, t.second, home, len(t.names))
+    x = sparse.solve(d, w, d.sums(wp), np.r_[np.full(2 * d.n, lam), 1e-8, 1e-8])
+    return t.names, x[: d.n], x[d.n : 2 * d.n], float(x[-2]), float(x[-1])
+
+
+def strength_fit(t: Teams, at_home: np.ndarray, w: np.ndarray, y: np.ndarray, reg: float = 3.0, memory: Memory | None = None, name: str = "strength") -> np.ndarray:
+    """Strengths and home edge of the weighted logistic likelihood with squared strengths penalised. ``y``: shares of wins."""
+    d = sparse.Differences(t.first, t.second, at_home, len(t.names))
+    x = sparse.logistic(d, w, y, np.r_[np.full(d.n, reg), 0.0], memory.start(name, t) if memory else None)
+    if memory:
+        memory.keep(name, t, x)
+    return x
+
+
+def bradley_terry_solution(pdf: pd.DataFrame, reg: float = 3.0, memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Teams, strengths and home edge of games or pairs with weight, home_win and neutral_site."""
+    t = teams(pdf)
+    x = strength_fit(t, 1.0 - pdf["neutral_site"].to_numpy(float), pdf["weight"].to_numpy(float), pdf["home_win"].to_numpy(float), reg, memory)
+    return t.names, x[:-1], float(x[-1])
 
 
 def minimise(f, x: np.ndarray, rounds: int = 200, memory: int = 10, tol: float = 1e-7) -> np.ndarray:
@@ -227,11 +273,11 @@ def blade_chest_loss(x: np.ndarray, h: np.ndarray, a: np.ndarray, ind: np.ndarra
 
 def blade_chest_solution(pdf: pd.DataFrame, dim: int = 3, reg: float = 1.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
     """Teams, blades, chests, strengths and home edge; a seeded start, as the loss isn't convex."""
-    names, flat = np.unique(np.concatenate([pdf["home_team"].to_numpy(str), pdf["away_team"].to_numpy(str)]), return_inverse=True)
-    n, k = len(names), len(pdf)
+    t = teams(pdf)
+    names, n = t.names, len(t.names)
     start = np.concatenate([0.1 * np.random.default_rng(seed).standard_normal(2 * n * dim), np.zeros(n), [0.3]])
     y, ind = pdf["home_win"].to_numpy(float), 1.0 - pdf["neutral_site"].to_numpy(float)
-    args = (flat[:k], flat[k:], ind, y, pdf["weight"].to_numpy(float), n, dim, reg)
+    args = (t.first, t.second, ind, y, pdf["weight"].to_numpy(float), n, dim, reg)
     x = minimise(lambda v: blade_chest_loss(v, *args), start)
     return names, x[: n * dim].reshape(n, dim), x[n * dim : 2 * n * dim].reshape(n, dim), x[2 * n * dim : -1], float(x[-1])
 

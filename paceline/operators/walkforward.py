@@ -82,9 +82,10 @@ def blocked(cal: DataFrame) -> DataFrame:
     return cal.withColumn("last", F.max("period").over(Window.partitionBy("block")))
 
 
-def by_period(sums: DataFrame, cal: DataFrame, columns: dict[str, tuple[str, float]], todo: DataFrame, fit: Callable[[int, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, back: int = 6) -> DataFrame:
-    """``fit(period, pairs, rows)`` for every period of ``todo(period, ...)`` that the calendar has: its history by pair,
-    decayed as in ``history``, and its rows of ``todo``.
+def by_period(sums: DataFrame, cal: DataFrame, columns: dict[str, tuple[str, float]], todo: DataFrame, fit: Callable[[int, pd.DataFrame, pd.DataFrame, ratings.Memory], pd.DataFrame], schema: str, back: int = 6) -> DataFrame:
+    """``fit(period, pairs, rows, memory)`` for every period of ``todo(period, ...)`` that the calendar has: its history by
+    pair, decayed as in ``history``, its rows of ``todo``, and what the block's last period left as starts. Teams are
+    categories of the block.
 
     Whole seasons are summed and decayed in the cluster; a block of periods gets them once, and the running season's
     rows by period, which it adds up as it goes on. So what is moved grows with blocks, not with periods.
@@ -106,7 +107,8 @@ def by_period(sums: DataFrame, cal: DataFrame, columns: dict[str, tuple[str, flo
     new = new.toDF(*new.columns)  # columns of their own: both sides of the cogroup come from the same games
 
     def run(pairs: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        out = [fit(p, own, new[new["period"] == p]) for p, own in accumulated(pairs, list(columns), sorted(set(new["period"].tolist())))]
+        memory = ratings.Memory()
+        out = [fit(p, own, new[new["period"] == p], memory) for p, own in accumulated(pairs, list(columns), sorted(set(new["period"].tolist())))]
         out = [x for x in out if len(x)]
         return pd.concat(out) if out else nothing(*[c.split()[0] for c in schema.split(", ")])
 
@@ -119,6 +121,8 @@ def accumulated(pairs: pd.DataFrame, columns: list[str], periods: list[int]):
     code, names = pd.factorize(key)
     frame = names.to_frame(index=False) if len(names) else pairs[PAIR]
     frame.columns = PAIR
+    both = pd.api.types.union_categoricals([pd.Categorical(frame[c].astype(str)) for c in PAIR[:2]], sort_categories=True).categories
+    frame = frame.assign(**{c: pd.Categorical(frame[c].astype(str), both) for c in PAIR[:2]})
     values, since = pairs[columns].to_numpy(float), pairs["since"].to_numpy()
     order = np.argsort(since, kind="stable")
     table, seen, at = np.zeros((len(frame), len(columns))), np.zeros(len(frame), bool), 0
@@ -152,10 +156,10 @@ def evaluated(g: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class System:
-    """``fit(pairs) -> chance(home, away, at_home) -> (p, margin or None)`` on arrays; ``columns`` it needs, with rates."""
+    """``fit(pairs, memory) -> chance(home, away, at_home) -> (p, margin or None)`` on arrays; ``columns`` it needs, with rates."""
 
     columns: dict[str, tuple[str, float]]
-    fit: Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray | None]]]
+    fit: Callable[[pd.DataFrame, ratings.Memory | None], Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray | None]]]
 
 
 def lookup(names: np.ndarray, values: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
@@ -179,9 +183,11 @@ def _shares(pairs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return w, pairs["y"].to_numpy(float) / np.where(w > 0, w, 1)
 
 
-def graph(pairs: pd.DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (src, dst, w) of a history by pairs; the kinds of ``ratings.edges``, ``margin14`` and so on for other caps."""
-    h, a, _ = _sides(pairs)
+def graph(pairs: pd.DataFrame, kind: str) -> tuple[ratings.Teams, np.ndarray]:
+    """Edges of a history by pairs, src and dst as sides of teams, and their weights; the kinds of ``ratings.edges``,
+    ``margin14`` and so on for other caps. Only teams that an edge has are among them."""
+    t = ratings.teams(pairs)
+    h, a = t.first, t.second
     hp, ap, n, y = (pairs[c].to_numpy(float) if c in pairs else None for c in ("hp", "ap", "n", "y"))
     if kind == "win":
         parts = [(a, h, y), (h, a, n - y)]
@@ -193,12 +199,17 @@ def graph(pairs: pd.DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, np.nd
     else:
         parts = [(h, a, ap), (a, h, hp)] + ([(h, h, hp), (a, a, ap)] if kind == "points_keep" else [])
     src, dst, w = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    return src[w > 0], dst[w > 0], w[w > 0]
+    src, dst, w = src[w > 0], dst[w > 0], w[w > 0]
+    seen = np.zeros(len(t.names), bool)
+    seen[src] = seen[dst] = True
+    at = np.cumsum(seen) - 1
+    return ratings.Teams(t.names[seen], at[src], at[dst]), w
 
 
 def log_ranks(pairs: pd.DataFrame, kind: str, damping: float = 0.85) -> tuple[np.ndarray, np.ndarray]:
-    names, r = ratings.pagerank_values(*graph(pairs, kind), damping)
-    return names, np.log(np.maximum(r, 1e-12))
+    t, w = graph(pairs, kind)
+    r = ratings.ranks(t.first, t.second, w, len(t.names), damping) if len(w) else np.zeros(0)
+    return t.names, np.log(np.maximum(r, 1e-12))
 
 
 def pagerank_system(kind: str, rate: float = 0.35, damping: float = 0.85) -> System:
@@ -206,7 +217,7 @@ def pagerank_system(kind: str, rate: float = 0.35, damping: float = 0.85) -> Sys
     need = {"win": "", "points_against": "hp ap", "points_keep": "hp ap", "points": "hp ap"}.get(kind)
     need = (f"h{kind[6:] or 28} a{kind[6:] or 28}" if need is None else need).split()
 
-    def fit(pairs: pd.DataFrame):
+    def fit(pairs: pd.DataFrame, memory: ratings.Memory | None = None):
         value = lookup(*log_ranks(pairs, kind, damping))
         h, a, at_home = _sides(pairs)
         w, y = _shares(pairs)
@@ -217,9 +228,9 @@ def pagerank_system(kind: str, rate: float = 0.35, damping: float = 0.85) -> Sys
 
 
 def bradley_terry_system(rate: float = 0.35, reg: float = 3.0) -> System:
-    def fit(pairs: pd.DataFrame):
+    def fit(pairs: pd.DataFrame, memory: ratings.Memory | None = None):
         w, y = _shares(pairs)
-        names, s, edge = ratings.bradley_terry_solution(pairs.assign(weight=w, home_win=y), reg)
+        names, s, edge = ratings.bradley_terry_solution(pairs.assign(weight=w, home_win=y), reg, memory)
         value = lookup(names, s)
         return lambda h, a, at_home: (1 / (1 + np.exp(-(value(h) - value(a) + edge * at_home))), None)
 
@@ -227,7 +238,7 @@ def bradley_terry_system(rate: float = 0.35, reg: float = 3.0) -> System:
 
 
 def blade_chest_system(rate: float = 0.35, dim: int = 3, reg: float = 1.0, seed: int = 0) -> System:
-    def fit(pairs: pd.DataFrame):
+    def fit(pairs: pd.DataFrame, memory: ratings.Memory | None = None):
         w, y = _shares(pairs)
         names, blade, chest, s, edge = ratings.blade_chest_solution(pairs.assign(weight=w, home_win=y), dim, reg, seed)
         value = lookup(names, s)
@@ -248,8 +259,8 @@ def blade_chest_system(rate: float = 0.35, dim: int = 3, reg: float = 1.0, seed:
 def ridge_system(rate: float = 0.35, lam: float = 4.0, target: str = "m") -> System:
     """Ridge ratings of the margin; the predicted margin is calibrated to a chance on the history."""
 
-    def fit(pairs: pd.DataFrame):
-        names, r, hfa = ratings.ridge_solution(ridge_frame(pairs, "n", target), lam)
+    def fit(pairs: pd.DataFrame, memory: ratings.Memory | None = None):
+        names, r, hfa = ratings.ridge_solution(ridge_frame(pairs, "n", target), lam, memory, f"{target}{rate}{lam}")
         value = lookup(names, r)
         margin = lambda h, a, s: value(h) - value(a) + hfa * s
         w, y = _shares(pairs)
@@ -285,14 +296,14 @@ def weekly(g: DataFrame, systems: dict[str, System], games: DataFrame | None = N
     columns = {f"s{order[name]}_{k}": v for name, s in systems.items() for k, v in s.columns.items()} | {"games": ("n", 1.0)}
     new = games.select("game_id", "period", "home_team", "away_team", "neutral_site", "home_win")
 
-    def fit(period: int, pairs: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    def fit(period: int, pairs: pd.DataFrame, new: pd.DataFrame, memories: ratings.Memory) -> pd.DataFrame:
         out = []
         enough = pairs["games"].sum() >= least
         for name, s in systems.items() if enough or short is not None else ():
             p, margin = np.full(len(new), short if short is not None else np.nan), None
             if enough:
                 own = pairs[PAIR].assign(**{k: pairs[f"s{order[name]}_{k}"] for k in s.columns})
-                p, margin = s.fit(own[own["n"] > 0])(*_sides(new))
+                p, margin = s.fit(own[own["n"] > 0], memories.of(name))(*_sides(new))
             margin = np.full(len(new), np.nan) if margin is None else margin
             out.append(pd.DataFrame({"game_id": new["game_id"].to_numpy(), "period": period, "model": [name] * len(new), "home_win": new["home_win"].to_numpy(), "p": p, "margin": margin}))
         return pd.concat(out) if out else nothing("game_id", "period", "model", "home_win", "p", "margin")

@@ -185,18 +185,17 @@ def _rated(spark, sf, fit, schema, *columns: str):
     g = timed_games(spark, sf)
     cal = ratings.calendar(g)
     sums = walkforward.pair_sums(g)
-    return walkforward.by_period(sums, cal, {c: (c, DECAY) for c in columns}, cal.select("period"), lambda p, pairs, _: fit(p, pairs), schema, BACK)
+    return walkforward.by_period(sums, cal, {c: (c, DECAY) for c in columns}, cal.select("period"), lambda p, pairs, _, memory: fit(p, pairs, memory), schema, BACK)
 
 
 @query()
 def offense_defense_ratings(spark, sf):
     """Offence and defence by ridge over both sides of every period's history."""
 
-    def fit(period: int, pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [pdf[["home_team", "away_team", "n", "hp"]], pdf[["away_team", "home_team", "n", "ap"]]]
-        rows = pd.concat([x.set_axis(["team", "opp", "w", "wp"], axis=1).assign(home=k) for x, k in zip(sides, (1.0 - pdf["neutral_site"].to_numpy(float), 0.0), strict=True)])
-        names, off, dfn, level, bonus = ratings.off_def_solution(rows)
-        return pd.DataFrame({"period": period, "team": names, "offense": np.round(off, 6), "defense": np.round(dfn, 6), "level": round(level, 6), "home_bonus": round(bonus, 6)})
+    def fit(period: int, pdf: pd.DataFrame, memory: ratings.Memory) -> pd.DataFrame:
+        t = ratings.teams(pdf)
+        x, n = ratings.sides_fit(t, 1.0 - pdf["neutral_site"].to_numpy(float), *(pdf[c].to_numpy(float) for c in ("n", "hp", "ap")), memory=memory), len(t.names)
+        return pd.DataFrame({"period": period, "team": t.names, "offense": np.round(x[:n], 6), "defense": np.round(x[n:-2], 6), "level": round(x[-2], 6), "home_bonus": round(x[-1], 6)})
 
     return _rated(spark, sf, fit, "period int, team string, offense double, defense double, level double, home_bonus double", "n", "hp", "ap")
 
@@ -208,8 +207,8 @@ def _weighted(pdf: pd.DataFrame) -> pd.DataFrame:
 
 @query()
 def bradley_terry(spark, sf):
-    def fit(period: int, pdf: pd.DataFrame) -> pd.DataFrame:
-        names, s, edge = ratings.bradley_terry_solution(_weighted(pdf))
+    def fit(period: int, pdf: pd.DataFrame, memory: ratings.Memory) -> pd.DataFrame:
+        names, s, edge = ratings.bradley_terry_solution(_weighted(pdf), memory=memory)
         return pd.DataFrame({"period": period, "team": [*names, "*"], "strength": np.round([*s, edge], 6)})
 
     return _rated(spark, sf, fit, "period int, team string, strength double", "n", "y")
@@ -217,7 +216,7 @@ def bradley_terry(spark, sf):
 
 @query()
 def blade_chest(spark, sf):
-    def fit(period: int, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(period: int, pdf: pd.DataFrame, memory: ratings.Memory) -> pd.DataFrame:
         names, blade, chest, s, edge = ratings.blade_chest_solution(_weighted(pdf))
         return pd.DataFrame({"period": period, "team": names, "blade": list(blade), "chest": list(chest), "strength": s, "home_edge": edge})
 

@@ -129,7 +129,7 @@ def log_ranks(spark, sf):
     g = timed_games(spark, sf)
     cal = ratings.calendar(g)
 
-    def fit(period, pairs, _):
+    def fit(period, pairs, _, memory):
         names, ranks = walkforward.log_ranks(pairs, "points_keep")
         return pd.DataFrame({"period": period, "team": names, "log_rank": ranks})
 

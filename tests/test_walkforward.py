@@ -47,7 +47,7 @@ def test_history_and_blocks_agree_with_games(games, frame):
     columns = {"n": ("n", 0.5), "m": ("m", 0.5), "y": ("y", 0.2), "count": ("n", 1.0)}
     plain = walkforward.history(sums, cal, columns, back=1).groupBy("period").agg(*[F.sum(c).alias(c) for c in columns]).toPandas().set_index("period")
 
-    def fit(period, pairs, rows):
+    def fit(period, pairs, rows, memory):
         return pd.DataFrame({"period": [period], **{c: [pairs[c].sum()] for c in columns}, "rows": [float(len(rows))]})
 
     made = walkforward.by_period(sums, cal, columns, games.select("period", "game_id"), fit, "period int, n double, m double, y double, count double, rows double", back=1).toPandas().set_index("period")
