@@ -1,109 +1,188 @@
-"""Sequential Elo ratings: one pass over a league's games in order, parallel over parameter sets."""
+"""Sequential Elo ratings: games by wavefronts, spans of weeks in turn, ratings handed on as a table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceline.sources.tables import partitioned, staged
+
 START = 1500.0
 #: k, home advantage, share regressed before a season, margin multiplier on, fewer games than this take k_early.
 PARAMS = "param_id int, k double, hfa double, regress double, mov boolean, early int, k_early double"
 TUNED = (0, 40.0, 50.0, 0.15, True, 0, 0.0)
 _COLUMNS = ("game_id", "season", "st_order", "week", "start_date", "home_team", "away_team", "home_win", "margin", "neutral_site")
+#: Games that a task plays in turn; a week is never cut.
+SPAN = 200_000
+#: Parameter sets that a task plays side by side.
+SETS = 8
+
+
+def fronts(home: np.ndarray, away: np.ndarray, teams: int) -> Iterator[np.ndarray]:
+    """The games, in order, by wavefront: a game's is one after the later of its teams' last ones, so that no team is
+    twice in one and all of one can be played at once."""
+    last = [0] * teams
+    front = np.empty(len(home), np.int64)
+    for i, (h, a) in enumerate(zip(home.tolist(), away.tolist())):
+        x, y = last[h], last[a]
+        front[i] = x = x if x > y else y
+        last[h] = last[a] = x + 1
+    order = np.argsort(front, kind="stable")
+    yield from np.split(order, np.flatnonzero(np.diff(front[order])) + 1) if len(order) else ()
+
+
+def play_sets(g: pd.DataFrame, sets: pd.DataFrame, state: pd.DataFrame | None = None, own: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Games in order under several parameter sets at once: ratings of both sides before each game and home win
+    probabilities, a row a set; then the teams, their ratings at the end, and their games of the last season.
+
+    ``state``: team, played, season and the sets' ratings as columns r0, r1, ... where an earlier span ended. ``own``:
+    the share regressed by (season, team), instead of the sets'.
+    """
+    held = [] if state is None else state["team"].tolist()
+    sides = np.concatenate([g["home_team"].to_numpy(str), g["away_team"].to_numpy(str), np.array(held, str)])
+    names, flat = np.unique(sides, return_inverse=True) if len(sides) else (np.empty(0, str), np.empty(0, int))
+    n, m = len(g), len(sets)
+    home, away, known = flat[:n], flat[n : 2 * n], flat[2 * n :]
+    k, hfa, regress, k_early = (sets[c].to_numpy(float)[:, None] for c in ("k", "hfa", "regress", "k_early"))
+    mov, early = sets["mov"].to_numpy(bool)[:, None], sets["early"].to_numpy(int)[:, None]
+    size = np.log(np.abs(g["margin"].to_numpy(float)) + 1) * 2.2
+    at_home, wins, seasons = ~g["neutral_site"].to_numpy(bool), g["home_win"].to_numpy(float), g["season"].to_numpy()
+    rating, played, season = np.full((m, len(names)), START), np.zeros(len(names), np.int64), None
+    if len(held):
+        rating[:, known] = np.stack([state[f"r{j}"].to_numpy(float) for j in range(m)])
+        played[known], season = state["played"].to_numpy(int), int(state["season"].iloc[0])
+    before_h, before_a, chance = np.empty((m, n)), np.empty((m, n)), np.empty((m, n))
+    begins = np.flatnonzero(np.r_[True, seasons[1:] != seasons[:-1]]) if n else []
+    for a, z in zip(begins, [*begins[1:], n]):
+        if season is not None and seasons[a] != season:
+            back = regress if own is None else np.array([[own.get((seasons[a], t), default) for t in names] for default in regress[:, 0]])
+            rating, played = START + (1 - back) * (rating - START), np.zeros(len(names), np.int64)
+        season = seasons[a]
+        for at in fronts(home[a:z], away[a:z], len(names)):
+            at = at + a
+            h, v, y = home[at], away[at], wins[at]
+            rh, ra = rating[:, h], rating[:, v]
+            d = rh - ra
+            p = 1 / (1 + 10 ** (-(d + at_home[at] * hfa) / 400))
+            step = np.where(np.minimum(played[h], played[v]) < early, k_early, k)
+            step = np.where(mov, step * size[at] / (0.001 * np.where(y > 0, d, -d) + 2.2), step)
+            before_h[:, at], before_a[:, at], chance[:, at] = rh, ra, p
+            rating[:, h], rating[:, v] = rh + step * (y - p), ra - step * (y - p)
+            played[h] += 1
+            played[v] += 1
+    return before_h, before_a, chance, names.tolist(), rating, played
 
 
 def play(g: pd.DataFrame, k: float, hfa: float, regress: float, mov: bool, early: int = 0, k_early: float = 0.0, own: dict | None = None):
     """Ratings before each game of a chronologically sorted frame, home win probabilities, and the ratings at the end."""
-    names, flat = np.unique(np.concatenate([g["home_team"].to_numpy(str), g["away_team"].to_numpy(str)]), return_inverse=True) if len(g) else (np.empty(0, str), np.empty(0, int))
-    n = len(g)
-    home, away = flat[:n].tolist(), flat[n:].tolist()
-    margin = np.abs(g["margin"].to_numpy(float))
-    size = (np.log(margin + 1) * 2.2).tolist() if mov else [1.0] * n
-    edge = np.where(g["neutral_site"].to_numpy(bool), 0.0, hfa).tolist()
-    wins, seasons = g["home_win"].to_numpy(float).tolist(), g["season"].to_numpy().tolist()
-    rating: list[float | None] = [None] * len(names)
-    played = [0] * len(names)
-    before_h, before_a, prob = [0.0] * n, [0.0] * n, [0.0] * n
-    season = seasons[0] if n else None
-    for i, (s, h, a, y, e, m) in enumerate(zip(seasons, home, away, wins, edge, size, strict=True)):
-        if s != season:
-            season, played = s, [0] * len(names)
-            if own is None:
-                rating = [None if r is None else START + (1 - regress) * (r - START) for r in rating]
-            else:
-                rating = [None if r is None else START + (1 - own.get((s, names[t]), regress)) * (r - START) for t, r in enumerate(rating)]
-        rh, ra = rating[h], rating[a]
-        rh, ra = START if rh is None else rh, START if ra is None else ra
-        d = rh - ra
-        p = 1 / (1 + 10 ** (-(d + e) / 400))
-        step = k_early if early and min(played[h], played[a]) < early else k
-        if mov:
-            step *= m / (0.001 * (d if y else -d) + 2.2)
-        before_h[i], before_a[i], prob[i] = rh, ra, p
-        rating[h], rating[a] = rh + step * (y - p), ra - step * (y - p)
-        played[h] += 1
-        played[a] += 1
-    return before_h, before_a, prob, {str(names[t]): r for t, r in enumerate(rating) if r is not None}
+    one = pd.DataFrame({"k": [k], "hfa": [hfa], "regress": [regress], "mov": [mov], "early": [early], "k_early": [k_early]})
+    h, a, p, names, rating, _ = play_sets(g, one, own=own)
+    return h[0].tolist(), a[0].tolist(), p[0].tolist(), dict(zip(names, rating[0].tolist()))
 
 
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(["season", "st_order", "week", "start_date", "game_id"], na_position="last", ignore_index=True)
 
 
-#: Tasks that parameter sets are dealt to: games are sent to each once, whatever the number of sets.
-TASKS = 16
-
-
-def _played(g: DataFrame, params: DataFrame, run, schema: str) -> DataFrame:
-    """``run(games in order, a parameter set)`` for every set; a task has its games once and plays its sets in turn."""
-    task = F.pmod(F.col("param_id"), F.lit(TASKS))
-    tasks = params.select(task.alias("task")).distinct()
-    left = g.select(*_COLUMNS).join(F.broadcast(tasks))  # a row a task
-
-    def each(games: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        games = _sorted(games)
-        return pd.concat([run(games, p) for p in sets.sort_values("param_id").itertuples()])
-
-    return left.groupBy("task").cogroup(params.withColumn("task", task).groupBy("task")).applyInPandas(each, schema)
-
-
-def _args(p) -> tuple:
-    return float(p.k), float(p.hfa), float(p.regress), bool(p.mov), int(p.early), float(p.k_early)
-
-
-def pregame(g: DataFrame, params: DataFrame) -> DataFrame:
+def spans(g: DataFrame, size: int) -> DataFrame | None:
+    """``g`` as a table by ``span``, whole weeks in order, cut where about ``size`` games are reached; None if one span
+    has all. What is counted on the driver is a row a week."""
+    week = ["season", "st_order", "week"]
+    rows = g.groupBy(*week).agg(F.count("*").alias("n")).orderBy(*week).collect()
+    ends = np.cumsum([0, *(r["n"] for r in rows)])[:-1] // size
+    if len(set(ends.tolist())) < 2:
+        return None
+    per = g.sparkSession.createDataFrame([(r["season"], r["st_order"], r["week"], int(k)) for r, k in zip(rows, ends)], "season_of int, st_order_of int, week_of int, span int")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in week]
+    return partitioned(g.join(F.broadcast(per), same).select(*g.columns, "span"), "span")  # a row a week
+
+
+#: Predictions have a game_id; where ratings end there are a team, its rating as home_elo, and its games of the season.
+_MADE = "param_id int, game_id long, home_elo double, away_elo double, p double, team string, played int, season int"
+_MADE_TYPES = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.int32())
+_BESIDE = "kind string, task int, param_id int, k double, hfa double, regress double, mov boolean, early int, k_early double, team string, rating double, played int, season int"
+
+
+def _beside(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` with the columns of _BESIDE, null where it lacks one."""
+    types = dict(c.split() for c in _BESIDE.split(", "))
+    own = {**{c: F.col(c).cast(types[c]) for c in df.columns}, "kind": F.lit(kind)}
+    return df.select(*[own.get(c, F.lit(None).cast(t)).alias(c) for c, t in types.items()])
+
+
+def _span_played(games: DataFrame, sets: DataFrame, state: DataFrame | None, regress: DataFrame | None) -> DataFrame:
+    """One span: its games under every set, a task for SETS of them. Rows with a game are predictions, those with a team
+    are where its ratings end."""
+    left = games.select(*_COLUMNS).join(F.broadcast(sets.select("task").distinct()))  # a row for SETS sets
+    beside = _beside(sets, "set")
+    if state is not None:
+        beside = beside.unionByName(_beside(state, "state"))
+    if regress is not None:
+        beside = beside.unionByName(_beside(regress.select("season", "team", "regress").withColumn("task", F.lit(0)), "share"))
+
+    by_team = regress is not None
+
+    def run(games: pa.Table, beside: pa.Table) -> pa.Table:
+        games, beside = _sorted(games.to_pandas()), beside.to_pandas()
+        sets, before, shares = (beside[beside["kind"] == kind] for kind in ("set", "state", "share"))
+        sets = sets.sort_values("param_id")
+        ids, start = sets["param_id"].to_numpy(int), None
+        if len(before):
+            wide = before.pivot(index="team", columns="param_id", values="rating")[ids].set_axis([f"r{j}" for j in range(len(ids))], axis=1)
+            start = before.groupby("team")[["played", "season"]].first().join(wide).reset_index()
+        own = None if not by_team else {(int(s), t): r for s, t, r in zip(shares["season"], shares["team"], shares["regress"], strict=True)}
+        h, a, p, names, rating, played = play_sets(games, sets, start, own)
+        n, m, k = len(games), len(names), len(ids)
+        game = [np.repeat(ids, n), np.tile(games["game_id"].to_numpy(), k), h.ravel(), a.ravel(), p.ravel(), None, None, None]
+        end = [np.repeat(ids, m), None, rating.ravel(), None, None, names * k, np.tile(played, k), np.full(m * k, int(games["season"].iloc[-1]) if n else 0)]
+        made = lambda cols, rows: pa.table([pa.nulls(rows, t) if c is None else pa.array(c).cast(t) for c, t in zip(cols, _MADE_TYPES)], names=[c.split()[0] for c in _MADE.split(", ")])
+        return pa.concat_tables([made(game, n * k), made(end, m * k)])
+
+    return left.groupBy("task").cogroup(beside.groupBy("task")).applyInArrow(run, _MADE)
+
+
+def _played(g: DataFrame, params: DataFrame, regress: DataFrame | None = None, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Predictions of all games under all sets, and the ratings at the end.
+
+    Games are cut into spans of whole weeks. Spans are played one after another, each by tasks that have its games only;
+    teams' ratings go from span to span as a table. So what a task holds is bounded by a span and the teams, and the
+    number of jobs is games / SPAN.
+    """
+    sets = params.withColumn("task", F.floor((F.row_number().over(Window.orderBy("param_id")) - 1) / SETS).cast("int"))  # a row a set
+    own = staged(g.select(*_COLUMNS))
+    cut = spans(own, size or SPAN)
+    if cut is None:
+        out = _span_played(own, sets, None, regress)
+        return out.where("team is null"), out.where("team is not null")
+    made, state = [], None
+    for k in range(cut.agg(F.max("span")).first()[0] + 1):
+        done = staged(_span_played(cut.where(F.col("span") == k), sets, state, regress))
+        ends = done.where("team is not null").select("param_id", "team", F.col("home_elo").alias("rating"), "played", "season")
+        state = ends.join(F.broadcast(sets.select("param_id", "task")), "param_id")  # a row a set
+        made.append(done)
+    return reduce(DataFrame.unionByName, made).where("team is null"), made[-1].where("team is not null")
+
+
+def pregame(g: DataFrame, params: DataFrame, size: int | None = None) -> DataFrame:
     """Per parameter set and game: probability and both ratings before the game."""
-
-    def run(games: pd.DataFrame, p) -> pd.DataFrame:
-        h, a, chance, _ = play(games, *_args(p))
-        return pd.DataFrame({"param_id": p.param_id, "game_id": games["game_id"], "home_elo": h, "away_elo": a, "p": chance})
-
-    return _played(g, params, run, "param_id int, game_id long, home_elo double, away_elo double, p double")
+    return _played(g, params, size=size)[0].select("param_id", "game_id", "home_elo", "away_elo", "p")
 
 
-def final(g: DataFrame, params: DataFrame) -> DataFrame:
+def final(g: DataFrame, params: DataFrame, size: int | None = None) -> DataFrame:
     """Ratings after the last game."""
+    return _played(g, params, size=size)[1].select("param_id", "team", F.col("home_elo").alias("rating"))
 
-    def run(games: pd.DataFrame, p) -> pd.DataFrame:
-        rating = play(games, *_args(p))[3]
-        return pd.DataFrame({"param_id": p.param_id, "team": pd.Series(list(rating), dtype=object), "rating": pd.Series(list(rating.values()), dtype=float)})
-
-    return _played(g, params, run, "param_id int, team string, rating double")
-
-
-def pregame_by_team(g: DataFrame, regress: DataFrame, k: float = 40.0, hfa: float = 50.0, default: float = 0.15) -> DataFrame:
-    """Elo whose pre-season regression is a team's own: ``regress(season, team, regress)``, cogrouped with the games."""
-
-    def run(games: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        games = _sorted(games)
-        table = {(s, t): r for s, t, r in zip(own["season"], own["team"], own["regress"], strict=True)}
-        h, a, p, _ = play(games, k, hfa, default, True, own=table)
-        return pd.DataFrame({"game_id": games["game_id"], "home_elo": h, "away_elo": a, "p": p})
 
-    left = g.select(*_COLUMNS).withColumn("league", F.lit(0)).groupBy("league")
-    return left.cogroup(regress.withColumn("league", F.lit(0)).groupBy("league")).applyInPandas(run, "game_id long, home_elo double, away_elo double, p double")
+def pregame_by_team(g: DataFrame, regress: DataFrame, k: float = 40.0, hfa: float = 50.0, default: float = 0.15, size: int | None = None) -> DataFrame:
+    """Elo whose pre-season regression is a team's own: ``regress(season, team, regress)``."""
+    one = g.sparkSession.createDataFrame([(0, k, hfa, default, True, 0, 0.0)], PARAMS)
+    return _played(g, one, regress, size)[0].select("game_id", "home_elo", "away_elo", "p")
 
 
 def grid(spark, ks=(25.0, 40.0, 55.0), hfas=(50.0, 65.0, 80.0), regresses=(0.05, 0.10, 0.15, 0.25, 0.40)) -> DataFrame:

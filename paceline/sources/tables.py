@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from functools import reduce
 from pathlib import Path
 
@@ -49,19 +51,34 @@ def cached(spark: SparkSession, path: str, build, force: bool = False) -> DataFr
     return spark.read.parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where none is set and executors are threads of this machine, a
+    temporary one is made; on a cluster that is an error."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir isn't set, and executors of {sc.master} share no folder of this machine")
+        path = tempfile.mkdtemp(prefix="paceline-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint, for a result that several parts of a plan use: cuts the plan, survives lost executors, and
-    goes with its last user, unlike a cache. Where no checkpoint folder is set and executors are threads of this machine,
-    a temporary one is made."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local"):
-            raise RuntimeError(f"spark.checkpoint.dir isn't set, and executors of {sc.master} share no folder of this machine")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="paceline-"))
+    goes with its last user, unlike a cache."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def partitioned(df: DataFrame, by: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, a folder for each value of ``by``: who asks for one reads it alone."""
+    path = f"{shared_folder(df.sparkSession)}/by-{by}-{uuid.uuid4().hex}"
+    write_partitioned(df.repartition(by), path, by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def report(lines: list[str], path: str | None = None) -> str:
     """A text report, printed and, if ``path`` is given, written: a few lines that are on the driver anyway."""
     text = "\n".join(lines)

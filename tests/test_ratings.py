@@ -79,6 +79,41 @@ def test_elo_against_plain_loop_and_zero_sum():
     assert sum(elo.play(one, 40.0, 50.0, 0.15, True)[3].values()) == pytest.approx(1500 * 9)
 
 
+def test_elo_wavefronts():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 12, 300)
+    a = (h + rng.integers(1, 12, 300)) % 12
+    seen = np.zeros(300, int)
+    fronts = list(elo.fronts(h, a, 12))
+    for k, at in enumerate(fronts):
+        sides = np.r_[h[at], a[at]]
+        assert len(set(sides)) == len(sides) and (np.diff(at) > 0).all()
+        seen[at] = k + 1
+    assert sorted(np.concatenate(fronts)) == list(range(300))
+    for i in range(300):
+        earlier = [seen[j] for j in range(i) if {h[j], a[j]} & {h[i], a[i]}]
+        assert seen[i] == max(earlier, default=0) + 1
+
+
+def test_elo_spans_hand_ratings_on(spark):
+    """Many spans, more sets than a task plays, teams' own shares: as one pass over all games."""
+    g = league(600)
+    df = spark.createDataFrame(g.drop(columns=["weight"], errors="ignore"))
+    params = elo.grid(spark)
+    whole = elo.pregame(df, params).toPandas().set_index(["param_id", "game_id"]).sort_index()
+    cut = elo.pregame(df, params, size=150).toPandas().set_index(["param_id", "game_id"]).sort_index()
+    assert len(whole) == 45 * 600 and (whole.index == cut.index).all() and np.abs(whole.to_numpy() - cut.to_numpy()).max() < 1e-9
+    q, r = plain_elo(g, 40.0, 65.0, 0.10)
+    k = [i for i, x in enumerate(params.collect()) if (x["k"], x["hfa"], x["regress"]) == (40.0, 65.0, 0.10)][0]
+    assert cut.loc[k]["p"].to_numpy() == pytest.approx(q)
+    ends = {x["team"]: x["rating"] for x in elo.final(df, params.where(f"param_id = {k}"), size=150).collect()}
+    assert ends == pytest.approx(r)
+    shares = spark.createDataFrame([(2, "S1", 0.5), (4, "S3", 0.02)], "season int, team string, regress double")
+    a, b = (elo.pregame_by_team(df, shares, size=n).toPandas().set_index("game_id").sort_index() for n in (150, 10_000))
+    assert np.abs(a.to_numpy() - b.to_numpy()).max() < 1e-9
+    assert elo.pregame(df.where("false"), params).collect() == [] == elo.final(df.where("false"), params).collect()
+
+
 def test_elo_doesnt_see_the_future():
     g = league()
     changed = g.copy()
