@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions.scalar import decay
 from paceline.operators import sparse
+from paceline.sources.tables import staged
 
 EDGE_KINDS = ("win", "margin", "points", "points_against", "points_keep")
 
@@ -97,6 +98,54 @@ def pagerank(window_edges: DataFrame, damping: float = 0.85, rounds: int = 200)
     return window_edges.groupBy("period").applyInPandas(run, "period int, team string, rank double, log_rank double")
 
 
+#: Edges of one node from which they are dealt out to several parts, and the parts.
+HUB, PARTS = 100_000, 16
+#: Rounds of one job.
+AT_ONCE = 10
+
+
+def pagerank_joined(e: DataFrame, damping: float = 0.85, rounds: int = 200, tol: float = 1e-10, hub: int | None = None) -> DataFrame:
+    """``e(src, dst, w)`` to (team, rank) by power iteration as joins: no graph in a task, however large.
+
+    The table of flows, one row an edge, is dealt out once by source, and stays so; a round joins it with the ranks and
+    sums by target, so ranks are all that is shuffled. Sources with ``hub`` edges or more are dealt out by (source,
+    part), and their ranks sent to each of their parts. What nodes without outflow hold goes to all: where there are
+    such, it is summed each round. A round's ranks sum to one; rounds end where no more than ``tol`` moves, which is
+    looked at, and the plan cut, every AT_ONCE rounds.
+    """
+    hub = HUB if hub is None else hub
+    total = e.groupBy("src").agg(F.sum("w").alias("out"), F.count("*").alias("edges"))
+    parts = F.when(F.col("edges") >= hub, F.lit(PARTS)).otherwise(F.lit(1))
+    total = staged(total.select("src", "out", parts.alias("parts")))
+    salt = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("dst"), F.col("parts"))).otherwise(F.lit(0)).cast("int")
+    nodes = e.select(F.col("src").alias("team")).union(e.select(F.col("dst").alias("team"))).distinct()
+    nodes = staged(nodes.join(total.withColumnRenamed("src", "team"), "team", "left").select("team", F.col("out").isNull().alias("sink"), F.coalesce("parts", F.lit(1)).alias("parts")))
+    n, sinks, hubs = nodes.agg(F.count("*"), F.count_if(F.col("sink")), F.count_if(F.col("parts") > 1)).first()
+    r = nodes.select("team", F.lit(1.0 / max(n, 1)).alias("rank"))
+    if not n:
+        return r
+    key = ["src", "part"] if hubs else ["src"]
+    flows = e.join(total, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("flow"), salt.alias("part"))
+    loops = nodes.select(F.col("team").alias("src"), F.col("team").alias("dst"), F.lit(0.0).alias("flow"), F.lit(0).alias("part"))  # so that every node is a target
+    flows = staged(flows.unionByName(loops).select(*key, "dst", "flow").repartition(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key))
+    step = 1 if sinks else AT_ONCE
+    for done in range(0, rounds, step):
+        before = r
+        lost = r.join(nodes.where("sink").select("team"), "team", "left_semi").agg(F.sum("rank")).first()[0] if sinks else 0.0
+        for _ in range(min(step, rounds - done)):
+            spread = r.withColumnRenamed("team", "src")
+            if hubs:
+                spread = r.join(nodes.select("team", "parts"), "team").select(F.col("team").alias("src"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rank")
+            came = spread.join(flows, key).groupBy(F.col("dst").alias("team")).agg(F.sum(F.col("flow") * F.col("rank")).alias("came"))
+            r = came.select("team", ((1 - damping) / n + damping * (F.col("came") + lost / n)).alias("rank"))
+        whole = staged(r).withColumnRenamed("rank", "new")
+        kept = whole.agg(F.sum("new")).first()[0]
+        r = whole.select("team", (F.col("new") / kept).alias("rank")) if kept else whole.withColumnRenamed("new", "rank")
+        if not kept or done + step < rounds and r.join(before.withColumnRenamed("rank", "old"), "team").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tol * step:
+            break
+    return r
+
+
 def pair_stats(g: DataFrame, target: Column, weight: Column | None = None) -> DataFrame:
     """Sufficient statistics of ridge ratings by (season, period, home, away): sums of weights and weighted targets."""
     w = F.lit(1.0) if weight is None else weight

@@ -133,8 +133,8 @@ for _kind, _sql in _EDGE.items():
     pr AS (SELECT 0 AS it, src AS team, 1.0::DOUBLE / n AS r FROM (SELECT DISTINCT src FROM e), n UNION ALL SELECT any_value(it) + 1, dst, 0.15 / any_value(n) + 0.85 * sum(flow * r) FROM pr JOIN f ON team = src, n WHERE it < 40 GROUP BY dst)
     SELECT team, round(r, 9) AS rank FROM pr WHERE it = 40""")
 def pagerank_fixed_iter(spark, sf):
-    e = ratings.edges(games(spark, sf).drop("season"), "points_keep").groupBy("src", "dst").agg(F.sum("w").alias("w")).withColumn("period", F.lit(0))
-    return ratings.pagerank(e, rounds=40).select("team", F.round("rank", 9).alias("rank"))
+    e = ratings.edges(games(spark, sf).drop("season"), "points_keep").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return ratings.pagerank_joined(e, rounds=40).select("team", F.round("rank", 9).alias("rank"))
 
 
 @query(CALENDAR + " SELECT c.period, count(*) AS n, round(sum(pow(0.35, c.hist_season - t.season)), 6) AS weight, round(sum(pow(0.35, c.hist_season - t.season) * margin), 4) + 0.0 AS margin FROM cal c JOIN t ON t.period < c.period AND t.season >= c.hist_season - 6 GROUP BY c.period")

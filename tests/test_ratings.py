@@ -46,6 +46,21 @@ def test_pagerank_against_linear_solve():
     assert r == pytest.approx(exact, abs=1e-8)
 
 
+@pytest.mark.parametrize("hub", [100_000, 8])
+def test_pagerank_by_joins(spark, hub):
+    """Nodes without outflow, loops, parallel edges, and hubs dealt out to parts: the ranks of the power iteration in one array."""
+    rng = np.random.default_rng(2)
+    src, dst, w = rng.integers(0, 30, 200), rng.integers(0, 30, 200), rng.random(200) + 0.1
+    src[:40] = 7
+    src = np.where((src == 5) | (src == 9), 4, src)
+    e = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}", float(x)) for a, b, x in zip(src, dst, w)], "src string, dst string, w double")
+    for rounds in (7, 200):
+        names, want = ratings.pagerank_values(np.array([f"n{x:02d}" for x in src]), np.array([f"n{x:02d}" for x in dst]), w, rounds=rounds)
+        got = {r["team"]: r["rank"] for r in ratings.pagerank_joined(e, rounds=rounds, hub=hub).collect()}
+        assert got == pytest.approx(dict(zip(names, want)), abs=1e-9)
+    assert ratings.pagerank_joined(e.where("false")).collect() == []
+
+
 def league(n=400, teams=9, seed=0):
     rng = np.random.default_rng(seed)
     h = rng.integers(0, teams, n)
