@@ -388,6 +388,25 @@ def test_line_shingles_cover_every_character(spark):
         assert r["low"] == sorted(set(r["s"]))[: line_dedup.SKETCH]
 
 
+@pytest.mark.parametrize("n", [400, 1500])
+def test_template_lines_lose_no_link(spark, n):
+    """Lines of one head whose links rest on the head alone: crowded everywhere, above the threshold for the shorter tails only."""
+    rng = random.Random(n)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    head = "".join(rng.choice(letters) for _ in range(180))
+    lines = [head + "".join(rng.choice(letters) for _ in range(19 if k % 3 else 25)) for k in range(n)] + [head + "".join(rng.choice(letters) for _ in range(40)) for _ in range(60)]
+    sets = [line_set(x) for x in lines]
+    root = list(range(len(lines)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if x == hi else x for x in root]
+    want = {i for i, r in enumerate(root) if r != i}
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(docs(spark, [(i, x, "s") for i, x in enumerate(lines)]).repartition(4)).where("__n_removed > 0").collect()}
+    assert len(want) > n / 2 and got == want
+
+
 def test_lines_of_far_apart_names(spark):
     """Names that a packed 64-bit place couldn't hold, and a recall of one on planted groups by brute force."""
     rng = random.Random(8)
