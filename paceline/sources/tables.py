@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 import tempfile
 import uuid
@@ -94,6 +95,37 @@ def read_drifting(spark: SparkSession, paths: list[str], schemas: list[str]) ->
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def discovered(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """CSV files, gzip included, of whatever columns each has: by name, a column that a file lacks null there, with ``file_year``.
+
+    One job finds every file's header; files of one header are one scan, as text; one more job over all of them finds
+    which columns are whole numbers or numbers throughout. A name that a header repeats is numbered, an empty one is
+    named by its place. Files without a line have no rows.
+    """
+    at = F.col("_metadata.file_block_start")
+    lines = spark.read.text(paths).where(at == 0).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    heads: dict[tuple[str, ...], list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("value", "row").alias("header")).collect():  # a row a file
+        heads.setdefault(tuple(_names(r["header"])), []).append(r["file"])
+    if not heads:
+        return spark.createDataFrame([], "file_year int")
+    parts = [read_csv(spark, sorted(files), ", ".join(f"`{n}` string" for n in names)) for names, files in sorted(heads.items())]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names = [c for c in rows.columns if c != "file_year"]
+    odd = lambda n, kind: F.count_if(F.col(f"`{n}`").isNotNull() & F.trim(f"`{n}`").try_cast(kind).isNull())
+    found = rows.agg(*[odd(n, kind).alias(f"{k}{kind}") for k, n in enumerate(names) for kind in ("bigint", "double")]).first()
+    kind = {n: next((t for t in ("bigint", "double") if not found[f"{k}{t}"]), "string") for k, n in enumerate(names)}
+    return rows.select(*[F.col(f"`{n}`") if kind[n] == "string" else F.trim(f"`{n}`").try_cast(kind[n]).alias(n) for n in names], "file_year")
+
+
+def _names(header: str) -> list[str]:
+    out: list[str] = []
+    for k, name in enumerate(next(csv.reader([header.removeprefix("\ufeff")]), [])):
+        name = name.strip().replace("`", "'") or f"_c{k}"
+        out.append(name if name not in out else f"{name}_{k}")
+    return out
+
+
 def numeric(c: Column) -> Column:
     """Text as a number, null where it isn't one."""
     return c.try_cast("double")
