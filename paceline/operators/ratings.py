@@ -311,24 +311,33 @@ def blade_chest_loss(x: np.ndarray, h: np.ndarray, a: np.ndarray, ind: np.ndarra
     z = (b[h] * c[a]).sum(1) - (b[a] * c[h]).sum(1) + s[h] - s[a] + edge * ind
     loss = (w * (np.logaddexp(0, z) - y * z)).sum() + reg / 2 * (x[:-1] ** 2).sum()
     r = w * (1 / (1 + np.exp(-z)) - y)
-    gb, gc = np.zeros_like(b), np.zeros_like(c)
-    np.add.at(gb, h, r[:, None] * c[a])
-    np.add.at(gb, a, -r[:, None] * c[h])
-    np.add.at(gc, a, r[:, None] * b[h])
-    np.add.at(gc, h, -r[:, None] * b[a])
+    gb = sparse.by_place(h, r[:, None] * c[a], n) - sparse.by_place(a, r[:, None] * c[h], n)
+    gc = sparse.by_place(a, r[:, None] * b[h], n) - sparse.by_place(h, r[:, None] * b[a], n)
     gs = np.bincount(h, r, n) - np.bincount(a, r, n)
     return loss, np.concatenate([gb.ravel() + reg * b.ravel(), gc.ravel() + reg * c.ravel(), gs + reg * s, [(r * ind).sum()]])
 
 
-def blade_chest_solution(pdf: pd.DataFrame, dim: int = 3, reg: float = 1.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Teams, blades, chests, strengths and home edge; a seeded start, as the loss isn't convex."""
+def blade_chest_solution(pdf: pd.DataFrame, dim: int = 3, reg: float = 1.0, seed: int = 0, memory: Memory | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """Teams, blades, chests, strengths and home edge. The loss isn't convex: a period starts from the last one's
+    solution in ``memory``, and teams that it hasn't from seeded draws."""
     t = teams(pdf)
-    names, n = t.names, len(t.names)
-    start = np.concatenate([0.1 * np.random.default_rng(seed).standard_normal(2 * n * dim), np.zeros(n), [0.3]])
+    n = len(t.names)
+    first = np.concatenate([0.1 * np.random.default_rng(seed).standard_normal((n, 2 * dim)), np.zeros((n, 1))], axis=1)
+    edge = 0.3
+    if memory and t.place is not None and "blade_chest" in memory.known:
+        table, (edge,) = memory.known["blade_chest"]
+        seen = table[t.place].any(axis=1)
+        first[seen] = table[t.place][seen]
+    start = np.concatenate([first[:, :dim].ravel(), first[:, dim : 2 * dim].ravel(), first[:, -1], [edge]])
     y, ind = pdf["home_win"].to_numpy(float), 1.0 - pdf["neutral_site"].to_numpy(float)
     args = (t.first, t.second, ind, y, pdf["weight"].to_numpy(float), n, dim, reg)
     x = minimise(lambda v: blade_chest_loss(v, *args), start)
-    return names, x[: n * dim].reshape(n, dim), x[n * dim : 2 * n * dim].reshape(n, dim), x[2 * n * dim : -1], float(x[-1])
+    blade, chest, strength = x[: n * dim].reshape(n, dim), x[n * dim : 2 * n * dim].reshape(n, dim), x[2 * n * dim : -1]
+    if memory and t.place is not None:
+        table = np.zeros((t.total, 2 * dim + 1))
+        table[t.place] = np.concatenate([blade, chest, strength[:, None]], axis=1)
+        memory.known["blade_chest"] = (table, x[-1:])
+    return t.names, blade, chest, strength, float(x[-1])
 
 
 def calibration_fit(diff: np.ndarray, ind: np.ndarray | None, y: np.ndarray, w: np.ndarray, c: float = 1.0) -> np.ndarray:

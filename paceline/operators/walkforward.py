@@ -240,7 +240,7 @@ def bradley_terry_system(rate: float = 0.35, reg: float = 3.0) -> System:
 def blade_chest_system(rate: float = 0.35, dim: int = 3, reg: float = 1.0, seed: int = 0) -> System:
     def fit(pairs: pd.DataFrame, memory: ratings.Memory | None = None):
         w, y = _shares(pairs)
-        names, blade, chest, s, edge = ratings.blade_chest_solution(pairs.assign(weight=w, home_win=y), dim, reg, seed)
+        names, blade, chest, s, edge = ratings.blade_chest_solution(pairs.assign(weight=w, home_win=y), dim, reg, seed, memory)
         value = lookup(names, s)
 
         def vectors(table: np.ndarray, teams: np.ndarray) -> np.ndarray:

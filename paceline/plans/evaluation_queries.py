@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from paceline.functions import scalar
 from paceline.operators import evaluate, lines
+from paceline.operators.quantiles import quantiles
 from paceline.plans.oracle import GAMES, PREDICTIONS
 from paceline.plans.registry import query
 from paceline.sources import tables
-from paceline.sources.tables import games, line_odds, six
+from paceline.sources.tables import games, line_odds, six, staged
 
 P = GAMES + PREDICTIONS
 _METRICS = """count(p) AS n, round(avg(CASE WHEN p IS NOT NULL THEN ((p >= 0.5)::INT = home_win)::INT END), 6) AS acc,
@@ -110,8 +111,8 @@ def ats_quantile(spark, sf):
     op = 1 / (1 + F.exp(F.col("open_spread_home") / 7))
     rows = rows.select(F.abs(F.col("p") - op).alias("gap"), ((F.col("p") > op) == (F.col("margin") + F.col("open_spread_home") > 0)).cast("int").alias("won"))
     qs = (0.0, 0.5, 0.75, 0.9)
-    cut = rows.agg(F.percentile("gap", list(qs)).alias("cuts")).select(F.posexplode("cuts").alias("k", "edge"), F.lit(0).alias("z"))
-    cut = cut.select(F.element_at(F.array(*map(F.lit, qs)), F.col("k") + 1).alias("quantile"), "edge")
+    rows = staged(rows)
+    cut = spark.createDataFrame(list(zip(qs, quantiles(rows, "gap", qs))), "quantile double, edge double")
     joined = rows.join(F.broadcast(cut), F.col("gap") >= F.col("edge"))  # four rows
     return joined.groupBy("quantile").agg(F.count("*").alias("n"), six(100 * F.avg("won")).alias("ats_pct"))
 

@@ -217,7 +217,7 @@ def bradley_terry(spark, sf):
 @query()
 def blade_chest(spark, sf):
     def fit(period: int, pdf: pd.DataFrame, memory: ratings.Memory) -> pd.DataFrame:
-        names, blade, chest, s, edge = ratings.blade_chest_solution(_weighted(pdf))
+        names, blade, chest, s, edge = ratings.blade_chest_solution(_weighted(pdf), memory=memory)
         return pd.DataFrame({"period": period, "team": names, "blade": list(blade), "chest": list(chest), "strength": s, "home_edge": edge})
 
     return _rated(spark, sf, fit, "period int, team string, blade array<double>, chest array<double>, strength double, home_edge double", "n", "y")

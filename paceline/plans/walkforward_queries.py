@@ -112,6 +112,7 @@ def weekly_predictions(spark, sf):
 
 @query()
 def weekly_metrics(spark, sf):
+    """Scores of the rating systems, refitted for every period; Blade-Chest is in ``weekly_predictions``."""
     systems = {name: make() for name, make in walkforward.SYSTEMS.items() if name != "blade_chest"}
     return scored(walkforward.weekly(timed_games(spark, sf), systems))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paceline.operators import models
+from paceline.operators import models, quantiles
 from paceline.sources import tables
 from paceline.sources.versioned import Table
 
@@ -75,3 +75,12 @@ def test_bootstrap_by_vectors(spark):
     assert (a["lo"], a["hi"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
     none = models.bootstrap(df.where(F.lit(False))).first()
     assert (none["n"], none["mean"], none["lo"]) == (0, None, None)
+
+
+def test_quantiles_by_counting(spark):
+    rng = np.random.default_rng(1)
+    for values in (rng.standard_normal(3000) ** 3, np.r_[np.zeros(2000), rng.random(500), np.full(700, 1e300), -1e300], np.full(50, 2.5), np.array([1.0]), np.r_[np.arange(1000) * 1e-12, 1e12]):
+        df = spark.createDataFrame([(float(x),) for x in values] + [(None,), (float("nan"),)], "x double").repartition(5)
+        shares = (0.0, 0.1, 0.5, 0.75, 0.999, 1.0)
+        assert quantiles.quantiles(df, "x", shares, few=20) == pytest.approx(list(np.quantile(values, shares)))
+    assert quantiles.quantiles(df.where("x > 1e13"), "x", (0.5,)) == [None]

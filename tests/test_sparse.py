@@ -99,3 +99,21 @@ def test_a_league_of_a_hundred_thousand_teams():
     assert np.abs(d.sums(w * y) - d.sums(w * d.rows(r[:, 0])) - np.r_[np.full(n, 4.0), 1e-6] * r[:, 0]).max() < 1e-6
     assert np.abs(d.sums(w * (share - 1 / (1 + np.exp(-d.rows(s))))) - np.r_[np.full(n, 3.0), 0] * s).max() < 1e-6
     assert x[-2] == pytest.approx(26, abs=3) and x[-2] + x[-1] > x[-2]
+
+
+def test_blade_chest_starts_from_the_last_period():
+    """A warm start ends at a loss no worse than a cold one's, and new teams leave zero."""
+    names = [f"t{k:03d}" for k in range(40)]
+    memory = ratings.Memory()
+
+    def loss(own, found):
+        t, (blade, chest, s, edge) = ratings.teams(own), found[1:]
+        x = np.concatenate([blade.ravel(), chest.ravel(), s, [edge]])
+        w = own["n"].to_numpy()
+        return ratings.blade_chest_loss(x, t.first, t.second, 1.0 - own["neutral_site"].to_numpy(), own["y"].to_numpy() / w, w, len(t.names), 3, 1.0)[0]
+
+    for n, seed in ((25, 1), (40, 1), (40, 2)):
+        own = frame(n, 500, seed, names)
+        fit = lambda memory: ratings.blade_chest_solution(own.assign(weight=own["n"], home_win=own["y"] / own["n"]), memory=memory)
+        warm, cold = fit(memory), fit(None)
+        assert list(warm[0]) == list(cold[0]) and loss(own, warm) <= loss(own, cold) * 1.002
