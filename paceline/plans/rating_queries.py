@@ -11,7 +11,7 @@ from paceline.operators import boxscore, elo, evaluate, form, models, ratings, w
 from paceline.plans.evaluation_queries import predictions
 from paceline.plans.oracle import CALENDAR, GAMES, PLAYS, SIDES
 from paceline.plans.registry import query
-from paceline.sources.tables import games, plays, rosters, six, timed_games
+from paceline.sources.tables import games, plays, rosters, six, staged, timed_games
 
 DECAY, BACK = 0.35, 6
 
@@ -171,13 +171,17 @@ def scoring_volatility(spark, sf):
     return form.sides(games(spark, sf)).groupBy("team").agg(F.count("*").alias("n"), six(F.stddev_samp("margin")).alias("sd"), F.round(F.var_pop("margin"), 5).alias("var"))
 
 
-@query()
-def massey_ratings(spark, sf):
-    """Ridge margin ratings of every period, solved from its sufficient statistics."""
+def _massey(spark, sf):
     g = timed_games(spark, sf)
     cal = ratings.calendar(g)
     s = ratings.history_sums(ratings.pair_stats(g, F.col("margin").cast("double")), cal, ["home_team", "away_team"], ["w", "wi", "wy", "wiy", "n"], DECAY, BACK)
-    return ratings.ridge(s).select("period", "team", six(F.col("rating")).alias("rating"))
+    return ratings.ridge(s)
+
+
+@query()
+def massey_ratings(spark, sf):
+    """Ridge margin ratings of every period, solved from its sufficient statistics."""
+    return _massey(spark, sf).select("period", "team", six(F.col("rating")).alias("rating"))
 
 
 def _rated(spark, sf, fit, schema, *columns: str):
@@ -205,15 +209,46 @@ def _weighted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(weight=w, home_win=pdf["y"] / np.where(w > 0, w, 1))
 
 
-@query()
-def bradley_terry(spark, sf):
+def _strengths(spark, sf):
     def fit(period: int, pdf: pd.DataFrame, memory: ratings.Memory) -> pd.DataFrame:
         names, s, edge = ratings.bradley_terry_solution(_weighted(pdf), memory=memory)
-        return pd.DataFrame({"period": period, "team": [*names, "*"], "strength": np.round([*s, edge], 6)})
+        return pd.DataFrame({"period": period, "team": [*names, "*"], "strength": [*s, edge]})
 
     return _rated(spark, sf, fit, "period int, team string, strength double", "n", "y")
 
 
+@query()
+def bradley_terry(spark, sf):
+    return _strengths(spark, sf).select("period", "team", six(F.col("strength")).alias("strength"))
+
+
+@query(CALENDAR + """, w AS (SELECT c.period, t.home_team, t.away_team FROM cal c JOIN t ON t.period < c.period AND t.season >= c.hist_season - 6),
+    n AS (SELECT period, count(*) AS n FROM w GROUP BY period), k AS (SELECT period, home_team AS team FROM w UNION SELECT period, away_team FROM w UNION SELECT period, '*' FROM w)
+    SELECT 'bradley_terry' AS system, period, team, 0.0::DOUBLE AS residual FROM k UNION ALL SELECT 'massey', period, team, 0.0 FROM k JOIN n USING (period) WHERE n.n >= 50""")
+def rating_residuals(spark, sf):
+    """What is left of the equations that ratings solve, by period and team, the home advantage as ``*``: nothing, to four digits.
+
+    Gradients of the penalised likelihood and squares are taken from ``history``, which adds up a period's pairs another
+    way than the blocks that the fits come from."""
+    g = timed_games(spark, sf)
+    pairs = staged(walkforward.history(walkforward.pair_sums(g, 1e9), ratings.calendar(g), {c: (c, DECAY) for c in ("n", "y", "m")}, BACK))
+    at_home = F.when(F.col("neutral_site"), 0.0).otherwise(1.0)
+
+    def left(name, solved, value, predicted, target, penalties):
+        solved = staged(solved.select("period", "team", F.col(value).alias("x")))
+        side = lambda t, x: solved.select("period", F.col("team").alias(t), F.col("x").alias(x))
+        rows = pairs.join(side("home_team", "h"), ["period", "home_team"]).join(side("away_team", "a"), ["period", "away_team"]).join(solved.where("team = '*'").select("period", F.col("x").alias("edge")), "period")
+        rows = rows.withColumn("e", F.col(target) - F.col("n") * predicted(F.col("h") - F.col("a") + F.col("edge") * at_home))
+        part = lambda t, v: F.struct(t.alias("team"), v.alias("v"))
+        parts = F.array(part(F.col("home_team"), F.col("e")), part(F.col("away_team"), -F.col("e")), part(F.lit("*"), F.col("e") * at_home))
+        sums = rows.select("period", F.explode(parts).alias("p")).groupBy("period", F.col("p.team").alias("team")).agg(F.sum("p.v").alias("v"))
+        penalty = F.when(F.col("team") == "*", penalties[1]).otherwise(penalties[0])
+        return sums.join(solved, ["period", "team"]).select(F.lit(name).alias("system"), "period", "team", (F.round(F.col("v") - penalty * F.col("x"), 4) + 0.0).alias("residual"))
+
+    ridge = left("massey", _massey(spark, sf), "rating", lambda z: z, "m", (4.0, 1e-6))
+    return ridge.unionByName(left("bradley_terry", _strengths(spark, sf), "strength", lambda z: 1 / (1 + F.exp(-z)), "y", (3.0, 0.0)))
+
+
 @query()
 def blade_chest(spark, sf):
     def fit(period: int, pdf: pd.DataFrame, memory: ratings.Memory) -> pd.DataFrame:
