@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 TOXIC_DOCS, CLEAN_DOCS, TOXIC_CHARS, CLEAN_CHARS = 4000, 6000, 5_000_000, 12_000_000
 #: Words of a window.
 WINDOW = 8
-#: Bytes of ordinary text that both dictionaries hold, and of text of its own class that each holds.
+#: Bytes of ordinary text that both dictionaries hold, and of toxic text that the toxic one holds besides.
 SHARED, OWN = 98_304, 12_288
 #: Words of a segment of the shared text, and of a toxic segment to either side of its word.
 SEGMENT, BESIDE = 4, 1
@@ -258,9 +258,9 @@ def rejected(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted.
 
-    Both dictionaries hold the same ordinary text, then text of their own class: the toxic one the segments around the
-    words that occur in many contexts of toxic documents and hardly in ordinary ones, the ordinary one further segments
-    of ordinary documents. A text's windows of WINDOW words, in which every word is once, are compressed with
+    Both dictionaries hold the same ordinary text, the toxic one besides the segments around the words that occur in
+    many contexts of toxic documents and hardly in ordinary ones: classes that differ in the order of the same words
+    aren't told apart. A text's windows of WINDOW words, in which every word is once, are compressed with
     both, and how many windows are shorter by how many bytes with the toxic one is calibrated to a score by a logistic
     fit on labelled documents that the dictionaries haven't seen. Fitting takes a sample by hash, bounded in documents
     and characters by the parameters above; documents that don't fit into what is left are skipped. Null and empty
