@@ -156,10 +156,12 @@ def evaluated(g: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class System:
-    """``fit(pairs, memory) -> chance(home, away, at_home) -> (p, margin or None)`` on arrays; ``columns`` it needs, with rates."""
+    """``fit(pairs, memory) -> chance(home, away, at_home) -> (p, margin or None)`` on arrays; ``columns`` it needs, with rates.
+    It is given the pairs of which one of ``weights`` is positive."""
 
     columns: dict[str, tuple[str, float]]
     fit: Callable[[pd.DataFrame, ratings.Memory | None], Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray | None]]]
+    weights: tuple[str, ...] = ("n",)
 
 
 def lookup(names: np.ndarray, values: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
@@ -270,6 +272,54 @@ def ridge_system(rate: float = 0.35, lam: float = 4.0, target: str = "m") -> Sys
     return System({"n": ("n", rate), "y": ("y", rate), target: (target, rate)}, fit)
 
 
+def with_targets(sums: DataFrame, rows: DataFrame, targets: tuple[str, ...]) -> DataFrame:
+    """``sums`` of pairs and those of ``rows(season, period, pair, targets)``: of each target the rows that have it, n_target,
+    and its sum, v_target. A null target is no row of that target and stays one of the others.
+
+    Both are rows of one table: what a pair has of games and of targets is added up where histories are.
+    """
+    one = lambda t: (F.count(t).cast("double").alias(f"n_{t}"), F.coalesce(F.sum(t).cast("double"), F.lit(0.0)).alias(f"v_{t}"))
+    own = rows.groupBy("season", "period", *PAIR).agg(*[c for t in targets for c in one(t)])
+    both = sums.unionByName(own, allowMissingColumns=True)
+    return both.select("season", "period", *PAIR, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in both.columns if c not in ("season", "period", *PAIR)])
+
+
+def target_system(target: str, lam: float, rate: float = 0.35, least: int = 50) -> System:
+    """Ridge ratings of a target of ``with_targets``, whose rows needn't be games; the predicted target is calibrated to a
+    chance on the history's games. Under ``least`` rows of the target the chance is a half and the prediction zero."""
+
+    def fit(pairs: pd.DataFrame, memory: ratings.Memory | None = None):
+        if pairs["rows"].sum() < least:
+            return lambda h, a, s: (np.full(len(h), 0.5), np.zeros(len(h)))
+        rated = pairs[pairs["w"] > 0]
+        names, r, hfa = ratings.ridge_solution(ridge_frame(rated, "w", "v"), lam, memory, target)
+        value = lookup(names, r)
+        margin = lambda h, a, s: value(h) - value(a) + hfa * s
+        games = pairs[pairs["n"] > 0]
+        w, y = _shares(games)
+        b = ratings.calibration_fit(margin(*_sides(games)), None, y, w)
+        return lambda h, a, s: (1 / (1 + np.exp(-(b[0] + b[1] * margin(h, a, s)))), margin(h, a, s))
+
+    return System({"n": ("n", rate), "y": ("y", rate), "w": (f"n_{target}", rate), "v": (f"v_{target}", rate), "rows": (f"n_{target}", 1.0)}, fit, ("n", "w"))
+
+
+def target_ratings(sums: DataFrame, cal: DataFrame, penalties: dict[str, float], rate: float = 0.35, back: int = 6, least: int = 50) -> DataFrame:
+    """(target, period, team, rating), the home advantage as team ``*``: ridges of all targets of ``with_targets`` in every
+    period with ``least`` rows of a target before it, in one pass over the history."""
+    columns = {f"{k}_{t}": (f"{v}_{t}", r) for t in penalties for k, v, r in (("w", "n", rate), ("v", "v", rate), ("rows", "n", 1.0))}
+
+    def fit(period: int, pairs: pd.DataFrame, _: pd.DataFrame, memory: ratings.Memory) -> pd.DataFrame:
+        out = [nothing("target", "period", "team", "rating")]
+        for t, lam in penalties.items():
+            own = pairs[pairs[f"w_{t}"] > 0]
+            if own[f"rows_{t}"].sum() >= least:
+                names, r, home = ratings.ridge_solution(ridge_frame(own, f"w_{t}", f"v_{t}"), lam, memory, t)
+                out.append(pd.DataFrame({"target": t, "period": period, "team": [*names, "*"], "rating": [*r, home]}))
+        return pd.concat(out[1:] or out)
+
+    return by_period(sums, cal, columns, cal.select("period"), fit, "target string, period int, team string, rating double", back)
+
+
 def ridge_frame(pairs: pd.DataFrame, weight: str, target: str) -> pd.DataFrame:
     """Pairs as ``ratings.ridge_solution`` takes them."""
     w, wy, at_home = pairs[weight].to_numpy(float), pairs[target].to_numpy(float), 1.0 - pairs["neutral_site"].to_numpy(float)
@@ -285,11 +335,12 @@ SYSTEMS: dict[str, Callable[[], System]] = {
 }
 
 
-def weekly(g: DataFrame, systems: dict[str, System], games: DataFrame | None = None, least: int = 50, short: float | None = 0.5, back: int = 6) -> DataFrame:
+def weekly(g: DataFrame, systems: dict[str, System], games: DataFrame | None = None, least: int = 50, short: float | None = 0.5, back: int = 6, sums: DataFrame | None = None) -> DataFrame:
     """Every system refitted for every period on what is before it: game_id, period, model, home_win, p, margin.
 
-    ``games`` are those predicted (by default those within the first division); all of ``g`` inform. Periods with
-    under ``least`` games of history get ``short`` as chance, or, if that is None, no row.
+    ``games`` are those predicted (by default those within the first division); all of ``g`` inform, by their pair sums
+    or by ``sums``, which may have more. Periods with under ``least`` games of history get ``short`` as chance, or, if
+    that is None, no row.
     """
     games = evaluated(g) if games is None else games
     order = {name: k for k, name in enumerate(systems)}
@@ -303,13 +354,13 @@ def weekly(g: DataFrame, systems: dict[str, System], games: DataFrame | None = N
             p, margin = np.full(len(new), short if short is not None else np.nan), None
             if enough:
                 own = pairs[PAIR].assign(**{k: pairs[f"s{order[name]}_{k}"] for k in s.columns})
-                p, margin = s.fit(own[own["n"] > 0], memories.of(name))(*_sides(new))
+                p, margin = s.fit(own[(own[list(s.weights)] > 0).any(axis=1)], memories.of(name))(*_sides(new))
             margin = np.full(len(new), np.nan) if margin is None else margin
             out.append(pd.DataFrame({"game_id": new["game_id"].to_numpy(), "period": period, "model": [name] * len(new), "home_win": new["home_win"].to_numpy(), "p": p, "margin": margin}))
         return pd.concat(out) if out else nothing("game_id", "period", "model", "home_win", "p", "margin")
 
     cal = ratings.calendar(g)
-    made = by_period(pair_sums(g), cal, columns, new, fit, "game_id long, period int, model string, home_win int, p double, margin double", back)
+    made = by_period(pair_sums(g) if sums is None else sums, cal, columns, new, fit, "game_id long, period int, model string, home_win int, p double, margin double", back)
     made = made.withColumn("margin", F.when(~F.isnan("margin"), F.col("margin")))
     if short is None:
         return made

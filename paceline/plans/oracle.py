@@ -49,7 +49,7 @@ _ROLES = "rush completion incompletion sack_taken interception_thrown fumble fum
 
 PLAYS = """
 WITH base AS (SELECT *, user_id + 1 - 2 * (user_id % 2) AS other, floor(value / 10)::BIGINT AS yards, value > 200 AS dropped FROM events),
-plays AS (SELECT event_id, ((event_id // 1000) * 5 + (user_id % 10) // 2)::BIGINT AS game_id, (2014 + day(ts) // 6)::INT AS season,
+plays AS (SELECT event_id, ((event_id // 1000) * 5 + (user_id % 10) // 2)::BIGINT AS game_id, (2014 + day(ts) // 6)::INT AS season, ((day(ts) % 6 * 24 + hour(ts)) // 3 + 1)::INT AS week,
     CASE WHEN event_type = 'purchase' THEN user_id END AS rush_player_id, CASE WHEN event_type = 'view' THEN user_id END AS completion_player_id, CASE WHEN event_type = 'click' THEN user_id END AS incompletion_player_id,
     CASE WHEN event_type = 'error' THEN user_id END AS sack_taken_player_id, CASE WHEN event_type = 'signup' THEN user_id END AS interception_thrown_player_id, CASE WHEN dropped THEN user_id + 10 END AS fumble_player_id,
     CASE WHEN dropped AND event_id % 3 = 1 THEN other WHEN dropped AND event_id % 3 = 2 THEN user_id END AS fumble_recovered_player_id, CASE WHEN event_type = 'error' THEN other END AS sack_player_id,

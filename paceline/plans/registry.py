@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return put
 
 
-from paceline.plans import box_queries, evaluation_queries, game_queries, rating_queries, walkforward_queries  # noqa: E402, F401
+from paceline.plans import box_queries, efficiency_queries, evaluation_queries, game_queries, rating_queries, walkforward_queries  # noqa: E402, F401

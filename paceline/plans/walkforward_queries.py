@@ -38,9 +38,6 @@ SWEEP = {
 }
 #: The ten features of the plain season models.
 PLAIN = ("elo_prob", "elo_diff", "home_ind", "neutral", "conf_game", "wp_diff", "avgmargin_diff", "gp_home", "gp_away", "rest_diff")
-EFFICIENCY = ("yards", "successes", "explosives", "turnovers", "havoc")
-#: Plays are of other years than games: their seasons are moved by so many.
-SHIFT = 19
 
 
 def pool(g: DataFrame) -> DataFrame:
@@ -348,124 +345,3 @@ def market_incremental(spark, sf):
     preds = staged(model.unionByName(calibrated_lines(spark, sf).where("model = 'market'")))
     stack = staged(boosting.refits(wide(preds, ("market", "ridge_margin")), [Setting("market_plus_model", ("market", "ridge_margin"), lambda: Logistic(1.0, scale=False), 800)]))
     return scored(stack.unionByName(preds.join(stack.select("game_id"), "game_id", "left_semi").select(*stack.columns)))
-
-
-# Off-season information, efficiency and the ladder
-
-
-def brought_back(spark, sf) -> DataFrame:
-    """(season, team) with what teams bring back, under the names of games."""
-    p, r = plays(spark, sf), rosters(spark, sf)
-    b = boxscore.returning(p, r).join(boxscore.continuity(r), ["season", "team"], "left")
-    one = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    b = b.withColumns({"ret_off": one("ret_off"), "ret_def": one("ret_def")}).withColumn("ret_avg", (F.col("ret_off") + F.col("ret_def")) / 2)
-    return b.select((F.col("season") - SHIFT).alias("season"), F.concat(F.lit("S"), F.col("team")).alias("team"), "ret_off", "ret_def", "ret_avg", "roster_continuity")
-
-
-def with_sides(g: DataFrame, attributes: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Games with (season, team) attributes of both sides as home_ and away_ columns; null where there are none."""
-    for s in ("home", "away"):
-        g = g.join(attributes.select("season", F.col("team").alias(f"{s}_team"), *[F.col(n).alias(f"{s}_{n}") for n in names]), ["season", f"{s}_team"], "left")
-    return g
-
-
-def regress_by(back: DataFrame, slope: float) -> DataFrame:
-    share = F.least(F.greatest(0.15 + slope * (0.5 - F.col("ret_avg")), F.lit(0.02)), F.lit(0.7))
-    return back.select("season", "team", share.alias("regress"))
-
-
-@query()
-def elo_slopes(spark, sf):
-    """Five slopes of the pre-season regression on returning production, by log loss of the predicted games."""
-    g, back = games(spark, sf), brought_back(spark, sf)
-    parts = [elo.pregame_by_team(g, regress_by(back, s)).withColumn("model", F.lit(f"slope{s}")) for s in SLOPES]
-    rows = reduce(DataFrame.unionByName, parts).join(walkforward.evaluated(g).select("game_id", "season", "home_win"), "game_id")
-    return chosen(rows)
-
-
-_BACK = """, ret AS (SELECT p.season + 1 AS season, p.team, sum(CASE WHEN r.athlete_id IS NOT NULL THEN off_yards ELSE 0 END) / greatest(sum(off_yards), 1) AS ret_off, sum(CASE WHEN r.athlete_id IS NOT NULL THEN def_plays ELSE 0 END) / greatest(sum(def_plays), 1) AS ret_def
-      FROM prod p LEFT JOIN rosters r ON r.season = p.season + 1 AND r.team = p.team AND r.athlete_id = p.athlete_id WHERE p.season + 1 IN (SELECT season FROM rosters) GROUP BY 1, 2),
-    cont AS (SELECT l.season + 1 AS season, l.team, count(n.athlete_id) / count(*) AS roster_continuity FROM rosters l LEFT JOIN rosters n ON n.season = l.season + 1 AND n.team = l.team AND n.athlete_id = l.athlete_id WHERE l.season + 1 IN (SELECT season FROM rosters) GROUP BY 1, 2),
-    back AS (SELECT season - 19 AS season, 'S' || team AS team, least(greatest(ret_off, 0), 1) AS ret_off, least(greatest(ret_def, 0), 1) AS ret_def, (least(greatest(ret_off, 0), 1) + least(greatest(ret_def, 0), 1)) / 2 AS ret_avg, roster_continuity FROM ret LEFT JOIN cont USING (season, team))"""
-
-
-@query(GAMES + PLAYS.replace("WITH base", ", base") + _BACK + " SELECT game_id, " + ", ".join(f"round({s}.{n}, 6) AS {s}_{n}" for s in ("home", "away") for n in ("ret_off", "ret_def", "ret_avg", "roster_continuity")) + " FROM games g LEFT JOIN back home ON home.season = g.season AND home.team = home_team LEFT JOIN back away ON away.season = g.season AND away.team = away_team")
-def offseason_sides(spark, sf):
-    """What both sides of a game bring back, joined by season and team."""
-    names = ("ret_off", "ret_def", "ret_avg", "roster_continuity")
-    x = with_sides(games(spark, sf).select("game_id", "season", "home_team", "away_team"), brought_back(spark, sf), names)
-    return x.select("game_id", *[six(F.col(f"{s}_{n}")).alias(f"{s}_{n}") for s in ("home", "away") for n in names])
-
-
-def efficiency_rows(spark, sf) -> DataFrame:
-    """(target, season, home_team, away_team, value): per-play margins of the box scores, long."""
-    m = boxscore.efficiency_margins(boxscore.box_scores(plays(spark, sf), rosters(spark, sf)))
-    one = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"{t}_margin").alias("value")) for t in EFFICIENCY])).alias("x")
-    rows = m.select((F.col("season") - SHIFT).alias("season"), F.concat(F.lit("S"), F.col("team")).alias("home_team"), F.concat(F.lit("S"), F.col("opp")).alias("away_team"), one)
-    return rows.select("season", "home_team", "away_team", "x.*")
-
-
-def efficiency_penalties(spark, sf) -> DataFrame:
-    """(target, lam): the margin's penalty scaled by a target's variance over the margin's, in the first three seasons."""
-    cut = F.least(F.greatest(F.col("margin").cast("double"), F.lit(-35.0)), F.lit(35.0))
-    early = lambda df: df.join(F.broadcast(df.agg(F.min("season").alias("from"))), F.col("season") < F.col("from") + 3)
-    whole = early(games(spark, sf)).agg(F.var_pop(cut).alias("margin_var"))
-    own = early(efficiency_rows(spark, sf)).groupBy("target").agg(F.var_pop("value").alias("var"))
-    return own.join(F.broadcast(whole)).select("target", (4.0 * F.col("var") / F.col("margin_var")).alias("lam"))  # one row
-
-
-_WITH_BOX = GAMES + BOX.replace("WITH base", ", base")
-
-
-@query(_WITH_BOX + """, m AS (SELECT a.season - 19 AS season, a.yards / a.plays - b.yards / b.plays AS yards, a.successes / a.plays - b.successes / b.plays AS successes, a.explosives / a.plays - b.explosives / b.plays AS explosives,
-      b.picks_thrown + b.fumbles_lost - a.picks_thrown - a.fumbles_lost AS turnovers, (a.sacks + a.breakups + a.forced) / b.plays - (b.sacks + b.breakups + b.forced) / a.plays AS havoc
-      FROM box a JOIN box b ON a.season = b.season AND a.game_id = b.game_id AND b.team = a.team + 1 AND a.team % 2 = 0 WHERE a.plays >= 20 AND b.plays >= 20),
-    l AS (UNPIVOT (SELECT season, yards::DOUBLE AS yards, successes::DOUBLE AS successes, explosives::DOUBLE AS explosives, turnovers::DOUBLE AS turnovers, havoc::DOUBLE AS havoc FROM m) ON yards, successes, explosives, turnovers, havoc INTO NAME target VALUE value)
-    SELECT target, round(4.0 * var_pop(value) / (SELECT var_pop(least(greatest(margin, -35), 35)) FROM games WHERE season < (SELECT min(season) FROM games) + 3), 9) AS lam FROM l WHERE season < (SELECT min(season) FROM m) + 3 GROUP BY target""")
-def efficiency_lambda(spark, sf):
-    return efficiency_penalties(spark, sf).select("target", F.round("lam", 9).alias("lam"))
-
-
-def efficiency_ratings(spark, sf) -> DataFrame:
-    """(target, season, team, rating): ridge ratings of each efficiency target on all earlier seasons, decayed; the
-    home advantage as team ``*``."""
-    sums = efficiency_rows(spark, sf).groupBy("target", "season", "home_team", "away_team").agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("y"))
-    seasons = sums.select(F.col("season").alias("at")).distinct().unionByName(sums.agg((F.max("season") + 1).alias("at")))
-    rows = sums.join(F.broadcast(seasons), F.col("season") < F.col("at")).join(F.broadcast(efficiency_penalties(spark, sf)), "target")  # a row a season; a row a target
-
-    def run(pdf):
-        w = 0.35 ** (pdf["at"].iloc[0] - 1 - pdf["season"].to_numpy(float))
-        pairs = pd.DataFrame({"home_team": pdf["home_team"], "away_team": pdf["away_team"], "neutral_site": 0.0, "n": w * pdf["n"], "y": w * pdf["y"]})
-        names, r, home = ratings.ridge_solution(walkforward.ridge_frame(pairs, "n", "y"), float(pdf["lam"].iloc[0]))
-        return pd.DataFrame({"target": pdf["target"].iloc[0], "season": int(pdf["at"].iloc[0]), "team": [*names, "*"], "rating": [*r, home]})
-
-    return rows.groupBy("target", "at").applyInPandas(run, "target string, season int, team string, rating double")
-
-
-@query()
-def efficiency_ridges(spark, sf):
-    return efficiency_ratings(spark, sf).withColumn("rating", F.round("rating", 6))
-
-
-@query()
-def tier_ladder(spark, sf):
-    """Boosted models of five growing feature lists: ratings, efficiency, off-season, situation, opening line."""
-    from paceline.plans.box_queries import trips
-
-    g = timed_games(spark, sf)
-    f = plain_features(spark, sf)
-    week = walkforward.weekly(g, {"ridge": walkforward.ridge_system(), "pr": walkforward.pagerank_system("points_keep"), "bt": walkforward.bradley_terry_system(0.65)})
-    week = week.groupBy("game_id").agg(F.max(F.when(F.col("model") == "ridge", F.col("margin"))).alias("ridge_margin_pred"), *[F.max(F.when(F.col("model") == m, logit(F.col("p")))).alias(n) for m, n in (("pr", "pr_keep_logit"), ("bt", "bt_logit"))])
-    eff = efficiency_ratings(spark, sf).groupBy("season", "team").pivot("target", list(EFFICIENCY)).agg(F.first("rating"))
-    back = brought_back(spark, sf)
-    moved = elo.pregame_by_team(games(spark, sf), regress_by(back, 0.6)).select("game_id", (F.col("home_elo") - F.col("away_elo")).alias("elo_rp_diff"))
-    f = with_sides(with_sides(f.join(week, "game_id", "left"), eff.where("team <> '*'"), EFFICIENCY), back, ("ret_off", "ret_def", "ret_avg", "roster_continuity"))
-    d = lambda n: F.col(f"home_{n}") - F.col(f"away_{n}")
-    f = f.withColumns({f"ridge_{t}": d(t) for t in EFFICIENCY} | {"ret_off_diff": d("ret_off"), "ret_def_diff": d("ret_def"), "continuity_diff": d("roster_continuity")})
-    f = f.join(moved, "game_id", "left").join(trips(spark, sf), "game_id", "left").join(lined(spark, sf), "game_id", "left")
-    tiers = [PLAIN + ("week", "ridge_margin_pred", "pr_keep_logit", "bt_logit"), tuple(f"ridge_{t}" for t in EFFICIENCY), ("ret_off_diff", "ret_def_diff", "continuity_diff", "elo_rp_diff", "home_ret_avg", "away_ret_avg"), ("km", "tz_diff", "climb"), ("open_spread_home",)]
-    names = ("T1_ridge", "T2_efficiency", "T3_offseason", "T4_situational", "T5_openline")
-    lists = [sum(tiers[: k + 1], ()) for k in range(5)]
-    settings = [Setting(n, x, lambda: Boosted(350, 3, 0.04, leaf=50), 1500, drop=False) for n, x in zip(names, lists, strict=True)]
-    settings.append(Setting("T4_margin", lists[3], MarginBoosted, 1500, drop=False))
-    return scored(boosting.refits(f, settings))

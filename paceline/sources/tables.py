@@ -229,7 +229,7 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         "reception": on("view", one + 10), "touchdown": F.when((n % 10 == 0) & kind.isin("purchase", "view"), one),
     }
     return e.select(
-        "event_id", (F.floor(n / 1000) * 5 + F.floor(one % 10 / 2)).cast("long").alias("game_id"), (F.lit(2014) + F.floor(F.dayofmonth("ts") / 6)).cast("int").alias("season"), *[c.alias(f"{r}_player_id") for r, c in ids.items()],
+        "event_id", (F.floor(n / 1000) * 5 + F.floor(one % 10 / 2)).cast("long").alias("game_id"), (F.lit(2014) + F.floor(F.dayofmonth("ts") / 6)).cast("int").alias("season"), (F.floor((F.dayofmonth("ts") % 6 * 24 + F.hour("ts")) / 3) + 1).cast("int").alias("week"), *[c.alias(f"{r}_player_id") for r, c in ids.items()],
         on("purchase", yards).alias("rush_yds"), F.when((kind == "view") & (n % 7 != 0), yards).alias("completion_yds"), on("view", yards).alias("reception_yds"), on("error", yards).alias("sack_taken_stat"),
         F.when(n % 9 != 0, n % 4 + 1).cast("int").alias("down"), F.when(n % 8 != 0, 10 - n % 11).cast("int").alias("distance"),
     )

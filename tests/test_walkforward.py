@@ -252,3 +252,62 @@ def test_bands_and_text_values(spark, tmp_path, capsys):
     assert tables.report(["one", "two"], str(tmp_path / "r.txt")) == "one\ntwo" and (tmp_path / "r.txt").read_text() == "one\ntwo\n"
     assert "two" in capsys.readouterr().out
     assert tables.staged(spark.range(3)).count() == 3
+
+
+def test_target_ridges_equal_games_weighed_one_by_one(spark, games, frame):
+    """Targets of rows that aren't games, some null, one never given: each its own rows and weights."""
+    rng = np.random.default_rng(3)
+    rows = [(int(r.season), int(r.period), r.home_team, r.away_team, False, float(rng.normal()), None if k % 3 else float(rng.normal()), None) for k, r in enumerate(frame.itertuples()) if k % 2]
+    df = spark.createDataFrame(rows, "season int, period int, home_team string, away_team string, neutral_site boolean, x double, y_of double, z double")
+    own = pd.DataFrame(rows, columns=["season", "period", "home_team", "away_team", "neutral_site", "x", "y_of", "z"])
+    sums, cal = walkforward.with_targets(walkforward.pair_sums(games), df, ("x", "y_of", "z")), ratings.calendar(games)
+    assert sums.agg(F.sum("n"), F.sum("n_x"), F.sum("n_y_of"), F.sum("n_z")).first() == (len(frame), len(rows), own["y_of"].count(), 0)
+    lam = {"x": 2.0, "y_of": 0.5, "z": 1.0}
+    made = walkforward.target_ratings(sums, cal, lam, 0.5, back=1, least=20).toPandas()
+    assert set(made["target"]) == {"x", "y_of"}
+    newest = {r["period"]: r["hist_season"] for r in cal.collect()}
+    for t in ("x", "y_of"):
+        for p in sorted(newest):
+            h = own[(own["period"] < p) & (own["season"] >= newest[p] - 1)].dropna(subset=[t])
+            got = made[(made["target"] == t) & (made["period"] == p)].set_index("team")["rating"]
+            if len(h) < 20:
+                assert not len(got)
+                continue
+            names = sorted(set(h["home_team"]) | set(h["away_team"]))
+            x = np.zeros((len(h), len(names) + 1))
+            x[np.arange(len(h)), [names.index(v) for v in h["home_team"]]] = 1
+            x[np.arange(len(h)), [names.index(v) for v in h["away_team"]]] = -1
+            x[:, -1] = 1
+            w = 0.5 ** (newest[p] - h["season"].to_numpy(float))
+            want = np.linalg.solve((x.T * w) @ x + np.diag([lam[t]] * len(names) + [1e-6]), (x.T * w) @ h[t].to_numpy(float))
+            assert got[[*names, "*"]].to_numpy() == pytest.approx(want, abs=1e-6)
+
+
+def test_target_systems_predict_from_rows_and_calibrate_on_games(spark, games, frame):
+    exact = [(int(r.season), int(r.period), r.home_team, r.away_team, bool(r.neutral_site), float(np.clip(r.margin, -28, 28)), None) for r in frame.itertuples()]
+    df = spark.createDataFrame(exact, "season int, period int, home_team string, away_team string, neutral_site boolean, same double, none double")
+    sums = walkforward.with_targets(walkforward.pair_sums(games), df, ("same", "none"))
+    systems = {"ridge": walkforward.ridge_system(), "same": walkforward.target_system("same", 4.0), "none": walkforward.target_system("none", 4.0)}
+    w = walkforward.weekly(games, systems, sums=sums).toPandas().pivot(index="game_id", columns="model", values=["p", "margin"])
+    assert w["p"]["same"].to_numpy() == pytest.approx(w["p"]["ridge"].to_numpy(), abs=1e-6)
+    rated = w["margin"]["ridge"].notna()
+    assert w["margin"]["same"][rated].to_numpy() == pytest.approx(w["margin"]["ridge"][rated].to_numpy(), abs=1e-6)
+    assert (w["p"]["none"] == 0.5).all() and (w["margin"]["none"][rated] == 0).all()
+
+
+def test_box_weeks_take_the_next_period_of_games(spark, games):
+    from paceline.plans import efficiency_queries as q
+
+    rows = spark.createDataFrame([(2000, 1, "a"), (2000, 30, "next season"), (2001, 3, "own"), (2002, 30, "after the last")], "season int, week int, what string")
+    own = games.withColumn("st_order", F.lit(0)).select("season", "st_order", "week", "period")
+    got = {r["what"]: r["period"] for r in q.clocked(rows, own).collect()}
+    of = {(r["season"], r["week"]): n for n, r in enumerate(own.select("season", "week").distinct().orderBy("season", "week").collect())}
+    assert got == {"a": of[2000, 1], "next season": of[2001, 1], "own": of[2001, 3]}
+
+
+def test_ladder_rows_and_lists():
+    from paceline.plans import efficiency_queries as q
+
+    rows = [m for ms in q.LADDER.values() for m in ms]
+    assert len(rows) == len(set(rows)) == 22
+    assert {m for ms in q.STACKS.values() for m in ms} <= set(rows) and set(q.TIERS) | set(q.STACKS) <= set(rows)
