@@ -1,9 +1,14 @@
-"""Toxicity by compression distance: two zstandard dictionaries, of toxic and ordinary text, compared window by window."""
+"""Toxicity by compression distance: zstandard dictionaries of toxic and ordinary text, compared window by window.
+
+There are two pairs of them: one of each class's own text as it stands, which tells classes apart by phrases, and one
+that differs in the words that only toxic documents have, for classes that differ in few words.
+"""
 
 from __future__ import annotations
 
 import heapq
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -31,6 +36,10 @@ MATCH = 4
 STEMS = (5, 6, 7, 9)
 #: A window's saving in bytes enters a document's features as one of these, or the last for more.
 SAVINGS = (1, 2, 3, 4, 5, 6, 7, 8)
+#: Bytes of either dictionary of a class's own text, words of its segments, and of the windows that are compared by them.
+CLASS, PIECE, SPAN = 131_072, 8, 24
+#: Ends both dictionaries of that pair and every window.
+TAIL = b" of the and in that "
 _LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -44,10 +53,10 @@ def spoken(text: str | None) -> list[bytes]:
     return _LETTERS.findall((text or "").encode().lower())
 
 
-def windows(ws: list[bytes]) -> Iterator[bytes]:
-    """A text's windows: WINDOW words each, the last one what is left. Every word is in one."""
-    for k in range(0, len(ws), WINDOW):
-        yield b" " + b" ".join(ws[k : k + WINDOW]) + b" "
+def windows(ws: list[bytes], size: int = WINDOW) -> Iterator[bytes]:
+    """A text's windows: ``size`` words each, the last one what is left. Every word is in one."""
+    for k in range(0, len(ws), size):
+        yield b" " + b" ".join(ws[k : k + size]) + b" "
 
 
 def _parts(w: bytes) -> set[bytes]:
@@ -115,17 +124,52 @@ def _around(docs: Iterable[list[bytes]], toxic: Counter, plain: set[bytes], size
     return b"".join(reversed(out)) + b" "
 
 
+def _own_text(docs: Iterable[str | None], rng: random.Random) -> list[bytes]:
+    """Different segments of the documents' texts as they stand, in random order: copies count once."""
+    pieces = sorted({b" " + b" ".join(ws[k : k + PIECE]) for ws in map(words, docs) for k in range(0, len(ws), PIECE)})
+    rng.shuffle(pieces)
+    return pieces
+
+
+def _class_dictionaries(ordinary: Iterable[str | None], toxic: Iterable[str | None]) -> tuple[bytes, bytes]:
+    """Both classes' own text, of equal size: CLASS bytes, or as many as the smaller class has."""
+    rng = random.Random(0)
+    pieces = [_own_text(ordinary, rng), _own_text(toxic, rng)]
+    size = min(CLASS, *(sum(map(len, p)) for p in pieces))
+    ordinary, toxic = (b"".join(p)[:size] + TAIL for p in pieces)
+    return ordinary, toxic
+
+
+def _compressor(body: bytes) -> Callable[[bytes], bytes]:
+    p = zstandard.ZstdCompressionParameters(compression_level=3, min_match=MATCH, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=18)
+    d = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=p)
+    return zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress
+
+
 @dataclass
 class Model:
-    """Two dictionaries and the calibration; a plain value that goes to the executors as it is."""
+    """Two pairs of dictionaries and the calibration; a plain value that goes to the executors as it is."""
 
     toxic: bytes
     ordinary: bytes
     tail: bytes
     weights: list[float]
+    own_toxic: bytes = TAIL
+    own_ordinary: bytes = TAIL
 
     def __getstate__(self):
-        return {**self.__dict__, "_both": None}
+        return {**self.__dict__, "_both": None, "_own": None}
+
+    def distances(self, ws: list[bytes]) -> list[float]:
+        """What the windows' distances to both classes' own text are like: bytes shorter by the toxic one's, mean, spread,
+        most, least, sums and shares."""
+        if getattr(self, "_own", None) is None:
+            self._own = (_compressor(self.own_ordinary), _compressor(self.own_toxic))
+        plain, toxic = self._own
+        d = np.sort([len(plain(w)) - len(toxic(w)) for w in (w + TAIL for w in windows(ws, SPAN))] or [0.0])
+        total = float(d.sum())
+        return [float(d.mean()), float(d.std()), float(d[-1]), float(d[-3:].mean()), float(d[0]), math.log1p(max(total, 0.0)), math.log1p(max(-total, 0.0)), float((d > 4).mean()), math.log1p(float((d > 8).sum()))]
 
     def saving(self, window: bytes) -> int:
         """Bytes that a window compresses shorter by the toxic dictionary than by the ordinary one.
@@ -134,13 +178,7 @@ class Model:
         isn't in a frame's last bytes, where no match begins.
         """
         if getattr(self, "_both", None) is None:
-            p = zstandard.ZstdCompressionParameters(compression_level=3, min_match=MATCH, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=17)
-            made = []
-            for body in (self.ordinary, self.toxic):
-                d = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(compression_params=p)
-                made.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress)
-            self._both = made
+            self._both = (_compressor(self.ordinary), _compressor(self.toxic))
         whole = window + self.tail
         return len(self._both[0](whole)) - len(self._both[1](whole))
 
@@ -148,7 +186,8 @@ class Model:
         ws = words(text)
         counts = Counter(min(s, SAVINGS[-1]) for s in map(self.saving, windows(ws)) if s >= SAVINGS[0])
         per = max(len(ws), 1)
-        return [1.0, math.log1p(len(ws))] + [math.log1p(counts[s]) for s in SAVINGS] + [math.log1p(1000 * counts[s] / per) for s in SAVINGS]
+        own = [math.log1p(len(ws))] + [math.log1p(counts[s]) for s in SAVINGS] + [math.log1p(1000 * counts[s] / per) for s in SAVINGS]
+        return [1.0, *own, *self.distances(ws)]
 
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.weights, self.features(text))) if self.weights else 0.0
@@ -156,7 +195,11 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0) -> list[float]:
-    """Newton's method for the penalised likelihood; the first column, the constant, isn't penalised."""
+    """Newton's method for the penalised likelihood of columns on one scale; the first, the constant, isn't penalised."""
+    mean, sd = x.mean(0), x.std(0)
+    mean[0], sd[0] = 0.0, 1.0
+    sd[sd == 0] = 1.0
+    x = (x - mean) / sd
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
     ridge[0] = 1e-6
@@ -166,6 +209,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
         w += step
         if np.abs(step).max() < 1e-8:
             break
+    w /= sd
+    w[0] -= w[1:] @ mean[1:]
     return w.tolist()
 
 
@@ -190,12 +235,13 @@ def fit(rows: list[tuple[str | None, int]], share: float | None = None) -> Model
     used: set[bytes] = set()
     shared = _covering(own(0), common, SHARED, used) if common else b" the of and to in "
     model = Model(_around(own(1), toxic, used, OWN) + shared, shared, shared[-60:], [])
+    model.own_ordinary, model.own_toxic = _class_dictionaries(train[0], train[1])
     y = np.array([t for _, t in rest], float)
     if 0 < y.sum() < len(y):
         share = y.mean() if share is None else share
         model.weights = _logistic(np.array([model.features(t) for t, _ in rest]), y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
     elif len(y):
-        model.weights = [8.0 if y[0] else -8.0] + [0.0] * (1 + 2 * len(SAVINGS))
+        model.weights = [8.0 if y[0] else -8.0] + [0.0] * (len(model.features("")) - 1)
     return model
 
 
@@ -210,8 +256,8 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     some = marks.where("toxic = 1").orderBy(turn, "doc_id").limit(TOXIC_DOCS).unionByName(marks.where("toxic = 0").orderBy(turn, "doc_id").limit(CLEAN_DOCS))
     got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), turn.alias("turn"), "doc_id")
     one = got.repartition(1).sortWithinPartitions("turn", "doc_id", "text").select("text", "toxic")  # a bounded number of documents
-    made = one.mapInArrow(_fitted(marks.agg(F.avg("toxic")).first()[0]), "toxic binary, ordinary binary, tail binary, weights array<double>").first()
-    return fit([]) if made is None else Model(bytes(made["toxic"]), bytes(made["ordinary"]), bytes(made["tail"]), list(made["weights"]))
+    made = one.mapInArrow(_fitted(marks.agg(F.avg("toxic")).first()[0]), "toxic binary, ordinary binary, tail binary, weights array<double>, own_toxic binary, own_ordinary binary").first()
+    return fit([]) if made is None else Model(bytes(made["toxic"]), bytes(made["ordinary"]), bytes(made["tail"]), list(made["weights"]), bytes(made["own_toxic"]), bytes(made["own_ordinary"]))
 
 
 def _fitted(share: float | None) -> Callable:
@@ -225,7 +271,8 @@ def _fitted(share: float | None) -> Callable:
                     room[toxic] -= len(text or "")
                     rows.append((text, toxic))
         m = fit(rows, share)
-        yield pa.RecordBatch.from_arrays([pa.array([m.toxic], pa.binary()), pa.array([m.ordinary], pa.binary()), pa.array([m.tail], pa.binary()), pa.array([m.weights], pa.list_(pa.float64()))], ["toxic", "ordinary", "tail", "weights"])
+        one = {"toxic": m.toxic, "ordinary": m.ordinary, "tail": m.tail, "weights": m.weights, "own_toxic": m.own_toxic, "own_ordinary": m.own_ordinary}
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.list_(pa.float64()) if n == "weights" else pa.binary()) for n, v in one.items()], list(one))
 
     return run
 
@@ -258,12 +305,13 @@ def rejected(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted.
 
-    Both dictionaries hold the same ordinary text, the toxic one besides the segments around the words that occur in
-    many contexts of toxic documents and hardly in ordinary ones: classes that differ in the order of the same words
-    aren't told apart. A text's windows of WINDOW words, in which every word is once, are compressed with
-    both, and how many windows are shorter by how many bytes with the toxic one is calibrated to a score by a logistic
-    fit on labelled documents that the dictionaries haven't seen. Fitting takes a sample by hash, bounded in documents
-    and characters by the parameters above; documents that don't fit into what is left are skipped. Null and empty
+    Of the first pair of dictionaries each holds its class's own text, segments taken at random: a text's windows of SPAN
+    words are compressed with both, and what the differences in length are like enters the score. Of the second pair both
+    hold the same ordinary text, the toxic one besides the segments around the words that occur in many contexts of toxic
+    documents and hardly in ordinary ones; of windows of WINDOW words, how many are shorter by how many bytes enters. In
+    either kind of windows every word is once. A logistic fit on labelled documents that the dictionaries haven't seen
+    calibrates both to a score. Fitting takes a sample by hash, bounded in documents and characters by the parameters
+    above; documents that don't fit into what is left are skipped. Null and empty
     texts have no windows and get the score of a text without signal; very long ones are scored whole; rows that repeat
     score the same. A null doc_id counts as held out. Without labels of both classes the score is that of the only
     class, or 0.5. Scores depend on the text alone; an empty table gives no rows.

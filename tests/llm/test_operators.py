@@ -532,6 +532,28 @@ def test_url_rules_against_brute_force(spark):
     assert got == {c for c in rules if not any(tuple(x for x in c if x != t) in rules for t in c)}
 
 
+def test_toxicity_tells_classes_of_equal_words_apart_by_phrases(spark):
+    """Toxic texts are of sixty phrases, others of the same words in another order: no word tells them apart."""
+    rng = random.Random(1)
+    phrases = [words(rng, 4, 400) for _ in range(60)]
+    rows, marks = [], []
+    for i in range(900):
+        body = [w for _ in range(12) for w in rng.choice(phrases)]
+        if i % 3:
+            rng.shuffle(body)
+        rows.append((i, " ".join(body), "a"))
+        marks.append((i, 1, int(i % 3 == 0)))
+    long = " ".join(w for _ in range(9000) for w in rng.choice(phrases))
+    rows += [(5000, long, "a"), (5001, long, "a"), (3, rows[3][1], "b")]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs(spark, rows), labels).collect()
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 900 and r["doc_id"] != 3]
+    yes, no = ([r["score"] for r in held if (r["doc_id"] % 3 == 0) is toxic] for toxic in (True, False))
+    assert sum(a > b for a in yes for b in no) >= 0.98 * len(yes) * len(no)
+    assert len(got) == len(rows)
+    assert [r["predicted"] for r in got if r["doc_id"] >= 5000] == [1, 1] and len({r["score"] for r in got if r["doc_id"] == 3}) == 1
+
+
 def test_toxicity(spark):
     rng = random.Random(0)
     bad = ["horrible", "vermin", "wretched"]
