@@ -163,13 +163,12 @@ class Model:
 
     def distances(self, ws: list[bytes]) -> list[float]:
         """What the windows' distances to both classes' own text are like: bytes shorter by the toxic one's, mean, spread,
-        most, least, sums and shares."""
+        most and the share of far ones. None of these grows with a text as sums do: long texts are like short ones."""
         if getattr(self, "_own", None) is None:
             self._own = (_compressor(self.own_ordinary), _compressor(self.own_toxic))
         plain, toxic = self._own
         d = np.sort([len(plain(w)) - len(toxic(w)) for w in (w + TAIL for w in windows(ws, SPAN))] or [0.0])
-        total = float(d.sum())
-        return [float(d.mean()), float(d.std()), float(d[-1]), float(d[-3:].mean()), float(d[0]), math.log1p(max(total, 0.0)), math.log1p(max(-total, 0.0)), float((d > 4).mean()), math.log1p(float((d > 8).sum()))]
+        return [float(d.mean()), float(d.std()), float(d[-1]), float(d[-3:].mean()), float((d > 4).mean())]
 
     def saving(self, window: bytes) -> int:
         """Bytes that a window compresses shorter by the toxic dictionary than by the ordinary one.
@@ -198,7 +197,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     """Newton's method for the penalised likelihood of columns on one scale; the first, the constant, isn't penalised."""
     mean, sd = x.mean(0), x.std(0)
     mean[0], sd[0] = 0.0, 1.0
-    sd[sd == 0] = 1.0
+    sd[sd < 1e-9] = 1.0
     x = (x - mean) / sd
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)

@@ -538,7 +538,7 @@ def test_toxicity_tells_classes_of_equal_words_apart_by_phrases(spark):
     phrases = [words(rng, 4, 400) for _ in range(60)]
     rows, marks = [], []
     for i in range(900):
-        body = [w for _ in range(12) for w in rng.choice(phrases)]
+        body = [w for _ in range(rng.choice((6, 12, 40, 200))) for w in rng.choice(phrases)]
         if i % 3:
             rng.shuffle(body)
         rows.append((i, " ".join(body), "a"))
