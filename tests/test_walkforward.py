@@ -310,4 +310,4 @@ def test_ladder_rows_and_lists():
 
     rows = [m for ms in q.LADDER.values() for m in ms]
     assert len(rows) == len(set(rows)) == 22
-    assert {m for ms in q.STACKS.values() for m in ms} <= set(rows) and set(q.TIERS) | set(q.STACKS) <= set(rows)
+    assert {m for ms in q.STACKS.values() for m in ms} <= {*rows, *q.BASE} and set(q.TIERS) | set(q.STACKS) <= set(rows)
