@@ -406,6 +406,39 @@ def test_template_lines_lose_no_link(spark, n=1500):
     assert len(want) > n / 2 and got == want
 
 
+def test_groups_of_lines_against_brute_force():
+    """What groups of lines join is what every link of brute force joins, however batches cut the groups."""
+    import pyarrow as pa
+
+    def joined(pairs):
+        root = {}
+
+        def top(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            a, b = top(a), top(b)
+            root[max(a, b)] = min(a, b)
+        return {x: top(x) for x in root}
+
+    rng, links = random.Random(3), 0
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    for _ in range(25):
+        rows = []
+        for k in range(rng.randrange(1, 20)):
+            head, comps = line(150), rng.choice([1, 2, 3, 6])
+            rows += [(k, bytes([k, rng.randrange(comps)]), head + line(rng.choice([2, 10, 18, 25, 40]))) for _ in range(rng.choice([1, 2, 3, 8, 15]))]
+        table = pa.table({"group": pa.array([r[0] for r in rows], pa.int64()), "comp": pa.array([r[1] for r in rows], pa.binary()), "line": [r[2] for r in rows]})
+        found = [(p["a"], p["b"]) for batch in line_dedup._joins_of_groups(iter(table.to_batches(max_chunksize=rng.choice([1, 7, 1000])))) for p in batch.to_pylist()]
+        sets = [line_set(r[2]) for r in rows]
+        want = [(rows[i][1], rows[j][1]) for i in range(len(rows)) for j in range(i) if rows[i][0] == rows[j][0] and rows[i][1] != rows[j][1] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        assert joined(found) == joined(want)
+        links += len(want)
+    assert links > 500
+
+
 def test_lines_of_far_apart_names(spark):
     """Names that a packed 64-bit place couldn't hold, and a recall of one on planted groups by brute force."""
     rng = random.Random(8)
