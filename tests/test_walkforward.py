@@ -311,3 +311,18 @@ def test_ladder_rows_and_lists():
     rows = [m for ms in q.LADDER.values() for m in ms]
     assert len(rows) == len(set(rows)) == 22
     assert {m for ms in q.STACKS.values() for m in ms} <= {*rows, *q.BASE} and set(q.TIERS) | set(q.STACKS) <= set(rows)
+
+
+def test_no_history_is_shuffled_by_period(games):
+    """Blocks scan the stored sums, and sums by team are stepped through: neither moves a row once a period."""
+    sums, cal = walkforward.pair_sums(games), ratings.calendar(games)
+    columns = {"n": ("n", 0.5), "m": ("m", 0.5), "count": ("n", 1.0)}
+    fit = lambda period, pairs, rows, memory: pd.DataFrame({"period": [period], "n": [pairs["n"].sum()]})
+    made = walkforward.by_period(sums, cal, columns, cal.select("period"), fit, "period int, n double")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    steps = walkforward.steps(sums, cal, ["home_team"], columns, back=1)
+    seasons = cal.select("hist_season").distinct().count()
+    assert steps.count() <= 2 * sums.select("season", "period", "home_team").distinct().count() and steps.where("since = -1").count() <= 8 * seasons
+    got = walkforward.running(steps, cal, ["home_team"], list(columns)).toPandas().set_index(["period", "home_team"]).sort_index()
+    want = walkforward.history(sums, cal, columns, back=1).groupBy("period", "home_team").agg(*[F.sum(c).alias(c) for c in columns]).toPandas().set_index(["period", "home_team"]).sort_index()
+    pd.testing.assert_frame_equal(got, want)
