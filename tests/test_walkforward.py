@@ -320,6 +320,7 @@ def test_no_history_is_shuffled_by_period(games):
     fit = lambda period, pairs, rows, memory: pd.DataFrame({"period": [period], "n": [pairs["n"].sum()]})
     made = walkforward.by_period(sums, cal, columns, cal.select("period"), fit, "period int, n double")
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.rdd.getNumPartitions() == walkforward.blocked(cal).select("block").distinct().count()  # a task a block
     steps = walkforward.steps(sums, cal, ["home_team"], columns, back=1)
     seasons = cal.select("hist_season").distinct().count()
     assert steps.count() <= 2 * sums.select("season", "period", "home_team").distinct().count() and steps.where("since = -1").count() <= 8 * seasons
