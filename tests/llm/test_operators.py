@@ -388,6 +388,22 @@ def test_line_shingles_cover_every_character(spark):
         assert r["low"] == sorted(set(r["s"]))[: line_dedup.SKETCH]
 
 
+def test_crowded_hub_is_compared_whole(spark, monkeypatch):
+    """120 lines of one head that share no triple of their sketches: each has one link, in its hub only."""
+    monkeypatch.setattr(line_dedup, "_triples", lambda low: F.array(F.xxhash64(low)))
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    rng = random.Random(3)
+    head = "".join(rng.choice("abcdefghij") for _ in range(150))
+    letters = lambda n: "".join(rng.choice("klmnopqrst") for _ in range(n))
+    lines = [head + letters(30) for _ in range(60)]  # pairs at some 0.66: the same hub, no link
+    lines += [x[:-3] + "xyz" for x in lines]  # one link each
+    sets = [{x[i : i + line_dedup.SHINGLE] for i in range(len(x) - line_dedup.SHINGLE + 1)} for x in lines]
+    near = {j for j in range(len(lines)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= line_dedup.PERCENT * len(sets[i] | sets[j])}
+    assert near == set(range(60, 120))
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(docs(spark, [(i, x, "s") for i, x in enumerate(lines)]).repartition(4)).where("__n_removed > 0").collect()}
+    assert got == near
+
+
 def test_template_lines_lose_no_link(spark, n=1500):
     """Lines of one head whose links rest on the head alone: crowded everywhere, above the threshold for the shorter tails only."""
     rng = random.Random(n)
