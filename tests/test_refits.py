@@ -1,9 +1,9 @@
-"""What a season refit's task is given, and calibrations by values of one feature."""
+"""What tasks of season refits and of Elo are given, and calibrations by values of one feature."""
 
 import numpy as np
 import pytest
 
-from paceline.operators import boosting
+from paceline.operators import boosting, elo
 
 
 def games(spark, n=900):
@@ -40,3 +40,25 @@ def test_calibrations_are_fits_of_rows(spark):
     by_row = boosting.Logistic(1e6, scale=False).fit(x[:, None], y.astype(float)).b
     by_value = boosting.Logistic(1e6, scale=False).fit(np.array([[-1.0], [0.0], [2.0]]), y.reshape(3, 40).mean(1), np.full(3, 40.0)).b
     assert by_value == pytest.approx(by_row, abs=1e-5)
+
+
+def test_elo_sets_of_regression_side_by_side(spark):
+    rng = np.random.default_rng(5)
+    sides = [rng.choice(12, 2, replace=False) for _ in range(400)]
+    rows = [(i, 2000 + i // 100, 0, i % 100 // 10, None, f"t{h}", f"t{a}", int(m > 0), int(m), bool(i % 9 == 0)) for i, ((h, a), m) in enumerate(zip(sides, rng.choice([-20, -7, -1, 3, 8, 30], 400)))]
+    df = spark.createDataFrame(rows, "game_id long, season int, st_order int, week int, start_date date, home_team string, away_team string, home_win int, margin int, neutral_site boolean")
+    shares = [(k, s, f"t{t}", 0.02 + 0.05 * t * (k + 1) % 0.6) for k in range(3) for s in (2001, 2003) for t in range(0, 12, 2)]
+    every = spark.createDataFrame(shares, "param_id int, season int, team string, regress double")
+    got = elo.pregame_by_team(df, every, sets=3, size=90).toPandas().set_index(["param_id", "game_id"]).sort_index()
+    assert len(got) == 1200
+    for k in range(3):
+        one = elo.pregame_by_team(df, every.where(f"param_id = {k}").drop("param_id")).toPandas().set_index("game_id").sort_index()
+        assert got.loc[k].to_numpy() == pytest.approx(one.to_numpy(), abs=1e-9)
+
+
+def test_elo_state_is_a_row_a_team(spark):
+    df = spark.createDataFrame([(i, 2000, 0, i // 4, None, f"t{i % 5}", f"t{(i + 1) % 5}", 1, 3, False) for i in range(40)], "game_id long, season int, st_order int, week int, start_date date, home_team string, away_team string, home_win int, margin int, neutral_site boolean")
+    made, ends, _ = elo._played(df, elo.grid(spark).where("param_id < 8"), size=10, sides=False)
+    assert (made.count(), ends.count()) == (40, 5)  # 320 and 40 before
+    a, b = (f(df, elo.grid(spark), size=10).select("param_id", "game_id", "p").orderBy("param_id", "game_id").collect() for f in (elo.chances, elo.pregame))
+    assert a == b and len(a) == 45 * 40
