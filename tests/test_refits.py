@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from paceline.operators import boosting, elo
+from paceline.operators import boosting, elo, ratings, walkforward
 
 
 def games(spark, n=900):
@@ -62,3 +62,14 @@ def test_elo_state_is_a_row_a_team(spark):
     assert (made.count(), ends.count()) == (40, 5)  # 320 and 40 before
     a, b = (f(df, elo.grid(spark), size=10).select("param_id", "game_id", "p").orderBy("param_id", "game_id").collect() for f in (elo.chances, elo.pregame))
     assert a == b and len(a) == 45 * 40
+
+
+def test_sums_by_home_team_alone(spark):
+    cols = "season int, period int, start_date date, home_team string, away_team string, neutral_site boolean, home_win int, margin int, home_points int, away_points int"
+    rows = [(2000 + i // 30, i // 10, None, f"t{i % 2}", f"t{2 + i % 7}", False, i % 2, i % 5 - 2, 10, 8) for i in range(60)]
+    g = spark.createDataFrame(rows, cols)
+    sums = walkforward.pair_sums(g, by=["home_team"])
+    assert sums.count() == 12 and walkforward.pair_sums(g).count() > 12  # massey_recent_weights was given the pairs before
+    cal = ratings.calendar(g)
+    made = [walkforward.running(walkforward.steps(s, cal, ["home_team"], {"n": ("n", 0.5), "m": ("m", 1.0)}), cal, ["home_team"], ["n", "m"]).orderBy("period", "home_team").collect() for s in (sums, walkforward.pair_sums(g))]
+    assert made[0] == made[1] and len(made[0]) == 10
