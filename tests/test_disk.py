@@ -49,3 +49,20 @@ def test_values_of_games_are_sums_by_pair_in_blocks(games):
     schema = "period int, home string, away string, neutral double, m double, n double, e double"
     got, want = (walkforward.by_period(s, cal, columns, cal.select("period"), fit, schema).toPandas().sort_values(["period", "home", "away", "neutral"]).reset_index(drop=True) for s in (walkforward.pair_values(games), walkforward.pair_sums(games)))
     pd.testing.assert_frame_equal(got, want)
+
+
+def test_features_in_tasks_are_matchups(games):
+    s, new = snapshot.Settings(least=60), walkforward.evaluated(games)
+    made = snapshot.features(games, s)
+    assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()  # ratings were joined by team and period
+    want = snapshot.matchups(new.select("game_id", "season", "period", "home_team", "away_team", "neutral_site"), tables.staged(snapshot.snapshots(games, s)))
+    got, want = (df.select("game_id", "season", "period", *snapshot.FEATURES).toPandas().sort_values("game_id").reset_index(drop=True) for df in (made, want))
+    assert len(got) > 80
+    pd.testing.assert_frame_equal(got, want)
+
+
+def test_a_team_without_ratings_takes_medians():
+    shots = pd.DataFrame({"team": ["A", "B", "C", "*"], **{v: [1.0, 3.0, None, 0.5] for v in snapshot.VALUES}})
+    games = pd.DataFrame({"game_id": [1, 2], "home_team": ["Z", "C"], "away_team": ["A", "B"], "neutral_site": [True, False]})
+    made = snapshot.matched(shots, games)
+    assert made["pr_diff"].tolist() == [1.0, -1.0] and made["bt_diff"].tolist() == [1.0, -0.5] and made["gpw_min"].tolist() == [1.0, 2.0]
