@@ -66,3 +66,19 @@ def test_a_team_without_ratings_takes_medians():
     games = pd.DataFrame({"game_id": [1, 2], "home_team": ["Z", "C"], "away_team": ["A", "B"], "neutral_site": [True, False]})
     made = snapshot.matched(shots, games)
     assert made["pr_diff"].tolist() == [1.0, -1.0] and made["bt_diff"].tolist() == [1.0, -0.5] and made["gpw_min"].tolist() == [1.0, 2.0]
+
+
+def test_weights_by_season_shuffle_no_row(spark):
+    df = spark.createDataFrame([(i, 2000 + i // 100, i % 2, float((i * 7 % 10) / 10)) for i in range(400)], "game_id long, season int, home_win int, x double")
+    made = boosting.weights_by_season(df, ("x",), least=150)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["season"], r["n"]) for r in made.collect()) == [(2002, 200), (2003, 300)]
+
+
+def test_lines_are_ranked_once_and_seasons_are_no_join_of_games(spark, games):
+    plan = walkforward_queries.spreads(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan
+    preds = games.select("game_id", "period", F.lit(0.5).alias("p"))
+    made = walkforward_queries.with_seasons(preds, games)
+    assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r["game_id"], r["season"]) for r in made.collect()} == {(r["game_id"], r["season"]) for r in games.collect()}
