@@ -82,3 +82,10 @@ def test_lines_are_ranked_once_and_seasons_are_no_join_of_games(spark, games):
     made = walkforward_queries.with_seasons(preds, games)
     assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
     assert {(r["game_id"], r["season"]) for r in made.collect()} == {(r["game_id"], r["season"]) for r in games.collect()}
+
+
+def test_efficiency_metrics_fit_ridges_only(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(efficiency_queries.walkforward, "weekly", lambda g, systems, **_: asked.extend(systems) or g.select(F.lit("ridge").alias("model"), F.lit(0.5).alias("p"), "home_win"))
+    efficiency_queries.efficiency_metrics(spark, SF)
+    assert len(asked) == 6 and all(name.startswith("ridge_") for name in asked)
