@@ -61,6 +61,16 @@ def test_pagerank_by_joins(spark, hub):
     assert ratings.pagerank_joined(e.where("false")).collect() == []
 
 
+def test_pagerank_rounds_read_pieces(spark, monkeypatch):
+    """What rounds read is pieces of many edges and an array a part: a row an edge before."""
+    rng = np.random.default_rng(4)
+    e = spark.createDataFrame([(f"n{a}", f"n{b}", 1.0) for a, b in rng.integers(0, 40, (2000, 2)).tolist()], "src string, dst string, w double")
+    rows, staged = [], ratings.staged
+    monkeypatch.setattr(ratings, "staged", lambda df: rows.append(staged(df)) or rows[-1])
+    assert ratings.pagerank_joined(e, rounds=3).count() == 40
+    assert max(df.count() for df in rows if "w" not in df.columns) <= 40
+
+
 def league(n=400, teams=9, seed=0):
     rng = np.random.default_rng(seed)
     h = rng.integers(0, teams, n)
