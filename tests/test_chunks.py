@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from paceline.operators import chunks, ratings, walkforward
+from paceline.operators import chunks, ratings, snapshot, walkforward
 from test_walkforward import GAMES, league
 
 
@@ -112,6 +112,7 @@ def peak(run, new):
 
 NEW = {"game_id": 1, "period": 11, "home_team": "S1", "away_team": "S2", "neutral_site": False, "home_win": 1, "season": 2002, "scale": 1.0}
 CASES = {
+    "features": (lambda g: snapshot.features(g), ("game_id", "season", "period", "home_team", "away_team", "neutral_site", "scale")),
     "ranks": (lambda g: walkforward.weekly(g, {f"cap{c}": walkforward.pagerank_system(f"margin{c}") for c in (14, 28, 45)}), ("game_id", "period", "home_team", "away_team", "neutral_site", "home_win")),
     "strengths": (lambda g: walkforward.weekly(g, {f"bt{r}": walkforward.bradley_terry_system(r) for r in (0.3, 0.5, 0.7)}, back=1000), ("game_id", "period", "home_team", "away_team", "neutral_site", "home_win")),
     "ridges": (lambda g: walkforward.weekly(g, {"ridge_margin": walkforward.ridge_system()}), ("game_id", "period", "home_team", "away_team", "neutral_site", "home_win")),
